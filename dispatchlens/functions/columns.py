@@ -44,29 +44,24 @@ def fill_missing_time(c: Column) -> Column:
 
 
 def clock_parts(c: Column) -> tuple[Column, Column, Column]:
-    """Hour, minute, second of an 'H:mm', 'HH:mm' or 'HH:mm:ss' string; NULLs
-    when the string is not a valid clock time."""
-    ok = c.rlike(_CLOCK)
-    h = F.when(ok, F.regexp_extract(c, _CLOCK, 1).cast("int"))
-    m = F.when(ok, F.regexp_extract(c, _CLOCK, 2).cast("int"))
-    s_raw = F.regexp_extract(c, _CLOCK, 4)
-    s = F.when(ok, F.when(s_raw == "", F.lit(0)).otherwise(s_raw.try_cast("int")))
-    valid = (h < 24) & (m < 60) & (s < 60)
-    return F.when(valid, h), F.when(valid, m), F.when(valid, s)
-
-
-def order_timestamp(order_date: Column, clock: Column) -> Column:
-    """DATE + clock string -> TIMESTAMP_NTZ (wall-clock time, no zone, so
-    the result does not depend on the session time zone)."""
-    h, m, s = clock_parts(clock)
-    return F.try_make_timestamp_ntz(
-        F.year(order_date), F.month(order_date), F.dayofmonth(order_date), h, m, s.cast("decimal(8,6)")
-    )
-
-
-def seconds_of_day(clock: Column) -> Column:
-    h, m, s = clock_parts(clock)
-    return h * 3600 + m * 60 + s
+    """Hour, minute, second of an 'H:mm', 'HH:mm' or 'HH:mm:ss' string; all
+    NULL when the string is not a valid clock time. Evaluate once per string
+    (select the three parts into columns) and combine them afterwards."""
+    parts = F.when(c.rlike(_CLOCK), F.split(c, ":"))
+    h = F.try_element_at(parts, F.lit(1)).cast("int")
+    m = F.try_element_at(parts, F.lit(2)).cast("int")
+    s = F.coalesce(F.try_element_at(parts, F.lit(3)).cast("int"), F.when(parts.isNotNull(), F.lit(0)))
+    return h, m, s
+
+
+def valid_clock(h: Column, m: Column, s: Column) -> Column:
+    return (h < 24) & (m < 60) & (s < 60)
+
+
+def timestamp_ntz(d: Column, h: Column, m: Column, s: Column) -> Column:
+    """DATE + clock parts -> TIMESTAMP_NTZ (wall-clock time without a zone,
+    so nothing depends on the session time zone)."""
+    return F.try_make_timestamp_ntz(F.year(d), F.month(d), F.dayofmonth(d), h, m, s.cast("decimal(8,6)"))
 
 
 def weekday_monday0(d: Column) -> Column:

@@ -69,34 +69,43 @@ def parse_rows(raw: DataFrame, p: FactParams = FactParams()) -> DataFrame:
         C.parse_minutes(col("Time_taken_min")).alias("Time_taken_min"),
         dist.alias("Distance_km"),
     )
-    od, ot, pt = col("Order_Date"), col("Time_Orderd"), col("Time_Order_picked")
-    o_h, o_m, _ = C.clock_parts(ot)
-    p_h, p_m, _ = C.clock_parts(pt)
+    # clock parts once per string, in their own projection
+    o_h, o_m, o_s = C.clock_parts(col("Time_Orderd"))
+    p_h, p_m, p_s = C.clock_parts(col("Time_Order_picked"))
+    df = df.select("*", o_h.alias("_oh"), o_m.alias("_om"), o_s.alias("_os"),
+                   p_h.alias("_ph"), p_m.alias("_pm"), p_s.alias("_ps"))
+    od = col("Order_Date")
     has_date = od.isNotNull()
-    delay = F.when(has_date, (C.seconds_of_day(pt) - C.seconds_of_day(ot)) / F.lit(60.0))
-    dow = C.weekday_monday0(od)
-    hour = F.when(has_date, o_h)
+    o_ok = has_date & C.valid_clock(col("_oh"), col("_om"), col("_os"))
+    p_ok = has_date & C.valid_clock(col("_ph"), col("_pm"), col("_ps"))
     df = df.select(
         "*",
+        F.when(o_ok, col("_oh") * 3600 + col("_om") * 60 + col("_os")).alias("_osec"),
+        F.when(p_ok, col("_ph") * 3600 + col("_pm") * 60 + col("_ps")).alias("_psec"),
+        F.when(o_ok, col("_oh")).alias("Order_Hour"),
+        F.when(p_ok, col("_ph")).alias("Pickup_Hour"),
+        F.when(o_ok, col("_om")).alias("Order_Minute"),
+        F.when(p_ok, col("_pm")).alias("Pickup_Minute"),
+        F.when(o_ok, C.timestamp_ntz(od, col("_oh"), col("_om"), col("_os"))).alias("Order_Datetime"),
+        F.when(p_ok, C.timestamp_ntz(od, col("_ph"), col("_pm"), col("_ps"))).alias("Pickup_Datetime"),
+        C.weekday_monday0(od).alias("DayOfWeek"),
+    ).drop("_oh", "_om", "_os", "_ph", "_pm", "_ps")
+    df = df.select("*", ((col("_psec") - col("_osec")) / F.lit(60.0)).alias("Order_To_Pickup_Minutes")).drop(
+        "_osec", "_psec"
+    )
+    return df.select(
+        *[c for c in df.columns if c not in ("Order_To_Pickup_Minutes",)],
         F.lit(p.detour_factor).alias("Route_Efficiency"),
         (col("Distance_km") * F.lit(p.detour_factor)).alias("Actual_Distance_km"),
-        C.order_timestamp(od, ot).alias("Order_Datetime"),
-        C.order_timestamp(od, pt).alias("Pickup_Datetime"),
-        hour.alias("Order_Hour"),
-        F.when(has_date, p_h).alias("Pickup_Hour"),
-        F.when(has_date, o_m).alias("Order_Minute"),
-        F.when(has_date, p_m).alias("Pickup_Minute"),
-        dow.alias("DayOfWeek"),
         F.month(od).alias("Month"),
         F.year(od).alias("Year"),
         F.dayofmonth(od).alias("Day"),
-        C.is_weekend(dow).alias("IsWeekend"),
+        C.is_weekend(col("DayOfWeek")).alias("IsWeekend"),
         C.is_holiday(od).alias("IsHoliday"),
-        C.is_peak_hour(hour).alias("IsPeakHour"),
-        delay.alias("Order_To_Pickup_Minutes"),
-        C.clipped(delay, p.min_wait_minutes, p.max_wait_minutes).alias("Wait_Time_Minutes"),
+        C.is_peak_hour(col("Order_Hour")).alias("IsPeakHour"),
+        "Order_To_Pickup_Minutes",
+        C.clipped(col("Order_To_Pickup_Minutes"), p.min_wait_minutes, p.max_wait_minutes).alias("Wait_Time_Minutes"),
     )
-    return df
 
 
 def facts(raw: DataFrame, p: FactParams = FactParams(), drop_incomplete: bool = True) -> DataFrame:
