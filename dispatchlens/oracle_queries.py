@@ -107,3 +107,98 @@ FROM scored GROUP BY {', '.join(PROFIT_FACTORS_BASE)} HAVING count(Profit_Score)
 ORDER BY avg(Profit_Score) DESC, {', '.join(PROFIT_FACTORS_BASE)} LIMIT 10""",
     *_score_ctes(),
 )
+
+# --- efficiency (E1-E9) -----------------------------------------------------
+ORACLE["delivery_kpis"] = with_facts(
+    f"""SELECT {r('avg(Time_taken_min)', 'avg_delivery_time')}, {r('median(Time_taken_min)', 'median_delivery_time')},
+  {r('avg(Distance_km)', 'avg_distance')}, {r('avg(Distance_km / NULLIF(Time_taken_min / 60e0, 0))', 'avg_speed_kmph')} FROM facts"""
+)
+ORACLE["on_time_rate"] = with_facts(
+    f"SELECT {r('avg(CASE WHEN Time_taken_min <= 30 THEN 1 ELSE 0 END) * 100e0', 'on_time_rate')} FROM facts"
+)
+ORACLE["efficiency_by_factor"] = with_facts(
+    f"""SELECT factor, value, {r('avg(Time_taken_min)', 'time_mean')}, {r('median(Time_taken_min)', 'time_median')},
+  {r('stddev_samp(Time_taken_min)', 'time_std')}, {r('avg(Distance_km)', 'distance_mean')},
+  {r('avg(Delivery_Speed)', 'speed_mean')}, {r('stddev_samp(Delivery_Speed)', 'speed_std')},
+  {r('avg(Distance_km) / NULLIF(avg(Time_taken_min) / 60e0, 0)', 'avg_speed_kmph')}
+FROM lng WHERE value IS NOT NULL GROUP BY factor, value""",
+    f"lng AS ({factor_long(SEGMENT_FACTORS, ['Time_taken_min', 'Distance_km', 'Delivery_Speed'])})",
+)
+ORACLE["bottleneck_kpis"] = with_facts(
+    f"SELECT {r('avg(Wait_Time_Minutes)', 'avg_wait_time')}, {r('avg(Restaurant_Prep_Time)', 'restaurant_prep_time')} FROM facts"
+)
+ORACLE["restaurant_efficiency_rank"] = with_facts(
+    f"SELECT Restaurant_ID, {r('avg(Restaurant_Efficiency)', 'restaurant_efficiency')} FROM facts "
+    "WHERE Restaurant_ID IS NOT NULL GROUP BY Restaurant_ID"
+)
+ORACLE["delay_by_hour"] = with_facts(
+    f"""SELECT Order_Hour, {r('avg(Order_To_Pickup_Minutes)', 'delay_mean')}, {r('median(Order_To_Pickup_Minutes)', 'delay_median')},
+  {r('stddev_samp(Order_To_Pickup_Minutes)', 'delay_std')} FROM facts WHERE Order_Hour IS NOT NULL GROUP BY Order_Hour"""
+)
+ORACLE["restaurant_delays"] = with_facts(
+    f"""SELECT Restaurant_ID, {r('avg(Order_To_Pickup_Minutes)', 'delay_mean')}, {r('median(Order_To_Pickup_Minutes)', 'delay_median')},
+  count(Order_To_Pickup_Minutes) AS delay_count FROM facts WHERE Restaurant_ID IS NOT NULL GROUP BY Restaurant_ID
+HAVING count(Order_To_Pickup_Minutes) >= 10"""
+)
+ORACLE["avg_time_by_factor_union"] = with_facts(
+    f"SELECT factor AS dimension, value AS Factor, {r('avg(Time_taken_min)', 'Avg_Time')} FROM lng "
+    "WHERE value IS NOT NULL GROUP BY factor, value",
+    f"lng AS ({factor_long(('Road_traffic_density', 'Weatherconditions', 'Type_of_vehicle'), ['Time_taken_min'])})",
+)
+ORACLE["executive_kpis"] = with_facts(
+    f"""SELECT {r('avg(Profit)', 'avg_profit')}, {r('avg(CASE WHEN Profit > 0 THEN 1 ELSE 0 END) * 100e0', 'profitable_pct')},
+  count(DISTINCT Order_ID) AS total_orders, {r('avg(Time_taken_min)', 'avg_time')}, {r('avg(Distance_km)', 'avg_distance')},
+  {r('avg(Distance_km) / NULLIF(avg(Time_taken_min) / 60e0, 0)', 'avg_speed_kmph')} FROM facts"""
+)
+
+# --- drivers and shifts (V1-V6) ---------------------------------------------
+_HD = "hd AS (SELECT DayOfWeek, Order_Hour, count(*) AS orders FROM facts WHERE DayOfWeek IS NOT NULL AND Order_Hour IS NOT NULL GROUP BY DayOfWeek, Order_Hour)"
+ORACLE["hourly_demand_matrix"] = with_facts(
+    "SELECT DayOfWeek, "
+    + ", ".join(f"CAST(COALESCE(sum(orders) FILTER (WHERE Order_Hour = {h}), 0) AS BIGINT) AS hour_{h}" for h in range(24))
+    + " FROM hd GROUP BY DayOfWeek",
+    _HD,
+)
+ORACLE["drivers_needed"] = with_facts(
+    """SELECT d.DayOfWeek, h.Order_Hour, COALESCE(hd.orders, 0) AS orders,
+  CAST(round_even(COALESCE(hd.orders, 0) / 2e0, 0) AS INTEGER) AS drivers_needed
+FROM (SELECT DISTINCT DayOfWeek FROM hd) d CROSS JOIN (SELECT DISTINCT Order_Hour FROM hd) h
+LEFT JOIN hd ON hd.DayOfWeek = d.DayOfWeek AND hd.Order_Hour = h.Order_Hour""",
+    _HD,
+)
+ORACLE["driver_metrics"] = with_facts(
+    f"""SELECT Delivery_person_ID, count(Order_ID) AS order_count, {r('sum(Time_taken_min)', 'time_sum')},
+  {r('avg(Time_taken_min)', 'time_mean')}, {r('sum(Distance_km)', 'distance_sum')}, {r('avg(Distance_km)', 'distance_mean')},
+  {r('sum(Profit)', 'profit_sum')}, {r('avg(Profit)', 'profit_mean')},
+  {r('count(Order_ID) / (SELECT CAST(count(DISTINCT Order_Date) AS DOUBLE) FROM facts)', 'deliveries_per_day')},
+  {r('sum(Profit) / NULLIF(sum(Time_taken_min), 0)', 'profit_per_minute')},
+  {r('sum(Profit) / NULLIF(sum(Distance_km), 0)', 'profit_per_km')}
+FROM facts WHERE Delivery_person_ID IS NOT NULL GROUP BY Delivery_person_ID"""
+)
+ORACLE["high_rated_drivers"] = with_facts(
+    f"""SELECT Delivery_person_ID, {r('avg(Delivery_person_Ratings)', 'rating_mean')}, count(Delivery_person_Ratings) AS rating_count
+FROM facts WHERE Delivery_person_ID IS NOT NULL GROUP BY Delivery_person_ID HAVING count(Delivery_person_Ratings) >= 10"""
+)
+_SHIFT = "CASE WHEN Order_Hour >= 6 AND Order_Hour < 14 THEN 0 WHEN Order_Hour >= 14 AND Order_Hour < 22 THEN 1 ELSE 2 END"
+ORACLE["shift_allocation"] = with_facts(
+    """SELECT sp.DayOfWeek,
+  (['Monday','Tuesday','Wednesday','Thursday','Friday','Saturday','Sunday'])[sp.DayOfWeek + 1] AS day,
+  sp.shift_index, (['Morning (6 AM - 2 PM)','Afternoon (2 PM - 10 PM)','Night (10 PM - 6 AM)'])[sp.shift_index + 1] AS shift,
+  CAST(COALESCE(ps.orders, 0) AS BIGINT) AS orders,
+  CAST(greatest(1, floor(COALESCE(ps.orders, 0) / 16e0)) AS INTEGER) AS drivers_needed
+FROM (SELECT CAST(i // 3 AS INTEGER) AS DayOfWeek, CAST(i % 3 AS INTEGER) AS shift_index FROM range(21) t(i)) sp
+LEFT JOIN ps ON ps.DayOfWeek = sp.DayOfWeek AND ps.shift_index = sp.shift_index""",
+    f"ps AS (SELECT DayOfWeek, {_SHIFT} AS shift_index, count(*) AS orders FROM facts "
+    "WHERE DayOfWeek IS NOT NULL AND Order_Hour IS NOT NULL GROUP BY 1, 2)",
+)
+ORACLE["driver_leaderboard"] = with_facts(
+    f"""SELECT Delivery_person_ID, count(Order_ID) AS orders, {r('avg(Time_taken_min)', 'avg_time')},
+  {r('avg(Profit)', 'avg_profit')}, {r('avg(Delivery_person_Ratings)', 'rating')}
+FROM facts WHERE Delivery_person_ID IS NOT NULL GROUP BY Delivery_person_ID ORDER BY avg(Profit) DESC, Delivery_person_ID LIMIT 10"""
+)
+ORACLE["city_vehicle_efficiency"] = with_facts(
+    f"""SELECT City, Type_of_vehicle, {r('avg(Time_taken_min)', 'time_mean')}, {r('avg(Distance_km)', 'distance_mean')},
+  {r('avg(Profit)', 'profit_mean')}, {r('avg(Distance_km) / NULLIF(avg(Time_taken_min) / 60e0, 0)', 'speed_kmph')},
+  {r('avg(Profit) / NULLIF(avg(Time_taken_min) / 60e0, 0)', 'profit_per_hour')}
+FROM facts WHERE City IS NOT NULL AND Type_of_vehicle IS NOT NULL GROUP BY City, Type_of_vehicle"""
+)

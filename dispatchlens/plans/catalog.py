@@ -51,3 +51,19 @@ def _build() -> None:
     on_facts("profit_by_day", R.profit_by_day)
     on_facts("profit_score", R.profit_score)
     on_facts("top_scenarios", R.top_scenarios)
+
+    from dispatchlens.operators import drivers as V
+    from dispatchlens.operators import efficiency as E
+    from dispatchlens.operators import routes as T
+
+    for name in (
+        "delivery_kpis", "on_time_rate", "efficiency_by_factor", "bottleneck_kpis", "restaurant_efficiency_rank",
+        "delay_by_hour", "restaurant_delays", "avg_time_by_factor_union", "executive_kpis",
+    ):
+        on_facts(name, getattr(E, name))
+    for name in (
+        "hourly_demand_matrix", "drivers_needed", "driver_metrics", "high_rated_drivers", "shift_allocation",
+        "driver_leaderboard",
+    ):
+        on_facts(name, getattr(V, name))
+    on_facts("city_vehicle_efficiency", T.city_vehicle_efficiency)
