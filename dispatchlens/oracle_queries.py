@@ -202,3 +202,95 @@ ORACLE["city_vehicle_efficiency"] = with_facts(
   {r('avg(Profit) / NULLIF(avg(Time_taken_min) / 60e0, 0)', 'profit_per_hour')}
 FROM facts WHERE City IS NOT NULL AND Type_of_vehicle IS NOT NULL GROUP BY City, Type_of_vehicle"""
 )
+
+# --- pricing (X1-X10) -------------------------------------------------------
+from dispatchlens.params import HOUR_SURGE, TRAFFIC_SURGE, WEATHER_SURGE  # noqa: E402
+
+_PRICES = "prices AS (SELECT CAST(range AS BIGINT) AS Base_Price FROM range(50, 201, 5))"
+
+
+def _grid_select(keys: str, src: str, where: str = "") -> str:
+    k = f"{keys}, " if keys else ""
+    return f"""SELECT {k}Base_Price, {r('avg(Base_Price - Total_Cost)', 'Average_Profit')},
+  {r('avg(Base_Price - Total_Cost) / Base_Price * 100e0', 'Profit_Margin_Pct')},
+  {r('avg(CASE WHEN Base_Price - Total_Cost > 0 THEN 1 ELSE 0 END) * 100e0', 'Profitable_Deliveries_Pct')}
+FROM prices CROSS JOIN {src} WHERE Total_Cost IS NOT NULL {where} GROUP BY {k}Base_Price"""
+
+
+ORACLE["price_grid"] = with_facts(_grid_select("", "facts"), _PRICES)
+ORACLE["optimal_uniform_price"] = with_facts(
+    "SELECT * FROM g ORDER BY (Profitable_Deliveries_Pct >= 90) DESC, Average_Profit DESC, Base_Price LIMIT 1",
+    _PRICES,
+    f"g AS ({_grid_select('', 'facts')})",
+)
+_SEG_CTES = [
+    _PRICES,
+    f"lng AS ({factor_long(SEGMENT_FACTORS, ['Total_Cost'])})",
+    "seg AS (SELECT factor, value, count(*) AS sample_size FROM lng WHERE value IS NOT NULL AND Total_Cost IS NOT NULL "
+    "GROUP BY factor, value HAVING count(*) >= 100)",
+    "lng2 AS (SELECT lng.*, seg.sample_size FROM lng JOIN seg USING (factor, value))",
+]
+ORACLE["segment_price_grid"] = with_facts(
+    _grid_select("factor, value", "lng2").replace("SELECT factor, value,", "SELECT factor, value, any_value(sample_size) AS sample_size,", 1),
+    *_SEG_CTES,
+)
+ORACLE["segment_optimal_prices"] = with_facts(
+    """SELECT factor, value, Base_Price AS optimal_price, Average_Profit AS average_profit, Profit_Margin_Pct AS profit_margin,
+  Profitable_Deliveries_Pct AS profitable_pct, sample_size
+FROM (SELECT *, row_number() OVER (PARTITION BY factor, value ORDER BY (Profitable_Deliveries_Pct >= 90) DESC,
+  Average_Profit DESC, Base_Price) AS rk FROM g) WHERE rk = 1""",
+    *_SEG_CTES,
+    "g AS (" + _grid_select("factor, value", "lng2").replace("SELECT factor, value,", "SELECT factor, value, any_value(sample_size) AS sample_size,", 1) + ")",
+)
+
+
+def _case(col: str, mapping: dict, quote: bool) -> str:
+    whens = " ".join(f"WHEN {col} = {repr(k) if quote else k} THEN {float(v)!r}e0".replace("e0e0", "e0") for k, v in mapping.items())
+    return f"COALESCE(CASE {whens} END, 1e0)"
+
+
+DYN_MULT = (
+    "((((((1e0 * CASE WHEN IsPeakHour = 1 THEN 1.5e0 ELSE 1e0 END)"
+    " * CASE WHEN IsWeekend = 1 THEN 1.2e0 ELSE 1e0 END)"
+    " * CASE WHEN IsHoliday = 1 THEN 1.3e0 ELSE 1e0 END)"
+    f" * {_case('Road_traffic_density', TRAFFIC_SURGE, True)})"
+    f" * {_case('Weatherconditions', WEATHER_SURGE, True)})"
+    f" * {_case('Order_Hour', HOUR_SURGE, False)})"
+)
+_DYN = f"dyn AS (SELECT *, {DYN_MULT} AS Dynamic_Multiplier, 100e0 * {DYN_MULT} AS Dynamic_Price, 100e0 * {DYN_MULT} - Total_Cost AS Dynamic_Profit FROM facts)"
+ORACLE["dynamic_prices"] = with_facts(
+    f"SELECT Order_ID, {r('Dynamic_Multiplier', 'Dynamic_Multiplier')}, {r('Dynamic_Price', 'Dynamic_Price')}, "
+    f"{r('Dynamic_Profit', 'Dynamic_Profit')} FROM dyn",
+    _DYN,
+)
+ORACLE["pricing_strategy_compare"] = with_facts(
+    f"""SELECT 'static' AS strategy, {r('sum(Profit)', 'total_profit')}, {r('avg(Profit)', 'avg_profit_per_order')},
+  {r('avg(CASE WHEN Profit > 0 THEN 1 ELSE 0 END) * 100e0', 'profitable_orders_pct')},
+  CAST(NULL AS DOUBLE) AS profit_increase, CAST(NULL AS DOUBLE) AS profit_increase_pct FROM dyn
+UNION ALL
+SELECT 'dynamic', {r('sum(Dynamic_Profit)', 'total_profit')}, {r('avg(Dynamic_Profit)', 'avg_profit_per_order')},
+  {r('avg(CASE WHEN Dynamic_Profit > 0 THEN 1 ELSE 0 END) * 100e0', 'profitable_orders_pct')},
+  {r('sum(Dynamic_Profit) - sum(Profit)', 'profit_increase')},
+  {r('(sum(Dynamic_Profit) - sum(Profit)) / NULLIF(abs(sum(Profit)), 0) * 100e0', 'profit_increase_pct')} FROM dyn""",
+    _DYN,
+)
+_EDGES = (
+    "bnd AS (SELECT min(Dynamic_Price) AS mn, max(Dynamic_Price) AS mx FROM dyn WHERE Dynamic_Price IS NOT NULL),"
+    "\nedges AS (SELECT list_transform(range(0, 11), lambda i: CASE WHEN i = 0 THEN mn - (mx - mn) * 0.001e0 "
+    "WHEN i = 10 THEN mx ELSE i * ((mx - mn) / 10e0) + mn END) AS e FROM bnd)"
+)
+ORACLE["price_elasticity_bins"] = with_facts(
+    f"""SELECT CAST(b AS INTEGER) AS bin, {r('e[b]', 'lower')}, {r('e[b + 1]', 'upper')}, CAST(COALESCE(c.orders, 0) AS BIGINT) AS orders
+FROM edges CROSS JOIN range(1, 11) t(b) LEFT JOIN (
+  SELECT 1 + len(list_filter(e[2:10], lambda x: x < Dynamic_Price)) AS bn, count(*) AS orders
+  FROM dyn CROSS JOIN edges WHERE Dynamic_Price IS NOT NULL GROUP BY 1) c ON c.bn = t.b""",
+    _DYN,
+    _EDGES,
+)
+ORACLE["multiplier_stats"] = with_facts(
+    f"""SELECT 'Dynamic_Multiplier' AS "column", count(Dynamic_Multiplier) AS "count", {r('avg(Dynamic_Multiplier)', 'mean')},
+  {r('min(Dynamic_Multiplier)', '"min"')}, {r('quantile_cont(Dynamic_Multiplier, 0.25)', 'p25')},
+  {r('quantile_cont(Dynamic_Multiplier, 0.5)', 'p50')}, {r('quantile_cont(Dynamic_Multiplier, 0.75)', 'p75')},
+  {r('max(Dynamic_Multiplier)', '"max"')}, {r('stddev_samp(Dynamic_Multiplier)', 'std')} FROM dyn""",
+    _DYN,
+)

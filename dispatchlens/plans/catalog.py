@@ -67,3 +67,11 @@ def _build() -> None:
     ):
         on_facts(name, getattr(V, name))
     on_facts("city_vehicle_efficiency", T.city_vehicle_efficiency)
+
+    from dispatchlens.operators import pricing as X
+
+    for name in (
+        "price_grid", "optimal_uniform_price", "segment_price_grid", "segment_optimal_prices", "dynamic_prices",
+        "pricing_strategy_compare", "price_elasticity_bins", "multiplier_stats",
+    ):
+        on_facts(name, getattr(X, name))
