@@ -294,3 +294,63 @@ ORACLE["multiplier_stats"] = with_facts(
   {r('max(Dynamic_Multiplier)', '"max"')}, {r('stddev_samp(Dynamic_Multiplier)', 'std')} FROM dyn""",
     _DYN,
 )
+
+# --- demand (D1-D11) --------------------------------------------------------
+_CNT = "cnt AS (SELECT Order_Date AS day, count(*) AS orders FROM facts WHERE Order_Date IS NOT NULL GROUP BY 1)"
+_DAILY = (
+    "daily AS (SELECT CAST(s.d AS DATE) AS day, COALESCE(c.orders, 0) AS orders FROM "
+    "(SELECT unnest(generate_series(CAST(min(day) AS TIMESTAMP), CAST(max(day) AS TIMESTAMP), INTERVAL 1 DAY)) AS d FROM cnt) s "
+    "LEFT JOIN cnt c ON c.day = CAST(s.d AS DATE))"
+)
+_HS = "hs AS (SELECT *, CASE WHEN day > (SELECT max(day) FROM daily) - 14 THEN 'test' ELSE 'train' END AS split FROM daily)"
+_MA = [
+    _CNT, _DAILY, _HS,
+    "tr AS (SELECT day, orders, row_number() OVER (ORDER BY day DESC) AS rn FROM hs WHERE split = 'train')",
+    "lvl AS (SELECT CASE WHEN count(*) FILTER (WHERE rn <= 7) = 7 THEN avg(orders) FILTER (WHERE rn <= 7) ELSE avg(orders) END AS f FROM tr)",
+    "fc0 AS (SELECT day, split, CAST(orders AS DOUBLE) AS actual FROM hs WHERE split = 'test' UNION ALL "
+    "SELECT CAST(d AS DATE), 'future', CAST(NULL AS DOUBLE) FROM (SELECT unnest(generate_series("
+    "CAST((SELECT max(day) FROM daily) + 1 AS TIMESTAMP), CAST((SELECT max(day) FROM daily) + 30 AS TIMESTAMP), INTERVAL 1 DAY)) AS d))",
+    "fc AS (SELECT day, split, actual, f AS forecast FROM fc0, lvl)",
+    "acc AS (SELECT avg(abs(actual - forecast)) AS mae, sqrt(avg((actual - forecast) * (actual - forecast))) AS rmse "
+    "FROM fc WHERE split = 'test' AND actual IS NOT NULL)",
+]
+ORACLE["daily_orders"] = with_facts("SELECT day, orders FROM daily", _CNT, _DAILY)
+ORACLE["holdout_split"] = with_facts("SELECT day, orders, split FROM hs", _CNT, _DAILY, _HS)
+ORACLE["moving_average_forecast"] = with_facts(
+    f"SELECT day, split, {r('actual', 'actual')}, {r('forecast', 'forecast')} FROM fc", *_MA
+)
+ORACLE["ma_forecast_accuracy"] = with_facts(f"SELECT {r('mae', 'mae')}, {r('rmse', 'rmse')} FROM acc", *_MA)
+ORACLE["ma_forecast_insights"] = with_facts(
+    f"""SELECT CASE WHEN max_by(forecast, day) > min_by(forecast, day) THEN 'upward' ELSE 'downward' END AS trend,
+  (SELECT min(day) FROM fc WHERE split = 'future' AND forecast = (SELECT max(forecast) FROM fc WHERE split = 'future')) AS peak_day,
+  {r('100e0 - (SELECT mae FROM acc) * 5e0', 'accuracy_pct')} FROM fc WHERE split = 'future'""",
+    *_MA,
+)
+ORACLE["history_and_forecast"] = with_facts(
+    f"""SELECT day, 'history' AS split, {r('CAST(orders AS DOUBLE)', 'actual')}, CAST(NULL AS DOUBLE) AS forecast FROM daily
+UNION ALL SELECT day, split, {r('actual', 'actual')}, {r('forecast', 'forecast')} FROM fc""",
+    *_MA,
+)
+_HO = (
+    "ho AS (SELECT CAST(Order_Date AS TIMESTAMP) + to_hours(Order_Hour) AS ts, Order_Date AS day, Order_Hour AS hour, "
+    "count(*) AS orders FROM facts WHERE Order_Date IS NOT NULL AND Order_Hour IS NOT NULL "
+    "AND (SELECT count(*) FROM facts) >= 1000 GROUP BY Order_Date, Order_Hour)"
+)
+ORACLE["hourly_orders"] = with_facts("SELECT ts, day, hour, orders FROM ho", _HO)
+ORACLE["hourly_features"] = with_facts(
+    f"""SELECT * FROM (
+  SELECT ts, CAST(hour(ts) AS INTEGER) AS hour, CAST(isodow(ts) - 1 AS INTEGER) AS dayofweek,
+    CAST(day(ts) AS INTEGER) AS dayofmonth, CAST(month(ts) AS INTEGER) AS month, CAST(orders AS DOUBLE) AS orders,
+    CAST(lag(orders, 24) OVER w AS DOUBLE) AS lag_1d, CAST(lag(orders, 168) OVER w AS DOUBLE) AS lag_7d,
+    {r('CASE WHEN count(orders) OVER m = 168 THEN avg(orders) OVER m END', 'ma_7d')}
+  FROM ho WINDOW w AS (ORDER BY ts), m AS (ORDER BY ts ROWS BETWEEN 167 PRECEDING AND CURRENT ROW))
+WHERE lag_1d IS NOT NULL AND lag_7d IS NOT NULL AND ma_7d IS NOT NULL""",
+    _HO,
+)
+ORACLE["weekday_pattern"] = with_facts(
+    f"""SELECT CAST(isodow(day) - 1 AS INTEGER) AS dayofweek,
+  (['Monday','Tuesday','Wednesday','Thursday','Friday','Saturday','Sunday'])[isodow(day)] AS day_name,
+  {r('avg(orders)', 'avg_orders')} FROM cnt GROUP BY 1, 2""",
+    _CNT,
+)
+ORACLE["hourly_pattern"] = with_facts(f"SELECT hour, {r('avg(orders)', 'avg_orders')} FROM ho GROUP BY hour", _HO)

@@ -75,3 +75,14 @@ def _build() -> None:
         "pricing_strategy_compare", "price_elasticity_bins", "multiplier_stats",
     ):
         on_facts(name, getattr(X, name))
+
+    from dispatchlens.operators import demand as D
+
+    on_facts("daily_orders", D.daily_orders)
+    on_facts("holdout_split", lambda f: D.holdout_split(D.daily_orders(f)))
+    for name in (
+        "moving_average_forecast", "ma_forecast_accuracy", "ma_forecast_insights", "history_and_forecast",
+        "hourly_orders", "hourly_features", "weekday_pattern", "hourly_pattern", "autoregressive_forecast",
+    ):
+        on_facts(name, getattr(D, name))
+    on_facts("city_autoregressive_forecast", lambda f: D.autoregressive_forecast(f, series=["City"]))
