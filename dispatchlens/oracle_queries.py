@@ -354,3 +354,66 @@ ORACLE["weekday_pattern"] = with_facts(
     _CNT,
 )
 ORACLE["hourly_pattern"] = with_facts(f"SELECT hour, {r('avg(orders)', 'avg_orders')} FROM ho GROUP BY hour", _HO)
+
+# --- density clustering (C1, T3, T4) ------------------------------------------
+
+
+def dbscan_ctes(x: str, y: str, eps: float, min_samples: int, weighted: bool, p: str = "") -> list[str]:
+    """CTEs {p}lab(x, y, weight, is_core, cluster) for DBSCAN on (x, y)."""
+    w = "count(*)" if weighted else "1"
+    e2 = f"{eps!r}e0 * {eps!r}e0".replace("e0e0", "e0")
+    return [
+        f"{p}pts AS (SELECT {x} AS x, {y} AS y, CAST({w} AS BIGINT) AS weight FROM facts WHERE {x} IS NOT NULL AND {y} IS NOT NULL "
+        f"AND NOT isnan({x}) AND NOT isnan({y}) GROUP BY {x}, {y})",
+        f"{p}pairs AS (SELECT a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by, b.weight AS bw FROM {p}pts a JOIN {p}pts b "
+        f"ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= {e2})",
+        f"{p}core AS (SELECT ax AS x, ay AS y FROM {p}pairs GROUP BY ax, ay HAVING sum(bw) >= {min_samples})",
+        f"{p}edges AS (SELECT p.ax, p.ay, p.bx, p.by FROM {p}pairs p JOIN {p}core c1 ON c1.x = p.ax AND c1.y = p.ay "
+        f"JOIN {p}core c2 ON c2.x = p.bx AND c2.y = p.by)",
+        f"{p}reach AS (SELECT * FROM (WITH RECURSIVE rr(x, y, rx, ry) AS (SELECT x, y, x, y FROM {p}core UNION "
+        f"SELECT e.bx, e.by, rr.rx, rr.ry FROM rr JOIN {p}edges e ON e.ax = rr.x AND e.ay = rr.y) SELECT * FROM rr))",
+        f"{p}roots AS (SELECT x, y, min([rx, ry]) AS root FROM {p}reach GROUP BY x, y)",
+        f"{p}ids AS (SELECT root, CAST(dense_rank() OVER (ORDER BY root) - 1 AS INTEGER) AS cluster FROM (SELECT DISTINCT root FROM {p}roots))",
+        f"{p}corelab AS (SELECT r.x, r.y, i.cluster FROM {p}roots r JOIN {p}ids i ON i.root = r.root)",
+        f"{p}border AS (SELECT p.ax AS x, p.ay AS y, min(c.cluster) AS bc FROM {p}pairs p JOIN {p}corelab c ON c.x = p.bx AND c.y = p.by GROUP BY 1, 2)",
+        f"{p}lab AS (SELECT t.x, t.y, t.weight, c.cluster IS NOT NULL AS is_core, "
+        f"CAST(COALESCE(c.cluster, b.bc, -1) AS INTEGER) AS cluster FROM {p}pts t "
+        f"LEFT JOIN {p}corelab c ON c.x = t.x AND c.y = t.y LEFT JOIN {p}border b ON b.x = t.x AND b.y = t.y)",
+    ]
+
+
+def _sites_sql(x: str, y: str, eps: float, ms: int, weighted: bool) -> str:
+    return with_facts(
+        f"SELECT x AS {x}, y AS {y}, weight, is_core, cluster FROM lab", *dbscan_ctes(x, y, eps, ms, weighted)
+    )
+
+
+ORACLE["restaurant_sites"] = _sites_sql("Restaurant_latitude", "Restaurant_longitude", 0.02, 5, True)
+ORACLE["restaurant_sites_distinct"] = _sites_sql("Restaurant_latitude", "Restaurant_longitude", 0.01, 10, False)
+ORACLE["delivery_sites"] = _sites_sql("Delivery_location_latitude", "Delivery_location_longitude", 0.02, 5, True)
+
+
+def _hot_sql(x: str, y: str, p: str = "") -> tuple[str, list[str]]:
+    body = (
+        f"SELECT cluster, sum(x * weight) / sum(weight) AS latitude, sum(y * weight) / sum(weight) AS longitude, "
+        f"CAST(sum(weight) AS BIGINT) AS count FROM {p}lab WHERE cluster >= 0 GROUP BY cluster"
+    )
+    return body, dbscan_ctes(x, y, 0.01, 10, True, p)
+
+
+for _name, (_x, _y) in {
+    "pickup_hotspots": ("Restaurant_latitude", "Restaurant_longitude"),
+    "dropoff_hotspots": ("Delivery_location_latitude", "Delivery_location_longitude"),
+}.items():
+    _b, _c = _hot_sql(_x, _y)
+    ORACLE[_name] = with_facts(
+        f"SELECT cluster, {r('latitude', 'latitude')}, {r('longitude', 'longitude')}, count FROM ({_b})", *_c
+    )
+_pb, _pc = _hot_sql("Restaurant_latitude", "Restaurant_longitude", "pk_")
+_db, _dc = _hot_sql("Delivery_location_latitude", "Delivery_location_longitude", "dr_")
+ORACLE["hotspot_center"] = with_facts(
+    f"""SELECT {r('(p.plat + d.dlat) / 2e0', 'center_latitude')}, {r('(p.plon + d.dlon) / 2e0', 'center_longitude')}
+FROM (SELECT avg(latitude) AS plat, avg(longitude) AS plon FROM ({_pb})) p,
+     (SELECT avg(latitude) AS dlat, avg(longitude) AS dlon FROM ({_db})) d""",
+    *_pc, *_dc,
+)

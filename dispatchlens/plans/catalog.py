@@ -86,3 +86,11 @@ def _build() -> None:
     ):
         on_facts(name, getattr(D, name))
     on_facts("city_autoregressive_forecast", lambda f: D.autoregressive_forecast(f, series=["City"]))
+
+    from dispatchlens.operators import geo as G
+
+    for name in (
+        "restaurant_sites", "restaurant_sites_distinct", "delivery_sites", "pickup_hotspots", "dropoff_hotspots",
+        "hotspot_center",
+    ):
+        on_facts(name, getattr(G, name))
