@@ -417,3 +417,44 @@ FROM (SELECT avg(latitude) AS plat, avg(longitude) AS plon FROM ({_pb})) p,
      (SELECT avg(latitude) AS dlat, avg(longitude) AS dlon FROM ({_db})) d""",
     *_pc, *_dc,
 )
+
+# --- cluster-enriched facts (R6, R7, T1, T2) ------------------------------------
+_ENR = [
+    *dbscan_ctes("Restaurant_latitude", "Restaurant_longitude", 0.02, 5, True, "rc_"),
+    *dbscan_ctes("Delivery_location_latitude", "Delivery_location_longitude", 0.02, 5, True, "dc_"),
+    "enr0 AS (SELECT f.*, CAST(COALESCE(r.cluster, -1) AS INTEGER) AS Restaurant_Cluster, "
+    "CAST(COALESCE(d.cluster, -1) AS INTEGER) AS Delivery_Cluster FROM facts f "
+    "LEFT JOIN rc_lab r ON r.x = f.Restaurant_latitude AND r.y = f.Restaurant_longitude "
+    "LEFT JOIN dc_lab d ON d.x = f.Delivery_location_latitude AND d.y = f.Delivery_location_longitude)",
+    "enr AS (SELECT *, CAST(Restaurant_Cluster AS VARCHAR) || '_' || CAST(Delivery_Cluster AS VARCHAR) AS Route_Type FROM enr0)",
+]
+ORACLE["restaurant_cluster_profit"] = with_facts(
+    f"""SELECT Restaurant_Cluster, {r('avg(Profit)', 'profit_mean')}, count(Profit) AS profit_count,
+  {r('avg(Restaurant_latitude)', 'latitude_mean')}, {r('avg(Restaurant_longitude)', 'longitude_mean')}
+FROM enr GROUP BY Restaurant_Cluster""",
+    *_ENR,
+)
+ORACLE["delivery_cluster_profit"] = with_facts(
+    f"""SELECT Delivery_Cluster, {r('avg(Profit)', 'profit_mean')}, count(Profit) AS profit_count,
+  {r('avg(Delivery_location_latitude)', 'latitude_mean')}, {r('avg(Delivery_location_longitude)', 'longitude_mean')}
+FROM enr GROUP BY Delivery_Cluster""",
+    *_ENR,
+)
+ORACLE["efficient_clusters"] = with_facts(
+    f"""SELECT Restaurant_Cluster, {r('avg(Time_taken_min)', 'time_mean')}, {r('median(Time_taken_min)', 'time_median')},
+  {r('stddev_samp(Time_taken_min)', 'time_std')}, {r('avg(Distance_km)', 'distance_mean')}, {r('median(Distance_km)', 'distance_median')},
+  {r('stddev_samp(Distance_km)', 'distance_std')}, {r('avg(Profit)', 'profit_mean')}, {r('sum(Profit)', 'profit_sum')},
+  {r('avg(Restaurant_latitude)', 'latitude_mean')}, {r('avg(Restaurant_longitude)', 'longitude_mean')},
+  {r('avg(Profit) / NULLIF(avg(Time_taken_min), 0)', 'profit_per_minute')}
+FROM enr GROUP BY Restaurant_Cluster""",
+    *_ENR,
+)
+ORACLE["efficient_routes"] = with_facts(
+    f"""SELECT Route_Type, {r('avg(Time_taken_min)', 'time_mean')}, {r('median(Time_taken_min)', 'time_median')},
+  count(Time_taken_min) AS time_count, {r('avg(Distance_km)', 'distance_mean')}, {r('avg(Profit)', 'profit_mean')},
+  {r('avg(Distance_km) / NULLIF(avg(Time_taken_min), 0)', 'speed_km_per_min')},
+  {r('avg(Profit) / NULLIF(avg(Time_taken_min), 0)', 'profit_per_min')},
+  {r('avg(Profit) / NULLIF(avg(Distance_km), 0)', 'profit_per_km')}
+FROM enr GROUP BY Route_Type""",
+    *_ENR,
+)

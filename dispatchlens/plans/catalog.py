@@ -94,3 +94,14 @@ def _build() -> None:
         "hotspot_center",
     ):
         on_facts(name, getattr(G, name))
+
+    # Location clusters without the K-means noise reassignment have an exact SQL
+    # twin; run_all uses the full C1-C4 chain.
+    def clustered(f):
+        return G.with_location_clusters(f, reassign=False)
+
+    on_facts("restaurant_cluster_profit", lambda f: R.restaurant_cluster_profit(clustered(f)))
+    on_facts("delivery_cluster_profit", lambda f: R.delivery_cluster_profit(clustered(f)))
+    on_facts("efficient_clusters", lambda f: T.efficient_clusters(clustered(f)))
+    on_facts("efficient_routes", lambda f: T.efficient_routes(clustered(f)))
+    on_facts("route_types_reassigned", lambda f: T.efficient_routes(G.with_location_clusters(f, reassign=True)))
