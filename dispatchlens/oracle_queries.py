@@ -458,3 +458,40 @@ ORACLE["efficient_routes"] = with_facts(
 FROM enr GROUP BY Route_Type""",
     *_ENR,
 )
+
+# --- customers (C5, U1, U2) ---------------------------------------------------
+
+
+def _mode_cte(col: str, name: str) -> str:
+    return (
+        f"{name} AS (SELECT Customer_ID, v AS {col} FROM (SELECT Customer_ID, {col} AS v, row_number() OVER "
+        f"(PARTITION BY Customer_ID ORDER BY count(*) DESC, {col}) AS rk FROM facts WHERE Customer_ID IS NOT NULL "
+        f"AND {col} IS NOT NULL GROUP BY Customer_ID, {col}) WHERE rk = 1)"
+    )
+
+
+ORACLE["customer_profile"] = with_facts(
+    f"""SELECT g.Customer_ID, m1.Type_of_order, m2.Type_of_vehicle, m3.City, {r('g.d', 'Distance_km')},
+  {r('g.t', 'Time_taken_min')}, {r('g.p', 'Profit')}, g.n AS Order_Count
+FROM (SELECT Customer_ID, avg(Distance_km) AS d, avg(Time_taken_min) AS t, avg(Profit) AS p, count(Order_ID) AS n
+      FROM facts WHERE Customer_ID IS NOT NULL GROUP BY Customer_ID) g
+LEFT JOIN m1 USING (Customer_ID) LEFT JOIN m2 USING (Customer_ID) LEFT JOIN m3 USING (Customer_ID)""",
+    _mode_cte("Type_of_order", "m1"), _mode_cte("Type_of_vehicle", "m2"), _mode_cte("City", "m3"),
+)
+_EPOCH = "date_diff('second', TIMESTAMP '1970-01-01', CAST(Order_Datetime AS TIMESTAMP))"
+ORACLE["customer_rfm"] = with_facts(
+    f"""SELECT g.Customer_ID, order_count, {r('total_profit', 'total_profit')}, {r('avg_profit_per_order', 'avg_profit_per_order')},
+  {r('avg_distance', 'avg_distance')}, {r('max_distance', 'max_distance')}, {r('avg_delivery_time', 'avg_delivery_time')},
+  {r('total_delivery_time', 'total_delivery_time')}, {r('avg_rating', 'avg_rating')}, unique_restaurants,
+  m1.Type_of_order AS most_common_order_type,
+  CAST(floor(((SELECT max({_EPOCH}) FROM facts) - lst) / 86400e0) AS BIGINT) AS days_since_last_order,
+  CAST(floor((lst - fst) / 86400e0) AS BIGINT) AS customer_lifetime_days,
+  {r('order_count / (floor((lst - fst) / 86400e0) / 30e0 + 0.01e0)', 'orders_per_month')}
+FROM (SELECT Customer_ID, count(Order_ID) AS order_count, sum(Profit) AS total_profit, avg(Profit) AS avg_profit_per_order,
+        avg(Distance_km) AS avg_distance, max(Distance_km) AS max_distance, avg(Time_taken_min) AS avg_delivery_time,
+        sum(Time_taken_min) AS total_delivery_time, avg(Delivery_person_Ratings) AS avg_rating,
+        count(DISTINCT Restaurant_ID) AS unique_restaurants, max({_EPOCH}) AS lst, min({_EPOCH}) AS fst
+      FROM facts WHERE Customer_ID IS NOT NULL GROUP BY Customer_ID) g
+LEFT JOIN m1 USING (Customer_ID)""",
+    _mode_cte("Type_of_order", "m1"),
+)

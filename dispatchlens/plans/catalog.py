@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from dispatchlens.functions.shapes import round_doubles
-from dispatchlens.plans.materialize import fact_table
+from dispatchlens.plans.materialize import fact_table, memo
 
 Query = Callable[[SparkSession, str], DataFrame]
 _REGISTRY: dict[str, Query] = {}
@@ -105,3 +105,38 @@ def _build() -> None:
     on_facts("efficient_clusters", lambda f: T.efficient_clusters(clustered(f)))
     on_facts("efficient_routes", lambda f: T.efficient_routes(clustered(f)))
     on_facts("route_types_reassigned", lambda f: T.efficient_routes(G.with_location_clusters(f, reassign=True)))
+
+    from dispatchlens.operators import customers as U
+    from dispatchlens.operators import models as M
+
+    on_facts("customer_profile", U.customer_profile)
+    on_facts("customer_rfm", U.customer_rfm)
+    on_facts("customer_segments", U.customer_segments)
+
+    def elbow(f):
+        return memo(f.sparkSession, ("elbow", id(f)), lambda: U.kmeans_elbow(U.customer_rfm(f)))
+
+    def clusters(f):
+        return memo(f.sparkSession, ("customer_clusters", id(f)), lambda: U.customer_clusters(U.customer_rfm(f), elbow(f)[1]))
+
+    on_facts("kmeans_elbow", lambda f: elbow(f)[0])
+    on_facts("customer_cluster_summary", lambda f: U.cluster_summary(clusters(f)[0]))
+    on_facts("customer_cluster_names", lambda f: U.name_segments(*clusters(f)))
+
+    def time_models(f):
+        return memo(f.sparkSession, ("time_models", id(f)), lambda: M.delivery_time_models(f))
+
+    on_facts("delivery_time_models", lambda f: time_models(f)[0])
+    on_facts("delivery_time_importance", lambda f: time_models(f)[1])
+
+    def price_model(f):
+        return memo(f.sparkSession, ("price_model", id(f)), lambda: M.dynamic_price_model(f))
+
+    on_facts("dynamic_price_model", lambda f: price_model(f)[0])
+    on_facts("dynamic_price_importance", lambda f: price_model(f)[1])
+
+    def hourly_model(f):
+        return memo(f.sparkSession, ("hourly_model", id(f)), lambda: M.hourly_demand_model(f))
+
+    on_facts("hourly_demand_model", lambda f: hourly_model(f)[0])
+    on_facts("hourly_demand_importance", lambda f: hourly_model(f)[1])

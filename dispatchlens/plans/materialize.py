@@ -57,3 +57,13 @@ def forget(spark: SparkSession) -> None:
     with _LOCK:
         for k in [k for k in _CACHE if k[0] == app]:
             del _CACHE[k]
+
+
+def memo(spark: SparkSession, key: tuple, build):
+    """Per-session memo for results that are expensive to recompute (fitted
+    models and their small metric tables), keyed like the tables above."""
+    k = _key(spark, "memo", *key)
+    with _LOCK:
+        if k not in _CACHE:
+            _CACHE[k] = build()
+        return _CACHE[k]
