@@ -495,3 +495,48 @@ FROM (SELECT Customer_ID, count(Order_ID) AS order_count, sum(Profit) AS total_p
 LEFT JOIN m1 USING (Customer_ID)""",
     _mode_cte("Type_of_order", "m1"),
 )
+
+# --- recommendations (Z1-Z3) ----------------------------------------------------
+_SEGF_ORDER = "CASE factor " + " ".join(f"WHEN '{f}' THEN {i + 1}" for i, f in enumerate(SEGMENT_FACTORS)) + " END"
+ORACLE["pricing_recommendations"] = with_facts(
+    f"""SELECT 'pricing' AS category, CAST(row_number() OVER (ORDER BY k) AS INTEGER) AS ordinal, text FROM (
+  SELECT 0 AS k, 'Set base delivery fee to ' || CAST(CAST(Base_Price AS DOUBLE) AS VARCHAR) || ' currency units for maximizing profit' AS text
+  FROM (SELECT * FROM g ORDER BY (Profitable_Deliveries_Pct >= 90) DESC, Average_Profit DESC, Base_Price LIMIT 1)
+  UNION ALL
+  SELECT {_SEGF_ORDER}, 'Implement segment-based pricing for ' || factor || ': ' || string_agg(value || ': ' || CAST(CAST(optimal_price AS DOUBLE) AS VARCHAR), ', ' ORDER BY value)
+  FROM (SELECT *, row_number() OVER (PARTITION BY factor ORDER BY value) AS rk FROM so WHERE optimal_price > 0) WHERE rk <= 3 GROUP BY factor
+  UNION ALL SELECT 100, 'Implement dynamic pricing model based on distance, time, and demand patterns')""",
+    _PRICES,
+    f"g AS ({_grid_select('', 'facts')})",
+    *_SEG_CTES[1:],
+    "sg AS (" + _grid_select("factor, value", "lng2") + ")",
+    "so AS (SELECT factor, value, Base_Price AS optimal_price FROM (SELECT *, row_number() OVER (PARTITION BY factor, value "
+    "ORDER BY (Profitable_Deliveries_Pct >= 90) DESC, Average_Profit DESC, Base_Price) AS rk FROM sg) WHERE rk = 1)",
+)
+ORACLE["operations_recommendations"] = with_facts(
+    f"""SELECT 'operations' AS category, CAST(row_number() OVER (ORDER BY k) AS INTEGER) AS ordinal, text FROM (
+  SELECT 1 AS k, 'Work with restaurants ' || string_agg(Restaurant_ID, ', ' ORDER BY rk) || ' to reduce preparation time' AS text
+  FROM (SELECT Restaurant_ID, row_number() OVER (ORDER BY m DESC, Restaurant_ID) AS rk FROM rd) WHERE rk <= 3 HAVING count(*) > 0
+  UNION ALL SELECT 2, 'Focus on reducing average wait time (' || printf('%.1f', avg(Wait_Time_Minutes)) || ' minutes) by optimizing restaurant assignments' FROM facts
+  UNION ALL SELECT 3, 'Address delivery time variability in ' || arg_max(factor, s) || ' to improve consistency'
+  FROM (SELECT factor, avg(sd) AS s FROM (SELECT factor, value, stddev_samp(Time_taken_min) AS sd FROM lng WHERE value IS NOT NULL GROUP BY 1, 2) GROUP BY factor) WHERE s IS NOT NULL)""",
+    "rd AS (SELECT Restaurant_ID, avg(Order_To_Pickup_Minutes) AS m FROM facts WHERE Restaurant_ID IS NOT NULL "
+    "GROUP BY Restaurant_ID HAVING count(Order_To_Pickup_Minutes) >= 10)",
+    f"lng AS ({factor_long(SEGMENT_FACTORS, ['Time_taken_min'])})",
+)
+ORACLE["driver_recommendations"] = with_facts(
+    """SELECT 'driver_management' AS category, CAST(row_number() OVER (ORDER BY k) AS INTEGER) AS ordinal, text FROM (
+  SELECT 1 AS k, 'Increase driver allocation for ' || day || ', especially during ' || shift AS text FROM (
+    SELECT sa.day, sa.shift, row_number() OVER (ORDER BY sa.drivers_needed DESC, sa.shift_index) AS rk
+    FROM sa JOIN (SELECT DayOfWeek FROM sa GROUP BY DayOfWeek ORDER BY sum(drivers_needed) DESC, DayOfWeek LIMIT 1) b USING (DayOfWeek))
+  WHERE rk = 1
+  UNION ALL SELECT 2, 'Analyze top performing drivers'' patterns to develop training program for new drivers'
+  UNION ALL SELECT 3, 'Implement performance-based incentives for drivers to improve delivery efficiency')""",
+    f"ps AS (SELECT DayOfWeek, {_SHIFT} AS shift_index, count(*) AS orders FROM facts "
+    "WHERE DayOfWeek IS NOT NULL AND Order_Hour IS NOT NULL GROUP BY 1, 2)",
+    """sa AS (SELECT sp.DayOfWeek, (['Monday','Tuesday','Wednesday','Thursday','Friday','Saturday','Sunday'])[sp.DayOfWeek + 1] AS day,
+  sp.shift_index, (['Morning (6 AM - 2 PM)','Afternoon (2 PM - 10 PM)','Night (10 PM - 6 AM)'])[sp.shift_index + 1] AS shift,
+  CAST(greatest(1, floor(COALESCE(ps.orders, 0) / 16e0)) AS INTEGER) AS drivers_needed
+FROM (SELECT CAST(i // 3 AS INTEGER) AS DayOfWeek, CAST(i % 3 AS INTEGER) AS shift_index FROM range(21) t(i)) sp
+LEFT JOIN ps ON ps.DayOfWeek = sp.DayOfWeek AND ps.shift_index = sp.shift_index)""",
+)

@@ -140,3 +140,16 @@ def _build() -> None:
 
     on_facts("hourly_demand_model", lambda f: hourly_model(f)[0])
     on_facts("hourly_demand_importance", lambda f: hourly_model(f)[1])
+
+    from dispatchlens.operators import recommend as Z
+
+    on_facts("pricing_recommendations", Z.pricing_recommendations)
+    on_facts("operations_recommendations", Z.operations_recommendations)
+    on_facts("driver_recommendations", Z.driver_recommendations)
+    on_facts("customer_recommendations", lambda f: Z.customer_recommendations(U.name_segments(*clusters(f))))
+    on_facts("route_recommendations", Z.route_recommendations)
+    on_facts("recommendations", lambda f: Z.recommendations(f, U.name_segments(*clusters(f))))
+
+    from dispatchlens.sources.files import preview
+
+    on_facts("preview", lambda f: preview(f, 5))

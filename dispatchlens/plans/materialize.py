@@ -23,7 +23,7 @@ from dispatchlens.plans.facts import facts
 from dispatchlens.session import ensure_checkpoint_dir
 from dispatchlens.sources.star import deliveries_from_star
 
-_LOCK = threading.Lock()
+_LOCK = threading.RLock()
 _CACHE: dict[tuple, DataFrame] = {}
 
 
