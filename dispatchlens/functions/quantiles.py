@@ -99,12 +99,13 @@ def exact_quantiles(
         .select(*gk, "_r", F.lit(0).cast("long").alias("_below"), "_a", "_b", F.col("_n").alias("_cnt"))
     )
     biggest = stats.agg(F.max("_n")).first()[0]
+    if biggest is None or biggest <= collect_limit:
+        return _small_groups(long, targets, keys, measures, names)
     state = ranks
-    if biggest is not None and biggest > collect_limit:
-        from dispatchlens.session import ensure_checkpoint_dir
+    if biggest > collect_limit:
+        from dispatchlens.session import reliable_checkpoint
 
-        ensure_checkpoint_dir(df.sparkSession)
-        state = state.checkpoint()
+        state = reliable_checkpoint(state)
         while True:
             open_ = state.where((F.col("_cnt") > collect_limit) & (F.col("_a") < F.col("_b")))
             if open_.isEmpty():
@@ -129,7 +130,7 @@ def exact_quantiles(
                 F.col("_c").alias("_cnt"),
             )
             kept = _join(state, open_.select(*gk, "_r"), gk + ["_r"], "left_anti")
-            state = kept.unionByName(new).checkpoint()
+            state = reliable_checkpoint(kept.unionByName(new))
     # exact pick: constant intervals are answered directly; the rest rank the
     # (bounded) rows of each distinct interval once, shared by its targets.
     point = state.where(F.col("_a") == F.col("_b")).select(*gk, "_r", F.col("_a").alias("_val"))
@@ -156,6 +157,27 @@ def exact_quantiles(
     return q.groupBy(*keys).agg(*outs)
 
 
+def _small_groups(long, targets, keys, measures, names) -> DataFrame:
+    """Every group holds at most ``collect_limit`` values: rank each group's
+    values once with a window (bounded partitions) and interpolate."""
+    gk = list(keys) + ["_m"]
+    w = Window.partitionBy(*gk).orderBy("_v")
+    ranked = long.select(*gk, "_v", (F.row_number().over(w) - 1).alias("_pos"))
+    wanted = targets.select(*gk, F.explode(F.array_distinct(F.array("_rlo", "_rhi"))).alias("_pos")).distinct()
+    vals = _join(ranked, wanted, gk + ["_pos"])
+    lo = vals.select(*gk, F.col("_pos").alias("_rlo"), F.col("_v").alias("_vlo"))
+    hi = vals.select(*gk, F.col("_pos").alias("_rhi"), F.col("_v").alias("_vhi"))
+    q = _join(_join(targets, lo, gk + ["_rlo"]), hi, gk + ["_rhi"]).select(
+        *gk, "_pi", (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_frac")).alias("_q")
+    )
+    outs = [
+        F.max(F.when((F.col("_m") == m) & (F.col("_pi") == i), F.col("_q"))).alias(f"{m}_{n}")
+        for m in measures
+        for i, n in enumerate(names)
+    ]
+    return q.groupBy(*keys).agg(*outs)
+
+
 def with_quantiles(
     agg: DataFrame,
     df: DataFrame,

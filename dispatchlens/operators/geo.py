@@ -32,7 +32,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dispatchlens.session import ensure_checkpoint_dir
+from dispatchlens.session import ensure_checkpoint_dir, reliable_checkpoint
 
 RESTAURANT_COORDS = ("Restaurant_latitude", "Restaurant_longitude")
 DELIVERY_COORDS = ("Delivery_location_latitude", "Delivery_location_longitude")
@@ -68,7 +68,7 @@ def _components(core: DataFrame, edges: DataFrame, max_rounds: int) -> DataFrame
     """Min-label connected components with pointer jumping; (pid, root)."""
     spark = core.sparkSession
     ensure_checkpoint_dir(spark)
-    labels = core.select(F.col("pid"), F.col("pid").alias("root")).checkpoint()
+    labels = reliable_checkpoint(core.select(F.col("pid"), F.col("pid").alias("root")))
     for _ in range(max_rounds):
         nb = edges.join(labels.withColumnRenamed("pid", "b_pid").withColumnRenamed("root", "nroot"), "b_pid")
         nb = nb.groupBy(F.col("a_pid").alias("pid")).agg(F.min("nroot").alias("nroot"))
@@ -79,7 +79,7 @@ def _components(core: DataFrame, edges: DataFrame, max_rounds: int) -> DataFrame
         jump = step.join(
             step.select(F.col("pid").alias("root"), F.col("root").alias("rroot")), "root", "left"
         ).select("pid", F.when(F.col("rroot") < F.col("root"), F.col("rroot")).otherwise(F.col("root")).alias("root"))
-        jump = jump.checkpoint()
+        jump = reliable_checkpoint(jump)
         changed = jump.join(labels.withColumnRenamed("root", "old"), "pid").where(F.col("root") != F.col("old")).count()
         labels = jump
         if changed == 0:
@@ -102,7 +102,7 @@ def dbscan(
     pairs = neighbour_pairs(pts, cols, eps)
     counts = pairs.groupBy("a_pid").agg(F.sum("b_weight").alias("_nw"))
     core = counts.where(F.col("_nw") >= min_samples).select(F.col("a_pid").alias("pid"))
-    core = core.checkpoint() if True else core
+    core = reliable_checkpoint(core)
     core_b = core.select(F.col("pid").alias("b_pid"))
     core_a = core.select(F.col("pid").alias("a_pid"))
     core_pairs = pairs.join(core_b, "b_pid")  # neighbours that are core

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from dispatchlens.params import FactParams
 from dispatchlens.plans.facts import facts
-from dispatchlens.session import ensure_checkpoint_dir
+from dispatchlens.session import ensure_checkpoint_dir, reliable_checkpoint
 from dispatchlens.sources.star import deliveries_from_star
 
 _LOCK = threading.RLock()
@@ -37,7 +37,7 @@ def raw_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
     with _LOCK:
         if k not in _CACHE:
             ensure_checkpoint_dir(spark)
-            _CACHE[k] = deliveries_from_star(spark, sf_dir).checkpoint(eager=True)
+            _CACHE[k] = reliable_checkpoint(deliveries_from_star(spark, sf_dir))
         return _CACHE[k]
 
 
@@ -47,7 +47,7 @@ def fact_table(spark: SparkSession, sf_dir: str, p: FactParams = FactParams()) -
     raw = raw_deliveries(spark, sf_dir)
     with _LOCK:
         if k not in _CACHE:
-            _CACHE[k] = facts(raw, p).checkpoint(eager=True)
+            _CACHE[k] = reliable_checkpoint(facts(raw, p))
         return _CACHE[k]
 
 

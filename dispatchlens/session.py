@@ -47,3 +47,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         raise RuntimeError("set spark.checkpoint.dir to a shared folder for iterative operators")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="dispatchlens-ckpt-"))
     return sc.getCheckpointDir()
+
+
+def reliable_checkpoint(df):
+    """Checkpoint into the shared checkpoint folder, computing ``df`` once.
+
+    A reliable checkpoint writes the RDD with a second job that recomputes it
+    unless it is persisted, so persist first and release the cache once the
+    files are written (the result then reads only the checkpoint files).
+    """
+    from pyspark import StorageLevel
+
+    ensure_checkpoint_dir(df.sparkSession)
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = cached.checkpoint(eager=True)
+    cached.unpersist()
+    return out
