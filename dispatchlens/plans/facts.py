@@ -108,10 +108,20 @@ def parse_rows(raw: DataFrame, p: FactParams = FactParams()) -> DataFrame:
     )
 
 
-def facts(raw: DataFrame, p: FactParams = FactParams(), drop_incomplete: bool = True) -> DataFrame:
-    """Raw delivery rows -> cleaned fact table."""
+def facts(
+    raw: DataFrame, p: FactParams = FactParams(), drop_incomplete: bool = True, materialize_parsed: bool = True
+) -> DataFrame:
+    """Raw delivery rows -> cleaned fact table.
+
+    With ``materialize_parsed`` the parsed rows are written once (reliable
+    checkpoint in ``spark.checkpoint.dir``) and read by the three aggregates
+    and the final projection, instead of being re-parsed by each of them."""
     col = F.col
     parsed = parse_rows(raw, p)
+    if materialize_parsed:
+        from dispatchlens.session import reliable_checkpoint
+
+        parsed = reliable_checkpoint(parsed)
     # Impute missing waits with the mean over all parsed rows.
     mean_wait = parsed.select(F.avg("Wait_Time_Minutes")).scalar()
     wait = F.coalesce(col("Wait_Time_Minutes"), mean_wait)
