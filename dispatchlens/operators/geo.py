@@ -64,7 +64,7 @@ def neighbour_pairs(points: DataFrame, cols: Sequence[str], eps: float) -> DataF
     return left.join(right, "_ncell").where(d2 <= eps * eps).select("a_pid", "b_pid", "b_weight")
 
 
-def _components(core: DataFrame, edges: DataFrame, max_rounds: int) -> DataFrame:
+def _components(core: DataFrame, edges: DataFrame, max_rounds: int, jumps: int = 1) -> DataFrame:
     """Min-label connected components with pointer jumping; (pid, root)."""
     spark = core.sparkSession
     ensure_checkpoint_dir(spark)
@@ -75,10 +75,13 @@ def _components(core: DataFrame, edges: DataFrame, max_rounds: int) -> DataFrame
         step = labels.join(nb, "pid", "left").select(
             "pid", F.when(F.col("nroot") < F.col("root"), F.col("nroot")).otherwise(F.col("root")).alias("root")
         )
-        # pointer jumping: adopt the label of the current root
-        jump = step.join(
-            step.select(F.col("pid").alias("root"), F.col("root").alias("rroot")), "root", "left"
-        ).select("pid", F.when(F.col("rroot") < F.col("root"), F.col("rroot")).otherwise(F.col("root")).alias("root"))
+        # pointer jumping: adopt the label of the current root (more than one
+        # jump per round would re-plan the round's input once per reference)
+        jump = step
+        for _ in range(jumps):
+            jump = jump.join(
+                jump.select(F.col("pid").alias("root"), F.col("root").alias("rroot")), "root", "left"
+            ).select("pid", F.when(F.col("rroot") < F.col("root"), F.col("rroot")).otherwise(F.col("root")).alias("root"))
         jump = reliable_checkpoint(jump)
         changed = jump.join(labels.withColumnRenamed("root", "old"), "pid").where(F.col("root") != F.col("old")).count()
         labels = jump
