@@ -540,3 +540,36 @@ ORACLE["driver_recommendations"] = with_facts(
 FROM (SELECT CAST(i // 3 AS INTEGER) AS DayOfWeek, CAST(i % 3 AS INTEGER) AS shift_index FROM range(21) t(i)) sp
 LEFT JOIN ps ON ps.DayOfWeek = sp.DayOfWeek AND ps.shift_index = sp.shift_index)""",
 )
+
+# --- preview (S7) and route recommendations (Z5) --------------------------------
+_FACT_DOUBLES = {
+    "Restaurant_latitude", "Restaurant_longitude", "Delivery_location_latitude", "Delivery_location_longitude",
+    "Delivery_person_Age", "Delivery_person_Ratings", "Time_taken_min", "Distance_km", "Route_Efficiency",
+    "Actual_Distance_km", "Order_To_Pickup_Minutes", "Wait_Time_Minutes", "Delivery_Speed", "Restaurant_Prep_Time",
+    "Delivery_Person_Efficiency", "Restaurant_Efficiency", "Time_Cost", "Distance_Cost", "Fuel_Cost",
+    "Maintenance_Cost", "Total_Variable_Cost", "Total_Cost", "Revenue", "Profit", "CO2_Emissions", "Fuel_Consumption",
+}
+
+
+def _preview_sql() -> str:
+    from dispatchlens.plans.facts import FACT_COLUMNS
+
+    cols = ", ".join(r(c, c) if c in _FACT_DOUBLES else c for c in FACT_COLUMNS)
+    return with_facts(f"SELECT {cols} FROM facts ORDER BY Order_ID LIMIT 5")
+
+
+ORACLE["preview"] = _preview_sql()
+_RB, _RC = _hot_sql("Restaurant_latitude", "Restaurant_longitude", "pk_")
+_DB, _DC = _hot_sql("Delivery_location_latitude", "Delivery_location_longitude", "dr_")
+ORACLE["route_recommendations"] = with_facts(
+    f"""SELECT 'route_optimization' AS category, CAST(row_number() OVER (ORDER BY k) AS INTEGER) AS ordinal, text FROM (
+  SELECT 1 AS k, 'Focus on high-profit route types: ' || string_agg(Route_Type, ', ' ORDER BY rk) AS text
+  FROM (SELECT Route_Type, row_number() OVER (ORDER BY ppm DESC, Route_Type) AS rk
+        FROM (SELECT Route_Type, avg(Profit) / NULLIF(avg(Time_taken_min), 0) AS ppm FROM enr GROUP BY Route_Type))
+  WHERE rk <= 3 HAVING count(*) > 0
+  UNION ALL SELECT 2, 'Establish dark kitchens in high-density pickup areas to reduce delivery times and costs'
+  FROM ({_RB}) HAVING count(*) > 0
+  UNION ALL SELECT 3, 'Optimize driver starting positions based on delivery hotspots to minimize empty miles'
+  FROM ({_DB}) HAVING count(*) > 0)""",
+    *_ENR, *_RC, *_DC,
+)
