@@ -124,11 +124,14 @@ def dbscan(
         pts.join(core_lab.withColumn("is_core", F.lit(True)), F.col("_pid") == F.col("pid"), "left").drop("pid")
         .join(border, F.col("_pid") == F.col("pid"), "left").drop("pid")
     )
-    return out.select(
+    # one row per distinct location: written once so that every consumer (label
+    # joins, hot-spot tables, quantile passes) reads it instead of re-running the
+    # neighbour join
+    return reliable_checkpoint(out.select(
         *cols, "weight",
         F.coalesce("is_core", F.lit(False)).alias("is_core"),
         F.coalesce("cluster", "_bc", F.lit(-1)).cast("int").alias("cluster"),
-    )
+    ))
 
 
 def reassign_noise(labels: DataFrame, cols: Sequence[str], k: int = 5, seed: int = 42) -> DataFrame:
