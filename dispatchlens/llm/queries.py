@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from dispatchlens.llm import bpe, common, packing, warc
+from dispatchlens.llm import ann, bpe, common, packing, pivots, simhash, warc
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,11 +16,52 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(common.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op4_adaptive_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest_neighbours(common.table(spark, sf_dir, "embeddings"))
+
+
+def op5_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(common.table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex_digits("fp").alias("fingerprint"), "component_id")
+
+
+def op8_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.pivot_search(common.table(spark, sf_dir, "embeddings"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = common.scratch_path(spark, "warc")
     warc.write_archives(common.table(spark, sf_dir, "pages"), path)
     return warc.read_archives(spark, path, ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_bpe, op10_warc)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_bpe, op4_adaptive_ann, op5_simhash_golay, op8_pivot_topk, op10_warc)}
+
+ORACLE: dict[str, str] = {
+    "op8_pivot_topk": """
+        WITH rows AS (
+            SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND len(embedding) > 0
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+                   CAST(list_sum(list_transform(range(1, least(len(q.v), len(c.v)) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
+            FROM rows q JOIN rows c ON c.vec_id <> q.vec_id
+            WHERE q.vec_id % 50 = 0)
+        SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score
+        FROM scored
+        WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
+        QUALIFY row_number() OVER w <= 5""",
+    "op10_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+        d AS (SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes, sha1(payload) AS hex FROM p),
+        g AS (SELECT *, max(page_id) OVER (PARTITION BY hex, payload_bytes) AS kept FROM d)
+        SELECT page_id, payload_bytes,
+               array_to_string(list_transform(range(0, 32), lambda i:
+                   substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum(list_transform(range(0, 5), lambda j:
+                       (CAST('0x' || hex[CAST(floor((5 * i + j) / 4) AS INTEGER) + 1] AS INTEGER) >> (3 - (5 * i + j) % 4) & 1) * (1 << (4 - j))))::INTEGER, 1)), '') AS payload_digest,
+               CASE WHEN page_id = kept THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> kept THEN kept END AS refers_to
+        FROM g""",
+}
