@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from dispatchlens.llm import ann, bpe, common, language, packing, pivots, quality, simhash, warc
+from dispatchlens.llm import ann, bpe, common, language, packing, pivots, quality, simhash, suffixes, warc
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op5_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits("fp").alias("fingerprint"), "component_id")
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(common.table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op7_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
 
@@ -43,7 +47,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, path, ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_bpe, op4_adaptive_ann, op5_simhash_golay, op7_quality_ftrl, op8_pivot_topk, op9_language_centroids, op10_warc)}
+QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_bpe, op4_adaptive_ann, op5_simhash_golay, op6_suffix_dedup, op7_quality_ftrl, op8_pivot_topk, op9_language_centroids, op10_warc)}
 
 ORACLE: dict[str, str] = {
     "op8_pivot_topk": """
