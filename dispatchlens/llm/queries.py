@@ -4,8 +4,27 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from dispatchlens.llm import ann, bpe, common, language, packing, pivots, quality, simhash, suffixes, warc
+from dispatchlens.llm import ann, bpe, chat, common, language, packing, pivots, quality, simhash, suffixes, warc
+
+
+def conversation_events(conversations: DataFrame) -> DataFrame:
+    """Conversations as tool calls: a user's turn calls the tool ``reply``, the assistant's turn after it is the
+    result, a follow-up is called after the question before it, and other turns are plain messages."""
+    user, assistant = F.col("role") == "user", F.col("role") == "assistant"
+    call = lambda back: F.concat(F.lit("c"), (F.col("turn") - back).cast("string"))
+    question = F.to_json(F.struct(F.col("text").alias("question"), "turn", F.when(F.col("turn") >= 2, call(2)).alias("after")))
+    return conversations.select(
+        "conv_id", "turn", F.when(assistant, "tool").otherwise(F.col("role")).alias("role"), F.when(~user, F.col("text")).alias("text"),
+        F.when(user, call(0)).when(assistant, call(1)).alias("call_id"), F.when(user, "reply").alias("tool"),
+        F.when(user, question).alias("arguments"), F.when(user & (F.col("turn") >= 2), F.array(call(2))).alias("after"),
+    )
+
+
+def op1_chat_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = "SELECT * FROM VALUES ('reply', 'question', 'string', true), ('reply', 'turn', 'integer', true), ('reply', 'after', 'string', true) AS t (tool, param, type, required)"
+    return chat.format_chat(conversation_events(common.table(spark, sf_dir, "conversations")), spark.sql(schema))
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,9 +66,27 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, path, ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_bpe, op4_adaptive_ann, op5_simhash_golay, op6_suffix_dedup, op7_quality_ftrl, op8_pivot_topk, op9_language_centroids, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_chat_tool_calls, op2_best_fit_packing, op3_bpe, op4_adaptive_ann, op5_simhash_golay, op6_suffix_dedup, op7_quality_ftrl, op8_pivot_topk, op9_language_centroids, op10_warc)}
 
 ORACLE: dict[str, str] = {
+    "op1_chat_tool_calls": """
+        WITH e AS (
+            SELECT *, role = 'user' AS is_call, role = 'assistant' AS is_result,
+                   'c' || CASE role WHEN 'user' THEN turn WHEN 'assistant' THEN turn - 1 END AS call_id,
+                   bool_or(role = 'user') OVER (PARTITION BY conv_id ORDER BY turn RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING) AS asked,
+                   bool_or(role = 'assistant') OVER (PARTITION BY conv_id ORDER BY turn RANGE BETWEEN 1 FOLLOWING AND 1 FOLLOWING) AS answered
+            FROM conversations)
+        SELECT conv_id, turn, CASE WHEN is_call THEN 'call' WHEN is_result THEN 'result' ELSE 'message' END AS kind, call_id,
+               CASE WHEN is_call THEN CASE WHEN answered THEN 'linked' ELSE 'unanswered' END
+                    WHEN is_result THEN CASE WHEN asked THEN 'linked' ELSE 'orphan' END END AS status,
+               row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS position,
+               CASE WHEN is_call AND turn < 2 THEN 'after: missing' ELSE '' END AS errors,
+               CASE WHEN is_call THEN '{"arguments":{' || CASE WHEN turn >= 2 THEN '"after":"c' || (turn - 2) || '",' ELSE '' END
+                         || '"question":' || to_json(text) || ',"turn":' || turn || '},"call_id":"' || call_id || '"'
+                         || CASE WHEN turn < 2 THEN ',"errors":["after: missing"]' ELSE '' END || ',"role":"user","tool":"reply"}'
+                    WHEN is_result THEN '{"call_id":"' || call_id || '","content":' || to_json(text) || ',"role":"tool"}'
+                    ELSE '{"content":' || to_json(text) || ',"role":' || to_json(role) || '}' END AS json
+        FROM e""",
     "op8_pivot_topk": """
         WITH rows AS (
             SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
