@@ -43,6 +43,8 @@ class Numbered(dict):
 
 def split(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Distinct pre-tokens, the number of each pre-token of all texts in order, and where each text's begin (n + 1 values)."""
+    if not texts:
+        return [], np.zeros(0, np.int64), np.zeros(1, np.int64)
     big = "\x00".join(texts) + "\x00"
     cps = np.frombuffer(big.encode("utf-32-le", "surrogatepass"), np.uint32)
     kind = classes()[cps]
