@@ -1,21 +1,20 @@
 """Exact grouped quantiles (linear interpolation, as pandas/DuckDB
-``quantile_cont``) without gathering a group into one task.
-
-Spark's exact ``percentile``/``median`` keep every distinct value of a group in
-one aggregation buffer, so one hot group (or a global quantile) must fit in one
-task's memory. Here the work is:
+``quantile_cont``) without shuffling the rows or gathering a group into one task.
 
 1. per (group, measure): count, min, max (partial aggregation);
 2. target ranks ``floor(p*(n-1))`` and ``ceil(p*(n-1))``;
-3. while some target's value interval holds more than ``collect_limit`` values:
+3. while some target's value interval holds more than ``rank_rows`` values:
    histogram the interval into ``buckets`` equal-width buckets (partial
    aggregation, output = targets x buckets), keep the bucket containing the
    rank, and narrow the interval to that bucket's [min, max];
-4. pick the exact value: rank rows within each (bounded) interval with a window.
-
-Step 3 runs only when a group is larger than ``collect_limit``; each pass scans
-the input once and reduces the candidate set by about ``buckets``x. The driver
-sees only one row per pass (the largest open interval), never data.
+4. pick the exact value: count the equal values within each (bounded) interval
+   and rank the counts in a window.
+
+Each pass scans the input once, so rows meet the targets by a broadcast of the
+targets, after their number has been checked (``BROADCAST_TARGETS``); with more
+groups than that by a join. The intervals shrink about ``buckets`` times a pass.
+The same steps run at every size. Building the result runs step 1 and the
+passes, so it is not lazy; the driver sees one number per pass, never data.
 """
 
 from __future__ import annotations
@@ -26,8 +25,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_COLLECT_LIMIT = 2_000_000
-DEFAULT_BUCKETS = 4096
+from dispatchlens.session import written
+
+RANK_ROWS = 50_000
+BUCKETS = 4096
+#: Targets (group, measure, rank) that are broadcast at most.
+BROADCAST_TARGETS = 200_000
 
 
 def _on(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> Column | None:
@@ -63,8 +66,8 @@ def exact_quantiles(
     probs: Sequence[float] = (0.5,),
     names: Sequence[str] | None = None,
     *,
-    collect_limit: int = DEFAULT_COLLECT_LIMIT,
-    buckets: int = DEFAULT_BUCKETS,
+    rank_rows: int = RANK_ROWS,
+    buckets: int = BUCKETS,
 ) -> DataFrame:
     """One row per group: ``keys`` + a column ``<measure>_<name>`` for each
     measure and probability (``names`` default to ``p50`` style labels).
@@ -75,6 +78,7 @@ def exact_quantiles(
     long = _long(df, keys, measures)
     gk = keys + ["_m"]
     stats = long.groupBy(*gk).agg(F.count("_v").alias("_n"), F.min("_v").alias("_a"), F.max("_v").alias("_b"))
+    stats = written(stats, "stats")
     pos = [F.lit(float(p)) * (F.col("_n") - 1) for p in probs]
     targets = stats.select(
         *gk,
@@ -98,51 +102,42 @@ def exact_quantiles(
         .join(stats, gk)
         .select(*gk, "_r", F.lit(0).cast("long").alias("_below"), "_a", "_b", F.col("_n").alias("_cnt"))
     )
-    biggest = stats.agg(F.max("_n")).first()[0]
-    if biggest is None or biggest <= collect_limit:
-        return _small_groups(long, targets, keys, measures, names)
-    state = ranks
-    if biggest > collect_limit:
-        from dispatchlens.session import reliable_checkpoint
-
-        state = reliable_checkpoint(state)
-        while True:
-            open_ = state.where((F.col("_cnt") > collect_limit) & (F.col("_a") < F.col("_b")))
-            if open_.isEmpty():
-                break
-            j = _join(long, open_, gk).where(F.col("_v").between(F.col("_a"), F.col("_b")))
-            bucket = F.least(
-                F.lit(buckets - 1),
-                F.floor((F.col("_v") - F.col("_a")) / (F.col("_b") - F.col("_a")) * buckets),
-            ).cast("int")
-            h = j.groupBy(*gk, "_r", "_below", bucket.alias("_k")).agg(
-                F.count("*").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
-            )
-            w = Window.partitionBy(*gk, "_r").orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)
-            h = h.withColumn("_cum", F.sum("_c").over(w))
-            rel = F.col("_r") - F.col("_below")
-            new = h.where((F.col("_cum") - F.col("_c") <= rel) & (rel < F.col("_cum"))).select(
-                *gk,
-                "_r",
-                (F.col("_below") + F.col("_cum") - F.col("_c")).alias("_below"),
-                F.col("_lo").alias("_a"),
-                F.col("_hi").alias("_b"),
-                F.col("_c").alias("_cnt"),
-            )
-            kept = _join(state, open_.select(*gk, "_r"), gk + ["_r"], "left_anti")
-            state = reliable_checkpoint(kept.unionByName(new))
-    # exact pick: constant intervals are answered directly; the rest rank the
-    # (bounded) rows of each distinct interval once, shared by its targets.
+    state = written(ranks, "ranks")
+    near = F.broadcast if state.count() <= BROADCAST_TARGETS else lambda x: x
+    while True:
+        open_ = state.where((F.col("_cnt") > rank_rows) & (F.col("_a") < F.col("_b")))
+        if open_.isEmpty():
+            break
+        j = _join(long, near(open_), gk).where(F.col("_v").between(F.col("_a"), F.col("_b")))
+        bucket = F.least(
+            F.lit(buckets - 1),
+            F.floor((F.col("_v") - F.col("_a")) / (F.col("_b") - F.col("_a")) * buckets),
+        ).cast("int")
+        h = j.groupBy(*gk, "_r", "_below", bucket.alias("_k")).agg(
+            F.count("*").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
+        )
+        w = Window.partitionBy(*gk, "_r").orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)
+        h = h.withColumn("_cum", F.sum("_c").over(w))
+        rel = F.col("_r") - F.col("_below")
+        new = h.where((F.col("_cum") - F.col("_c") <= rel) & (rel < F.col("_cum"))).select(
+            *gk,
+            "_r",
+            (F.col("_below") + F.col("_cum") - F.col("_c")).alias("_below"),
+            F.col("_lo").alias("_a"),
+            F.col("_hi").alias("_b"),
+            F.col("_c").alias("_cnt"),
+        )
+        kept = _join(state, open_.select(*gk, "_r"), gk + ["_r"], "left_anti")
+        state = written(kept.unionByName(new), "ranks")
+    # exact pick: constant intervals are answered directly; in the others equal
+    # values are counted, and the counts of each (bounded) interval are ranked
     point = state.where(F.col("_a") == F.col("_b")).select(*gk, "_r", F.col("_a").alias("_val"))
-    spans = state.where(F.col("_a") < F.col("_b"))
-    intervals = spans.select(*gk, "_a", "_b").distinct()
-    j = _join(long, intervals, gk).where(F.col("_v").between(F.col("_a"), F.col("_b")))
-    w = Window.partitionBy(*gk, "_a", "_b").orderBy("_v")
-    ranked = j.select(*gk, "_a", "_b", "_v", (F.row_number().over(w) - 1).alias("_pos"))
-    picked = _join(
-        ranked, spans.select(*gk, "_a", "_b", (F.col("_r") - F.col("_below")).alias("_pos"), "_r"),
-        gk + ["_a", "_b", "_pos"],
-    ).select(*gk, "_r", F.col("_v").alias("_val"))
+    spans = state.where(F.col("_a") < F.col("_b")).select(*gk, "_r", "_a", "_b", (F.col("_r") - F.col("_below")).alias("_pos"))
+    j = _join(long, near(spans), gk).where(F.col("_v").between(F.col("_a"), F.col("_b")))
+    counts = j.groupBy(*gk, "_r", "_pos", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy(*gk, "_r").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    counts = counts.withColumn("_cum", F.sum("_c").over(w))
+    picked = counts.where((F.col("_cum") - F.col("_c") <= F.col("_pos")) & (F.col("_pos") < F.col("_cum"))).select(*gk, "_r", F.col("_v").alias("_val"))
     vals = point.unionByName(picked)
     lo = vals.select(*gk, F.col("_r").alias("_rlo"), F.col("_val").alias("_vlo"))
     hi = vals.select(*gk, F.col("_r").alias("_rhi"), F.col("_val").alias("_vhi"))
@@ -157,27 +152,6 @@ def exact_quantiles(
     return q.groupBy(*keys).agg(*outs)
 
 
-def _small_groups(long, targets, keys, measures, names) -> DataFrame:
-    """Every group holds at most ``collect_limit`` values: rank each group's
-    values once with a window (bounded partitions) and interpolate."""
-    gk = list(keys) + ["_m"]
-    w = Window.partitionBy(*gk).orderBy("_v")
-    ranked = long.select(*gk, "_v", (F.row_number().over(w) - 1).alias("_pos"))
-    wanted = targets.select(*gk, F.explode(F.array_distinct(F.array("_rlo", "_rhi"))).alias("_pos")).distinct()
-    vals = _join(ranked, wanted, gk + ["_pos"])
-    lo = vals.select(*gk, F.col("_pos").alias("_rlo"), F.col("_v").alias("_vlo"))
-    hi = vals.select(*gk, F.col("_pos").alias("_rhi"), F.col("_v").alias("_vhi"))
-    q = _join(_join(targets, lo, gk + ["_rlo"]), hi, gk + ["_rhi"]).select(
-        *gk, "_pi", (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_frac")).alias("_q")
-    )
-    outs = [
-        F.max(F.when((F.col("_m") == m) & (F.col("_pi") == i), F.col("_q"))).alias(f"{m}_{n}")
-        for m in measures
-        for i, n in enumerate(names)
-    ]
-    return q.groupBy(*keys).agg(*outs)
-
-
 def with_quantiles(
     agg: DataFrame,
     df: DataFrame,

@@ -9,9 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dispatchlens.params import DAY_NAMES
@@ -88,24 +86,20 @@ def ma_forecast_accuracy(facts: DataFrame) -> DataFrame:
     return forecast_accuracy(moving_average_forecast(facts))
 
 
-def _ar_fit_forecast(values: np.ndarray, order: int, steps: int) -> np.ndarray:
-    """AR(order) on first differences, least squares without intercept, then a
-    recursive ``steps``-ahead forecast integrated back to levels."""
-    x = values.astype(float)
-    dx = np.diff(x)
-    p = min(order, max(len(dx) - 1, 0))
-    if p == 0 or len(dx) <= p:
-        return np.repeat(x[-1] if len(x) else np.nan, steps)
-    rows = np.column_stack([dx[p - i - 1 : len(dx) - i - 1] for i in range(p)])
-    coef, *_ = np.linalg.lstsq(rows, dx[p:], rcond=None)
-    hist = list(dx[-p:][::-1])
-    level, out = x[-1], []
-    for _ in range(steps):
-        step = float(np.dot(coef, hist[:p]))
-        level += step
-        out.append(level)
-        hist = [step, *hist[:-1]]
-    return np.asarray(out)
+def _solve(matrix: Column, order: int) -> Column:
+    """Solution of the normal equations ``matrix`` (rows with the right side last) by Gauss-Jordan steps; an
+    unknown whose pivot vanishes against the first diagonal's sum is zero."""
+    at = lambda m, i, j: F.element_at(F.element_at(m, i), j)
+    size = F.aggregate(F.sequence(F.lit(1), F.lit(order)), F.lit(0.0), lambda s, i: s + at(matrix, i, i))
+
+    def step(m: Column, k: Column) -> Column:
+        pivot = at(m, k, k)
+        gone = pivot <= size * 1e-12
+        row_k = F.transform(F.element_at(m, k), lambda x: F.when(gone, 0.0).otherwise(x / pivot))
+        return F.transform(m, lambda row, i: F.when(i + 1 == k, row_k).otherwise(F.zip_with(row, row_k, lambda x, y: x - F.element_at(row, k) * y)))
+
+    done = F.aggregate(F.sequence(F.lit(1), F.lit(order)), matrix, step)
+    return F.transform(done, lambda row: F.element_at(row, order + 1))
 
 
 def autoregressive_forecast(
@@ -115,53 +109,62 @@ def autoregressive_forecast(
     test_days: int = TEST_DAYS,
     future_days: int = FUTURE_DAYS,
 ) -> DataFrame:
-    """ARIMA(p,1,0)-style forecast: AR(``order``) on the first differences
-    of the zero-filled daily series, fitted on the training days, forecast over
-    the test days and the ``future_days`` after the last day. With ``series``
-    keys (e.g. City) every series is fitted in parallel by ``applyInPandas``;
-    each group is one series of daily counts (bounded by the calendar span)."""
-    keys = list(series)
-    cnt = facts.where(F.col("Order_Date").isNotNull()).groupBy(*keys, F.col("Order_Date").alias("day")).agg(
-        F.count(F.lit(1)).alias("orders")
+    """AR(``order``) without intercept on the first differences of the
+    zero-filled daily series, fitted by least squares on the training days,
+    forecast over the test days and the ``future_days`` after the last day; one
+    series for each value of the ``series`` columns.
+
+    Lags are windows within a series (one row a day), the normal equations sums
+    over its days, the recursion a fold over the forecast days. A series with
+    fewer differences than lags has no equations: its coefficients are zero and the
+    forecast stays at the last training value (null without training days).
+    """
+    keys = [*series, "_all"]
+    cnt = facts.where(F.col("Order_Date").isNotNull()).withColumn("_all", F.lit(0)).groupBy(
+        *[F.col(k).cast("string").alias(k) for k in keys], F.col("Order_Date").alias("day")
+    ).agg(F.count(F.lit(1)).alias("orders"))
+    cnt = cnt.dropna(subset=keys)
+    span = cnt.groupBy(*keys).agg(F.min("day").alias("lo"), F.max("day").alias("hi"))
+    spine = span.select(*keys, "hi", F.explode(F.sequence("lo", "hi", F.expr("INTERVAL 1 DAY"))).alias("day"))
+    daily = spine.join(cnt, [*keys, "day"], "left").withColumn("orders", F.coalesce("orders", F.lit(0)).cast("double"))
+    train = daily.where(F.col("day") <= F.date_sub("hi", test_days))
+    w = Window.partitionBy(*keys).orderBy("day")
+    lags = [f"_d{i}" for i in range(order + 1)]  # _d0 is the day's own difference
+    train = train.withColumn("_d0", F.col("orders") - F.lag("orders").over(w))
+    train = train.withColumns({c: F.lag("_d0", i).over(w) for i, c in enumerate(lags) if i})
+    whole = F.col(lags[-1]).isNotNull()
+    # the rows of the normal equations, the right side (products with the day's own difference) last
+    cells = [[F.coalesce(F.sum(F.when(whole, F.col(x) * F.col(y))), F.lit(0.0)) for y in [*lags[1:], lags[0]]] for x in lags[1:]]
+    fitted = train.groupBy(*keys).agg(
+        F.array(*[F.array(*row) for row in cells]).alias("_m"),
+        F.max("day").alias("_last"),
+        F.max_by(F.struct("orders", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in lags[:-1]]), "day").alias("_end"),
     )
-    fields = [f"{k} string" for k in keys]
-    schema = ", ".join([*fields, "day date", "split string", "actual double", "forecast double"])
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("day")
-        days = pd.date_range(pdf["day"].min(), pdf["day"].max(), freq="D")
-        y = pdf.set_index(pd.to_datetime(pdf["day"]))["orders"].reindex(days, fill_value=0)
-        train, test = y.iloc[:-test_days], y.iloc[-test_days:]
-        fc = _ar_fit_forecast(train.to_numpy(), order, len(test) + future_days)
-        fut_days = pd.date_range(days[-1] + pd.Timedelta(days=1), periods=future_days, freq="D")
-        out = pd.DataFrame(
-            {
-                "day": list(test.index.date) + list(fut_days.date),
-                "split": ["test"] * len(test) + ["future"] * future_days,
-                "actual": list(test.to_numpy(dtype=float)) + [np.nan] * future_days,
-                "forecast": fc[: len(test) + future_days],
-            }
-        )
-        for k in keys:
-            out.insert(0, k, str(pdf[k].iloc[0]))
-        return out
-
-    if keys:
-        return cnt.groupBy(*keys).applyInPandas(fit, schema)
-    return cnt.withColumn("_series", F.lit(0)).groupBy("_series").applyInPandas(
-        lambda pdf: fit(pdf.drop(columns="_series")), schema
-    )
-
-
-def hourly_orders(facts: DataFrame, min_rows: int = 1000) -> DataFrame:
-    """Orders per observed (day, hour), with a timestamp key; empty when
-    the fact table has fewer than ``min_rows`` rows (the reference's gate)."""
-    n = facts.select(F.count(F.lit(1))).scalar()
+    fitted = fitted.select(*keys, "_last", F.col("_end.orders").alias("_level"), F.array(*[F.col(f"_end.{c}") for c in lags[:-1]]).alias("_hist"), _solve(F.col("_m"), order).alias("_coef"))
+    ahead = span.join(fitted, keys, "left").withColumn("_from", F.coalesce(F.date_add("_last", 1), "lo"))
+    steps = F.datediff("hi", "_from") + 1 + future_days
+    begin = F.struct(F.col("_hist").alias("hist"), F.col("_level").alias("level"), F.array().cast("array<double>").alias("out"))
+
+    def one_day(state: Column, _: Column) -> Column:
+        move = F.aggregate(F.zip_with("_coef", state["hist"], lambda c, d: c * d), F.lit(0.0), lambda s, x: s + x)
+        level = state["level"] + move
+        return F.struct(F.slice(F.concat(F.array(move), state["hist"]), 1, order).alias("hist"), level.alias("level"), F.concat(state["out"], F.array(level)).alias("out"))
+
+    path = F.aggregate(F.sequence(F.lit(1), steps), begin, one_day)["out"]
+    path = F.coalesce(path, F.array_repeat(F.lit(None).cast("double"), steps))
+    days = ahead.select(*keys, "hi", "_from", F.posexplode(path).alias("_i", "forecast"))
+    days = days.withColumn("day", F.date_add("_from", F.col("_i")))
+    split = F.when(F.col("day") <= F.col("hi"), "test").otherwise("future")
+    out = days.withColumn("split", split).join(daily.select(*keys, "day", F.col("orders").alias("actual")), [*keys, "day"], "left")
+    return out.select(*series, "day", "split", "actual", "forecast").orderBy(*series, "day")
+
+
+def hourly_orders(facts: DataFrame) -> DataFrame:
+    """Orders per observed (day, hour), with a timestamp key."""
     g = (
         facts.where(F.col("Order_Date").isNotNull() & F.col("Order_Hour").isNotNull())
         .groupBy(F.col("Order_Date").alias("day"), F.col("Order_Hour").alias("hour"))
         .agg(F.count(F.lit(1)).alias("orders"))
-        .where(n >= min_rows)
     )
     ts = F.make_timestamp_ntz(F.year("day"), F.month("day"), F.dayofmonth("day"), F.col("hour"), F.lit(0), F.lit(0))
     return g.select(ts.alias("ts"), "day", "hour", "orders").orderBy("ts")

@@ -1,38 +1,39 @@
 """Density clustering of locations (C1-C4) and hot zones.
 
-DBSCAN as a Spark job
----------------------
+DBSCAN as Spark jobs
+--------------------
 1. Points are the distinct coordinates with a weight = number of order rows
    at that location (``weighted=True``: every order counts, as when clustering
-   the order rows themselves) or 1 (``weighted=False``: distinct sites).
-2. Neighbours: space is cut into cells of side ``eps``; a point can only have
-   neighbours in its own or an adjacent cell, so each point is emitted to its
-   3^d neighbour cells and equi-joined on the cell key with the points of that
-   cell; the residual keeps pairs with sum of squared differences <= eps^2
-   (inclusive, self-pairs included). Work is proportional to the pairs inside
-   adjacent cells, never to all pairs.
-3. Core points: weighted neighbour count >= ``min_samples``.
-4. Clusters = connected components of the core-core graph: every core point
-   starts with its own id; each round takes the minimum label over neighbours
-   and then follows the label pointer once (pointer jumping), until no label
-   changes. The label table is checkpointed (reliably) each round; the driver
-   sees one number per round.
-5. A non-core point takes the smallest label among adjacent core points
+   the order rows themselves) or 1 (``weighted=False``: distinct sites). They
+   are written once.
+2. Space is cut into cells of side ``eps / sqrt(d)``, so all points of a cell are
+   neighbours (sum of squared differences <= eps^2, inclusive). A cell whose
+   weight reaches ``min_samples`` is dense: all its points are core, without a
+   comparison. Other cells hold fewer than ``min_samples`` points; only those are
+   compared with the points of the cells around, which is linear in the points.
+3. The core points of a cell belong together, so clusters are connected components of
+   cells. Two cells are linked if a core point of one is a neighbour of one
+   of the other: decided from the bounding boxes of 4^d parts of each cell where
+   the boxes' largest or smallest distance tells, and by comparing points only
+   for the pairs of parts in between.
+4. A non-core point takes the smallest label among adjacent core points
    (border), else -1 (noise). Cluster numbers 0..k-1 follow the order of each
-   cluster's smallest coordinates, so results do not depend on input order or
-   partitioning.
+   cluster's smallest core coordinates, so results do not depend on input order
+   or partitioning.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dispatchlens.session import ensure_checkpoint_dir, reliable_checkpoint
+from dispatchlens.functions.graph import components
+from dispatchlens.session import written
 
 RESTAURANT_COORDS = ("Restaurant_latitude", "Restaurant_longitude")
 DELIVERY_COORDS = ("Delivery_location_latitude", "Delivery_location_longitude")
@@ -46,92 +47,83 @@ def _sites(df: DataFrame, cols: Sequence[str], weighted: bool) -> DataFrame:
     return pts.withColumn("_pid", F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(cols)]))
 
 
-def neighbour_pairs(points: DataFrame, cols: Sequence[str], eps: float) -> DataFrame:
-    """(a_pid, b_pid, b_weight) for all point pairs within ``eps`` (incl. self)."""
-    cell = F.array(*[F.floor(F.col(c) / eps) for c in cols])
-    left = points.select(
-        F.col("_pid").alias("a_pid"), *[F.col(c).alias(f"a{i}") for i, c in enumerate(cols)], cell.alias("_cell")
-    )
-    offs = [F.array(*[F.lit(o) for o in off]) for off in itertools.product((-1, 0, 1), repeat=len(cols))]
-    left = left.select(
-        "*", F.explode(F.array(*[F.zip_with("_cell", o, lambda x, y: x + y) for o in offs])).alias("_ncell")
-    ).drop("_cell")
-    right = points.select(
-        F.col("_pid").alias("b_pid"), *[F.col(c).alias(f"b{i}") for i, c in enumerate(cols)],
-        F.col("weight").alias("b_weight"), cell.alias("_ncell"),
-    )
-    d2 = reduce(lambda a, b: a + b, [(F.col(f"a{i}") - F.col(f"b{i}")) * (F.col(f"a{i}") - F.col(f"b{i}")) for i in range(len(cols))])
-    return left.join(right, "_ncell").where(d2 <= eps * eps).select("a_pid", "b_pid", "b_weight")
-
-
-def _components(core: DataFrame, edges: DataFrame, max_rounds: int, jumps: int = 1) -> DataFrame:
-    """Min-label connected components with pointer jumping; (pid, root)."""
-    spark = core.sparkSession
-    ensure_checkpoint_dir(spark)
-    labels = reliable_checkpoint(core.select(F.col("pid"), F.col("pid").alias("root")))
-    for _ in range(max_rounds):
-        nb = edges.join(labels.withColumnRenamed("pid", "b_pid").withColumnRenamed("root", "nroot"), "b_pid")
-        nb = nb.groupBy(F.col("a_pid").alias("pid")).agg(F.min("nroot").alias("nroot"))
-        step = labels.join(nb, "pid", "left").select(
-            "pid", F.when(F.col("nroot") < F.col("root"), F.col("nroot")).otherwise(F.col("root")).alias("root")
-        )
-        # pointer jumping: adopt the label of the current root (more than one
-        # jump per round would re-plan the round's input once per reference)
-        jump = step
-        for _ in range(jumps):
-            jump = jump.join(
-                jump.select(F.col("pid").alias("root"), F.col("root").alias("rroot")), "root", "left"
-            ).select("pid", F.when(F.col("rroot") < F.col("root"), F.col("rroot")).otherwise(F.col("root")).alias("root"))
-        jump = reliable_checkpoint(jump)
-        changed = jump.join(labels.withColumnRenamed("root", "old"), "pid").where(F.col("root") != F.col("old")).count()
-        labels = jump
-        if changed == 0:
-            break
-    return labels
-
-
-def dbscan(
-    df: DataFrame,
-    cols: Sequence[str],
-    eps: float,
-    min_samples: int,
-    weighted: bool = True,
-    max_rounds: int = 500,
-) -> DataFrame:
+def _around(d: int, half: bool = False) -> Column:
+    """Offsets to the cells that can hold neighbours (``half``: one of each two opposite ones, without the cell itself)."""
+    reach = math.ceil(math.sqrt(d))
+    every = itertools.product(range(-reach, reach + 1), repeat=d)
+    return F.array(*[F.array(*[F.lit(o).cast("long") for o in off]) for off in every if not half or off > (0,) * d])
+
+
+def _moved(cell: str, offset: Column) -> Column:
+    return F.transform(offset, lambda o: F.zip_with(F.col(cell), o, lambda x, y: x + y))
+
+
+def _within(a: str, b: str, d: int, eps: float) -> Column:
+    diff = [F.col(f"{a}{i}") - F.col(f"{b}{i}") for i in range(d)]
+    return reduce(lambda x, y: x + y, [x * x for x in diff]) <= eps * eps
+
+
+def _named(points: DataFrame, cols: Sequence[str], name: str, *keys: str) -> DataFrame:
+    return points.select(*[F.col(k).alias(f"{name}_{k}") for k in keys], *[F.col(c).alias(f"{name}{i}") for i, c in enumerate(cols)])
+
+
+def _linked_cells(core: DataFrame, cols: Sequence[str], eps: float) -> DataFrame:
+    """Pairs of cells (ca, cb) with neighbouring core points; ``core`` has cell and part."""
+    d = len(cols)
+    boxes = core.groupBy("cell", "part").agg(*[f(c).alias(f"{n}{i}") for i, c in enumerate(cols) for n, f in (("lo", F.min), ("hi", F.max))])
+    boxes = written(boxes, "boxes")
+    a = boxes.select(*[F.col(c).alias(f"a_{c}") for c in boxes.columns], F.explode(_moved("cell", _around(d, half=True))).alias("b_cell"))
+    b = boxes.select(*[F.col(c).alias(f"b_{c}") for c in boxes.columns])
+    over = [F.col(f"a_hi{i}") - F.col(f"b_lo{i}") for i in range(d)]
+    under = [F.col(f"b_hi{i}") - F.col(f"a_lo{i}") for i in range(d)]
+    squares = lambda xs: reduce(lambda x, y: x + y, [x * x for x in xs])
+    far = squares([F.greatest(x, y) for x, y in zip(over, under)])
+    gap = squares([F.greatest(F.lit(0.0), -x, -y) for x, y in zip(over, under)])
+    pairs = written(a.join(b, "b_cell").where(gap <= eps * eps).select("a_cell", "b_cell", "a_part", "b_part", (far <= eps * eps).alias("sure")), "box-pairs")
+    sure = written(pairs.where("sure").select("a_cell", "b_cell").distinct(), "sure-pairs")
+    maybe = pairs.where(~F.col("sure")).join(sure, ["a_cell", "b_cell"], "left_anti")
+    tested = maybe.join(_named(core, cols, "a", "cell", "part"), ["a_cell", "a_part"]).join(_named(core, cols, "b", "cell", "part"), ["b_cell", "b_part"])
+    return sure.unionByName(tested.where(_within("a", "b", d, eps)).select("a_cell", "b_cell").distinct())
+
+
+def _numbered(rows: DataFrame, by: str, name: str) -> DataFrame:
+    """``name``: the place of each row in the order of the distinct values ``by``, from 0, without one task that sees all rows."""
+    dealt = written(rows.repartitionByRange(by).withColumn("_part", F.spark_partition_id()), "dealt")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    base = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(by)) - 1
+    return dealt.withColumn("_own", own).join(base, "_part").withColumn(name, F.col("_own") + F.col("_base")).drop("_part", "_own", "_base")
+
+
+def dbscan(df: DataFrame, cols: Sequence[str], eps: float, min_samples: int, weighted: bool = True) -> DataFrame:
     """One row per distinct location: coordinates, weight, is_core, cluster
     (-1 = noise)."""
-    cols = list(cols)
-    pts = _sites(df, cols, weighted)
-    pairs = neighbour_pairs(pts, cols, eps)
-    counts = pairs.groupBy("a_pid").agg(F.sum("b_weight").alias("_nw"))
-    core = counts.where(F.col("_nw") >= min_samples).select(F.col("a_pid").alias("pid"))
-    core = reliable_checkpoint(core)
-    core_b = core.select(F.col("pid").alias("b_pid"))
-    core_a = core.select(F.col("pid").alias("a_pid"))
-    core_pairs = pairs.join(core_b, "b_pid")  # neighbours that are core
-    edges = core_pairs.join(core_a, "a_pid").where(F.col("a_pid") != F.col("b_pid")).select("a_pid", "b_pid")
-    roots = _components(core, edges, max_rounds)
-    # dense cluster numbers ordered by the cluster's smallest point; the window
-    # runs over one row per cluster
-    ids = roots.select("root").distinct().withColumn("cluster", (F.dense_rank().over(Window.orderBy("root")) - 1).cast("int"))
-    core_lab = roots.join(ids, "root").select("pid", "cluster")
-    border = (
-        core_pairs.join(core_lab.withColumnRenamed("pid", "b_pid"), "b_pid")
-        .groupBy(F.col("a_pid").alias("pid"))
-        .agg(F.min("cluster").alias("_bc"))
-    )
-    out = (
-        pts.join(core_lab.withColumn("is_core", F.lit(True)), F.col("_pid") == F.col("pid"), "left").drop("pid")
-        .join(border, F.col("_pid") == F.col("pid"), "left").drop("pid")
-    )
-    # one row per distinct location: written once so that every consumer (label
-    # joins, hot-spot tables, quantile passes) reads it instead of re-running the
-    # neighbour join
-    return reliable_checkpoint(out.select(
+    cols, d = list(cols), len(cols)
+    side = eps / math.sqrt(d) * (1 - 1e-9)  # rounding can't bring a cell's points out of reach
+    grid = lambda s: F.array(*[F.floor(F.col(c) / s) for c in cols])
+    pts = written(_sites(df, cols, weighted).withColumns({"cell": grid(side), "part": grid(side / 4)}), "sites")
+    cells = written(pts.groupBy("cell").agg((F.sum("weight") >= min_samples).alias("dense")), "cells")
+    placed = pts.join(cells, "cell")
+    sparse = placed.where(~F.col("dense"))
+    left = sparse.select(F.col("_pid").alias("a_pid"), *[F.col(c).alias(f"a{i}") for i, c in enumerate(cols)], F.explode(_moved("cell", _around(d))).alias("cell"))
+    right = pts.select(F.col("_pid").alias("b_pid"), "weight", "cell", *[F.col(c).alias(f"b{i}") for i, c in enumerate(cols)])
+    near = written(left.join(right, "cell").where(_within("a", "b", d, eps)).select("a_pid", "b_pid", "weight"), "near")
+    reached = near.groupBy(F.col("a_pid").alias("_pid")).agg(F.sum("weight").alias("_w")).where(F.col("_w") >= min_samples).select("_pid")
+    keep = ["_pid", *cols, "cell", "part"]
+    core = written(placed.where("dense").select(*keep).unionByName(sparse.join(reached, "_pid", "left_semi").select(*keep)), "core")
+    roots = components(_linked_cells(core, cols, eps), "a_cell", "b_cell").withColumnRenamed("x", "cell")
+    firsts = core.groupBy("cell").agg(F.min("_pid").alias("first")).join(roots, "cell", "left").withColumn("root", F.coalesce("root", "cell"))
+    clusters = _numbered(firsts.groupBy("root").agg(F.min("first").alias("first")), "first", "cluster")
+    numbers = written(firsts.select("cell", "root").join(clusters.select("root", F.col("cluster").cast("int").alias("cluster")), "root").select("cell", "cluster"), "numbers")
+    labelled = core.join(numbers, "cell").select("_pid", "cluster")
+    border = near.join(labelled.withColumnRenamed("_pid", "b_pid"), "b_pid").groupBy(F.col("a_pid").alias("_pid")).agg(F.min("cluster").alias("_edge"))
+    out = pts.join(labelled.withColumn("is_core", F.lit(True)), "_pid", "left").join(border, "_pid", "left")
+    # written once, so that every consumer reads it
+    return written(out.select(
         *cols, "weight",
         F.coalesce("is_core", F.lit(False)).alias("is_core"),
-        F.coalesce("cluster", "_bc", F.lit(-1)).cast("int").alias("cluster"),
-    ))
+        F.coalesce("cluster", "_edge", F.lit(-1)).cast("int").alias("cluster"),
+    ), "clusters")
 
 
 def reassign_noise(labels: DataFrame, cols: Sequence[str], k: int = 5, seed: int = 42) -> DataFrame:

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from dispatchlens.session import written
+
 SEED = 42
 TIME_FEATURES = (
     "Distance_km", "Order_Hour", "Pickup_Hour", "DayOfWeek", "IsWeekend", "IsPeakHour", "IsHoliday",
@@ -83,48 +85,55 @@ def regression_metrics(pred: DataFrame, label: str, prediction: str = "predictio
                     (F.lit(1.0) - F.col("_sse") / (F.col("_var") * F.col("_n"))).alias("r2"))
 
 
-def _importances(model, pipeline_model, nums, cats) -> list[tuple[str, float]]:
-    names = list(nums)
-    for st in pipeline_model.stages:
-        if hasattr(st, "labelsArray") and cats:
-            for c, labels in zip(cats, st.labelsArray):
-                names += [f"{c}_{v}" for v in labels]  # dropLast drops the 'keep' slot
-    imp = model.featureImportances.toArray()
-    return sorted(zip(names[: len(imp)], map(float, imp)), key=lambda t: -t[1])
+def feature_names(vectors: DataFrame, column: str = "features") -> list[str]:
+    """Names of a vector column's slots, from the attributes that the feature stages leave with it."""
+    attrs = vectors.schema[column].metadata["ml_attr"]["attrs"]
+    return [x["name"] for x in sorted((x for kind in attrs.values() for x in kind), key=lambda x: x["idx"])]
+
+
+def _importances(model, names: Sequence[str], nums: Sequence[str], cats: Sequence[str]) -> list[tuple[str, float]]:
+    """Importance of each input: numeric columns by name, categories as ``column_value``."""
+    plain = []
+    for n in names:
+        if n.startswith("_nums_z_"):
+            plain.append(nums[int(n.rsplit("_", 1)[1])])
+        else:
+            c = next(c for c in cats if n.startswith(f"_{c}_v_"))
+            plain.append(f"{c}_{n.removeprefix(f'_{c}_v_')}")
+    return sorted(zip(plain, map(float, model.featureImportances.toArray())), key=lambda t: (-t[1], t[0]))
 
 
 def delivery_time_models(facts: DataFrame, label: str = "Time_taken_min", models: Sequence[str] | None = None):
     """M1-M9: fit linear, ridge, random forest and boosted trees on an 80/20
     hash split; return (metrics DataFrame, importances DataFrame of the best
-    model by MAE — empty for linear winners)."""
+    tree model by MAE; ``is_best`` marks the best of all models). The feature
+    stages are fitted once; train and test vectors are written once."""
     from pyspark.ml import Pipeline
 
     nums, cats = time_features(facts)
     data = facts.select("Order_ID", *nums, *cats, F.col(label).cast("double").alias(label)).dropna(subset=[label])
     train, test = hash_split(data)
-    train = train.persist()
-    st = train.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop(label).alias("s")).first()
+    stages = Pipeline(stages=feature_pipeline(nums, cats)).fit(train)
+    shaped = stages.transform(train)
+    names = feature_names(shaped)
+    vectors = [written(d.select("features", label), "vectors") for d in (shaped, stages.transform(test))]
+    st = vectors[0].agg(F.count(F.lit(1)).alias("n"), F.stddev_pop(label).alias("s")).first()
     regs = _regressors(label, st["n"], st["s"] or 0.0)
     rows, fitted = [], {}
     for name, reg in regs.items():
         if models and name not in models:
             continue
-        pm = Pipeline(stages=[*feature_pipeline(nums, cats), reg]).fit(train)
-        m = regression_metrics(pm.transform(test), label).first()
+        fitted[name] = reg.fit(vectors[0])
+        m = regression_metrics(fitted[name].transform(vectors[1]), label).first()
         rows.append((name, m["mae"], m["mse"], m["rmse"], m["r2"]))
-        fitted[name] = pm
     best = min(rows, key=lambda r: r[1])[0]
     spark = facts.sparkSession
     metrics = spark.createDataFrame(
         [(*r, r[0] == best) for r in rows], "model string, mae double, mse double, rmse double, r2 double, is_best boolean"
     )
-    imps: list[tuple[str, float]] = []
-    if best in ("Random Forest", "Boosted Trees"):
-        pm = fitted[best]
-        imps = _importances(pm.stages[-1], pm, nums, cats)
-    importances = spark.createDataFrame(imps, "feature string, importance double")
-    train.unpersist()
-    return metrics, importances
+    trees = [r for r in rows if r[0] in ("Random Forest", "Boosted Trees")]
+    imps = _importances(fitted[min(trees, key=lambda r: r[1])[0]], names, nums, cats) if trees else []
+    return metrics, spark.createDataFrame(imps, "feature string, importance double")
 
 
 def dynamic_price_model(facts: DataFrame, features: Sequence[str] = PRICE_FEATURES, markup: float = 1.25):

@@ -334,7 +334,7 @@ UNION ALL SELECT day, split, {r('actual', 'actual')}, {r('forecast', 'forecast')
 _HO = (
     "ho AS (SELECT CAST(Order_Date AS TIMESTAMP) + to_hours(Order_Hour) AS ts, Order_Date AS day, Order_Hour AS hour, "
     "count(*) AS orders FROM facts WHERE Order_Date IS NOT NULL AND Order_Hour IS NOT NULL "
-    "AND (SELECT count(*) FROM facts) >= 1000 GROUP BY Order_Date, Order_Hour)"
+    "GROUP BY Order_Date, Order_Hour)"
 )
 ORACLE["hourly_orders"] = with_facts("SELECT ts, day, hour, orders FROM ho", _HO)
 ORACLE["hourly_features"] = with_facts(

@@ -18,7 +18,7 @@ Scale notes
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dispatchlens.functions import columns as C
@@ -113,36 +113,43 @@ def facts(
 ) -> DataFrame:
     """Raw delivery rows -> cleaned fact table.
 
-    With ``materialize_parsed`` the parsed rows are written once (reliable
-    checkpoint in ``spark.checkpoint.dir``) and read by the three aggregates
+    With ``materialize_parsed`` the parsed rows are written once (as Parquet
+    in the shared checkpoint folder) and read by the three aggregates
     and the final projection, instead of being re-parsed by each of them."""
     col = F.col
     parsed = parse_rows(raw, p)
     if materialize_parsed:
-        from dispatchlens.session import reliable_checkpoint
+        from dispatchlens.session import written
 
-        parsed = reliable_checkpoint(parsed)
+        parsed = written(parsed, "parsed")
     # Impute missing waits with the mean over all parsed rows.
     mean_wait = parsed.select(F.avg("Wait_Time_Minutes")).scalar()
-    wait = F.coalesce(col("Wait_Time_Minutes"), mean_wait)
-    speed = F.try_divide(col("Distance_km"), col("Time_taken_min"))
-    prep = wait * F.lit(p.prep_share_of_wait)
-    enriched = parsed.withColumns(
+    enriched = with_rates(parsed, mean_wait, p)
+    by_driver, by_restaurant = group_means(enriched)
+    return with_costs(enriched.join(by_driver, "Delivery_person_ID", "left").join(by_restaurant, "Restaurant_ID", "left"), p, drop_incomplete)
+
+
+def with_rates(parsed: DataFrame, mean_wait: Column, p: FactParams) -> DataFrame:
+    """Waits with missing ones imputed, speed and preparation time."""
+    wait = F.coalesce(F.col("Wait_Time_Minutes"), mean_wait)
+    return parsed.withColumns(
         {
             "Wait_Time_Minutes": wait,
-            "Delivery_Speed": speed,
-            "Restaurant_Prep_Time": prep,
+            "Delivery_Speed": F.try_divide(F.col("Distance_km"), F.col("Time_taken_min")),
+            "Restaurant_Prep_Time": wait * F.lit(p.prep_share_of_wait),
         }
     )
-    # Group means over all parsed rows, joined back on the key.
-    by_driver = enriched.groupBy("Delivery_person_ID").agg(F.avg("Delivery_Speed").alias("_driver_speed"))
-    by_rest = (
-        enriched.where(col("Restaurant_ID").isNotNull())
-        .groupBy("Restaurant_ID")
-        .agg(F.avg("Restaurant_Prep_Time").alias("_rest_prep"))
-    )
-    joined = enriched.join(by_driver, "Delivery_person_ID", "left").join(by_rest, "Restaurant_ID", "left")
-    c = p.cost
+
+
+def group_means(enriched: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Means over all parsed rows by driver and by restaurant, without null keys."""
+    by = lambda key, value, name: enriched.where(F.col(key).isNotNull()).groupBy(key).agg(F.avg(value).alias(name))
+    return by("Delivery_person_ID", "Delivery_Speed", "_driver_speed"), by("Restaurant_ID", "Restaurant_Prep_Time", "_rest_prep")
+
+
+def with_costs(joined: DataFrame, p: FactParams, drop_incomplete: bool = True) -> DataFrame:
+    """P16-P21 from rows that carry their group means."""
+    col, c = F.col, p.cost
     time_cost = col("Time_taken_min") * F.lit(c.cost_per_min)
     dist_cost = col("Distance_km") * F.lit(c.cost_per_km)
     fuel_cost = col("Distance_km") * F.lit(c.fuel_cost_per_km)

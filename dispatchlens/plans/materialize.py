@@ -1,15 +1,18 @@
 """Materialized inputs shared by all operators of a session.
 
-The raw delivery table (S3) and the fact table are each written once with a
-reliable ``checkpoint()`` into ``spark.checkpoint.dir`` (a shared folder on a
-cluster) and reused by every operator. This
-
-* cuts lineage: operators plan against a parquet-like scan, not the star-join
-  plus ~50 parsed columns (which otherwise inline into one generated method);
-* survives executor loss: checkpoint files live in the shared folder, unlike
-  cached blocks or local checkpoints;
+The fact table is written once as Parquet, partitioned by order month, into the
+folder that the caller names or else the shared checkpoint folder, and read by
+every operator. This
+
+* cuts lineage: operators plan against a Parquet scan of the columns they use,
+  with filters (months as partition filters) pushed into it, not against the
+  star join and ~50 parsed columns;
+* survives executor loss: the files live in the shared folder;
 * computes the data-dependent columns (global mean wait, per-driver and
   per-restaurant means) once.
+
+A table is kept under its input's path and parameters; call :func:`forget` after
+the files at that path have changed. Each table or model is built under a lock of its own.
 """
 
 from __future__ import annotations
@@ -20,10 +23,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from dispatchlens.params import FactParams
 from dispatchlens.plans.facts import facts
-from dispatchlens.session import ensure_checkpoint_dir, reliable_checkpoint
+from dispatchlens.session import written
 from dispatchlens.sources.star import deliveries_from_star
 
-_LOCK = threading.RLock()
+_LOCK = threading.Lock()
+_BUILDING: dict[tuple, threading.RLock] = {}
 _CACHE: dict[tuple, DataFrame] = {}
 
 
@@ -31,24 +35,27 @@ def _key(spark: SparkSession, *parts) -> tuple:
     return (spark.sparkContext.applicationId, *parts)
 
 
-def raw_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S3 output, checkpointed once per session and input directory."""
-    k = _key(spark, "raw", sf_dir)
+def _once(k: tuple, build):
     with _LOCK:
+        lock = _BUILDING.setdefault(k, threading.RLock())
+    with lock:
         if k not in _CACHE:
-            ensure_checkpoint_dir(spark)
-            _CACHE[k] = reliable_checkpoint(deliveries_from_star(spark, sf_dir))
+            _CACHE[k] = build()
         return _CACHE[k]
 
 
-def fact_table(spark: SparkSession, sf_dir: str, p: FactParams = FactParams()) -> DataFrame:
-    """Fact table over the whole input, checkpointed once per session."""
-    k = _key(spark, "facts", sf_dir, p)
-    raw = raw_deliveries(spark, sf_dir)
-    with _LOCK:
-        if k not in _CACHE:
-            _CACHE[k] = reliable_checkpoint(facts(raw, p))
-        return _CACHE[k]
+def raw_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S3 output over the whole input."""
+    return _once(_key(spark, "raw", sf_dir), lambda: deliveries_from_star(spark, sf_dir))
+
+
+def fact_table(spark: SparkSession, sf_dir: str, p: FactParams = FactParams(), path: str | None = None) -> DataFrame:
+    """Fact table over the whole input, written once per session (to ``path``, if given)."""
+
+    def build() -> DataFrame:
+        return written(facts(raw_deliveries(spark, sf_dir), p), "facts", path, by=("Year", "Month"))
+
+    return _once(_key(spark, "facts", sf_dir, p, path), build)
 
 
 def forget(spark: SparkSession) -> None:
@@ -62,8 +69,4 @@ def forget(spark: SparkSession) -> None:
 def memo(spark: SparkSession, key: tuple, build):
     """Per-session memo for results that are expensive to recompute (fitted
     models and their small metric tables), keyed like the tables above."""
-    k = _key(spark, "memo", *key)
-    with _LOCK:
-        if k not in _CACHE:
-            _CACHE[k] = build()
-        return _CACHE[k]
+    return _once(_key(spark, "memo", *key), build)

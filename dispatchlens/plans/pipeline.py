@@ -1,8 +1,7 @@
 """Run the whole catalogue.
 
-``run_all`` materializes the fact table once (reliable checkpoint), adds the
-location clusters and customer segments, and returns every analysis as a lazy
-DataFrame keyed ``<analysis>_<result>``; ``save_all`` writes them (S5).
+``run_all`` writes the fact table once (as Parquet), adds the location clusters
+and customer segments, and returns every analysis as a DataFrame keyed ``<analysis>_<result>``; ``save_all`` writes them (S5).
 Independent results are independent Spark jobs when written.
 """
 
@@ -12,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from dispatchlens.params import FactParams
 from dispatchlens.plans.facts import facts as build_facts
-from dispatchlens.session import reliable_checkpoint
+from dispatchlens.session import written
 
 
 def run_all(spark: SparkSession, raw: DataFrame, p: FactParams = FactParams(), with_models: bool = True) -> dict[str, DataFrame]:
@@ -27,11 +26,11 @@ def run_all(spark: SparkSession, raw: DataFrame, p: FactParams = FactParams(), w
     from dispatchlens.operators import recommend as Z
     from dispatchlens.operators import routes as T
 
-    f = reliable_checkpoint(build_facts(raw, p))
-    enriched = reliable_checkpoint(G.with_location_clusters(f))
+    f = written(build_facts(raw, p))
+    enriched = written(G.with_location_clusters(f))
     seg = U.customer_segments(f)
     enriched = U.with_customer_segments(enriched, seg)
-    rfm = reliable_checkpoint(U.customer_rfm(f))
+    rfm = written(U.customer_rfm(f))
     elbow, k, _ = U.kmeans_elbow(rfm)
     labeled, _ = U.customer_clusters(rfm, k)
     names = U.name_segments(labeled, k)

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "dispatchlens") -> SparkSession:
@@ -49,17 +51,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def reliable_checkpoint(df):
-    """Checkpoint into the shared checkpoint folder, computing ``df`` once.
+def written(df: DataFrame, name: str = "table", path: str | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """``df`` written once as Parquet below the shared checkpoint folder (or to ``path``) and read back.
 
-    A reliable checkpoint writes the RDD with a second job that recomputes it
-    unless it is persisted, so persist first and release the cache once the
-    files are written (the result then reads only the checkpoint files).
+    Cuts the lineage, survives lost executors and keeps column pruning, filter
+    pushdown and file statistics for every later reader. ``by``: partition columns.
     """
-    from pyspark import StorageLevel
-
-    ensure_checkpoint_dir(df.sparkSession)
-    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
-    out = cached.checkpoint(eager=True)
-    cached.unpersist()
-    return out
+    path = path or f"{ensure_checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").partitionBy(*by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)

@@ -1,12 +1,11 @@
 """The fact build on a streaming source.
 
-The reference is batch-only; this module only lets the same row-level
-enrichment (P1-P12, P14, P15, P18-P20) run on a Structured Streaming source of
-raw delivery rows. The data-dependent columns need whole-table statistics, so
-they come from a batch fact table: the mean wait is a one-row static table and
-the per-driver / per-restaurant means are static aggregates joined to the
-stream (stream-static left joins, no streaming state). Rows then pass the same
-null-drop as the batch build.
+The same row-level enrichment (P1-P21) on a Structured Streaming source of raw
+delivery rows. The data-dependent columns need whole-table statistics, which come
+from the parsed rows of a batch (before imputation and the null-drop, as in the
+batch build): the mean wait is a one-row static table and the per-driver and
+per-restaurant means are static aggregates joined to the stream (stream-static
+left joins, no streaming state). Every column equals the batch build's.
 """
 
 from __future__ import annotations
@@ -15,39 +14,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dispatchlens.params import FactParams
-from dispatchlens.plans.facts import ESSENTIAL_COLUMNS, FACT_COLUMNS, parse_rows
+from dispatchlens.plans.facts import group_means, parse_rows, with_costs, with_rates
 
 
-def stream_facts(raw_stream: DataFrame, batch_facts: DataFrame, p: FactParams = FactParams()) -> DataFrame:
-    parsed = parse_rows(raw_stream, p)
-    mean_wait = batch_facts.agg(F.avg("Wait_Time_Minutes").alias("_mean_wait"))
-    by_driver = batch_facts.groupBy("Delivery_person_ID").agg(F.avg("Delivery_Speed").alias("_driver_speed"))
-    by_rest = batch_facts.groupBy("Restaurant_ID").agg(F.avg("Restaurant_Prep_Time").alias("_rest_prep"))
-    col = F.col
-    c = p.cost
-    df = parsed.crossJoin(F.broadcast(mean_wait))  # one row: fixed bound
-    wait = F.coalesce(col("Wait_Time_Minutes"), col("_mean_wait"))
-    df = df.withColumns({
-        "Wait_Time_Minutes": wait,
-        "Delivery_Speed": F.try_divide(col("Distance_km"), col("Time_taken_min")),
-        "Restaurant_Prep_Time": wait * F.lit(p.prep_share_of_wait),
-    })
-    df = df.join(by_driver, "Delivery_person_ID", "left").join(by_rest, "Restaurant_ID", "left")
-    time_cost = col("Time_taken_min") * F.lit(c.cost_per_min)
-    dist_cost = col("Distance_km") * F.lit(c.cost_per_km)
-    fuel_cost = col("Distance_km") * F.lit(c.fuel_cost_per_km)
-    maint_cost = col("Distance_km") * F.lit(c.vehicle_maintenance)
-    variable = time_cost + dist_cost + fuel_cost + maint_cost
-    total = variable + F.lit(c.fixed_costs) + F.lit(c.driver_base_pay)
-    out = df.select(
-        *[col(x) for x in FACT_COLUMNS[: FACT_COLUMNS.index("Restaurant_Prep_Time") + 1]],
-        F.try_divide(col("Delivery_Speed"), col("_driver_speed")).alias("Delivery_Person_Efficiency"),
-        F.try_divide(col("_rest_prep"), col("Restaurant_Prep_Time")).alias("Restaurant_Efficiency"),
-        time_cost.alias("Time_Cost"), dist_cost.alias("Distance_Cost"), fuel_cost.alias("Fuel_Cost"),
-        maint_cost.alias("Maintenance_Cost"), variable.alias("Total_Variable_Cost"), total.alias("Total_Cost"),
-        F.lit(float(c.base_delivery_fee)).alias("Revenue"),
-        (F.lit(float(c.base_delivery_fee)) - total).alias("Profit"),
-        (col("Distance_km") * F.lit(p.env.co2_kg_per_km)).alias("CO2_Emissions"),
-        (col("Distance_km") / F.lit(p.env.fuel_km_per_litre)).alias("Fuel_Consumption"),
-    )
-    return out.dropna(subset=list(ESSENTIAL_COLUMNS))
+def stream_facts(raw_stream: DataFrame, batch_raw: DataFrame, p: FactParams = FactParams()) -> DataFrame:
+    batch = parse_rows(batch_raw, p)
+    mean_wait = batch.agg(F.avg("Wait_Time_Minutes").alias("_mean_wait"))
+    rated = lambda rows: with_rates(rows.crossJoin(F.broadcast(mean_wait)), F.col("_mean_wait"), p)  # noqa: E731  one row: fixed bound
+    by_driver, by_restaurant = group_means(rated(batch))
+    rows = rated(parse_rows(raw_stream, p)).join(by_driver, "Delivery_person_ID", "left").join(by_restaurant, "Restaurant_ID", "left")
+    return with_costs(rows, p)

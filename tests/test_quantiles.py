@@ -13,7 +13,7 @@ def test_exact_quantiles_match_pandas(spark, limit, buckets):
     pdf.loc[::11, "x"] = np.nan
     pdf.loc[pdf.g == 3, "y"] = 2.5  # constant group
     q = exact_quantiles(spark.createDataFrame(pdf), ["g"], ["x", "y"], (0.25, 0.5, 0.75),
-                        collect_limit=limit, buckets=buckets).toPandas().set_index("g").sort_index()
+                        rank_rows=limit, buckets=buckets).toPandas().set_index("g").sort_index()
     exp = pdf.groupby("g")[["x", "y"]].quantile([0.25, 0.5, 0.75]).unstack()
     for m in ("x", "y"):
         for p, name in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75")):
@@ -22,5 +22,5 @@ def test_exact_quantiles_match_pandas(spark, limit, buckets):
 
 def test_global_quantile(spark):
     pdf = pd.DataFrame({"x": [5.0, 1.0, 3.0, 2.0]})
-    q = exact_quantiles(spark.createDataFrame(pdf), [], ["x"], (0.5,), ["med"], collect_limit=2, buckets=2).first()
+    q = exact_quantiles(spark.createDataFrame(pdf), [], ["x"], (0.5,), ["med"], rank_rows=2, buckets=2).first()
     assert q.x_med == 2.5
