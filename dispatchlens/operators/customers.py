@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from dispatchlens.functions.shapes import epoch_seconds
 from dispatchlens.params import MIN_GROUP_ROWS  # noqa: F401  (shared gate)
+from dispatchlens.session import written
 
 SEED = 42
+#: K-means fits of a clustering, of which the best is kept.
+STARTS = 10
 
 
 def _cust(facts: DataFrame) -> DataFrame:
@@ -91,14 +94,20 @@ def standardized_vectors(df: DataFrame, features: Sequence[str], out: str = "fea
     )
 
 
+def best_kmeans(vec: DataFrame, k: int, seed: int = SEED, starts: int = STARTS):
+    """The model of least cost among ``starts`` seeded fits (the first of equals)."""
+    from pyspark.ml.clustering import KMeans
+
+    return min((KMeans(k=k, seed=seed + i, featuresCol="features").fit(vec) for i in range(starts)), key=lambda m: m.summary.trainingCost)
+
+
 def kmeans_elbow(rfm: DataFrame, features: Sequence[str] = CLUSTER_FEATURES, max_k: int = 10, seed: int = SEED):
     """Within-cluster sum of squares for k = 1..min(10, n-1) and the elbow
     k* = argmin |second difference| + 2 (3 with fewer than 3 points). Returns
     (DataFrame(k, wcss, is_optimal), k*, vectors)."""
-    from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import vector_to_array
 
-    vec = standardized_vectors(rfm, features).persist()
+    vec = written(standardized_vectors(rfm, features), "vectors")
     n = vec.count()
     kmax = min(max_k, n - 1)
     wcss = []
@@ -108,8 +117,7 @@ def kmeans_elbow(rfm: DataFrame, features: Sequence[str] = CLUSTER_FEATURES, max
             total = vec.select(F.sum(sq)).first()[0]
             wcss.append(float(total))
         else:
-            m = KMeans(k=k, seed=seed, featuresCol="features").fit(vec)
-            wcss.append(float(m.summary.trainingCost))
+            wcss.append(float(best_kmeans(vec, k, seed).summary.trainingCost))
     if len(wcss) >= 3:
         d1 = [b - a for a, b in zip(wcss, wcss[1:])]
         d2 = [abs(b - a) for a, b in zip(d1, d1[1:])]
@@ -123,14 +131,12 @@ def kmeans_elbow(rfm: DataFrame, features: Sequence[str] = CLUSTER_FEATURES, max
 
 def customer_clusters(rfm: DataFrame, k: int | None = None, features: Sequence[str] = CLUSTER_FEATURES, seed: int = SEED):
     """U4: K-means at k (the elbow's k* when None); returns per-customer labels."""
-    from pyspark.ml.clustering import KMeans
-
     if k is None:
         _, k, vec = kmeans_elbow(rfm, features, seed=seed)
     else:
         vec = standardized_vectors(rfm, features)
-    model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="Cluster").fit(vec)
-    return model.transform(vec).drop("features"), k
+    model = best_kmeans(vec, k, seed)
+    return model.transform(vec).withColumnRenamed("prediction", "Cluster").drop("features"), k
 
 
 def cluster_summary(labeled: DataFrame, features: Sequence[str] = CLUSTER_FEATURES) -> DataFrame:

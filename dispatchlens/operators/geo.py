@@ -200,10 +200,11 @@ def dropoff_hotspots(facts: DataFrame) -> DataFrame:
     return hotspots(facts, DELIVERY_COORDS)
 
 
-def hotspot_center(facts: DataFrame) -> DataFrame:
-    """T4: map centre = mean of the pickup and drop-off centroid means."""
-    p = pickup_hotspots(facts).agg(F.avg("latitude").alias("plat"), F.avg("longitude").alias("plon"))
-    d = dropoff_hotspots(facts).agg(F.avg("latitude").alias("dlat"), F.avg("longitude").alias("dlon"))
+def hotspot_center(facts: DataFrame, pickup: DataFrame | None = None, dropoff: DataFrame | None = None) -> DataFrame:
+    """T4: map centre = mean of the pickup and drop-off centroid means (of the
+    hot spots given, or computed from the facts)."""
+    p = (pickup_hotspots(facts) if pickup is None else pickup).agg(F.avg("latitude").alias("plat"), F.avg("longitude").alias("plon"))
+    d = (dropoff_hotspots(facts) if dropoff is None else dropoff).agg(F.avg("latitude").alias("dlat"), F.avg("longitude").alias("dlon"))
     return p.crossJoin(d).select(
         ((F.col("plat") + F.col("dlat")) / 2.0).alias("center_latitude"),
         ((F.col("plon") + F.col("dlon")) / 2.0).alias("center_longitude"),

@@ -33,6 +33,12 @@ def hash_split(df: DataFrame, key: str = "Order_ID", train_pct: int = 80) -> tup
     return d.where(F.col("_bucket") < train_pct).drop("_bucket"), d.where(F.col("_bucket") >= train_pct).drop("_bucket")
 
 
+def split_counts(facts: DataFrame) -> DataFrame:
+    """M3 in numbers: orders and mean delivery time of each side of the split."""
+    sides = [d.select(F.lit(name).alias("split"), "Time_taken_min") for name, d in zip(("train", "test"), hash_split(facts))]
+    return sides[0].unionByName(sides[1]).groupBy("split").agg(F.count(F.lit(1)).alias("orders"), F.avg("Time_taken_min").alias("time_mean"))
+
+
 def time_features(facts: DataFrame, candidates: Sequence[str] = TIME_FEATURES, min_features: int = 5):
     """M1: the candidate features present in ``facts`` (needs >= 5), split
     into numeric and categorical."""

@@ -7,7 +7,7 @@ small aggregate, and lists are built from at most three ranked rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dispatchlens.params import SEGMENT_FACTORS
@@ -29,25 +29,25 @@ def _top3(df: DataFrame, order: list, col: str) -> DataFrame:
     return top.select(col, F.row_number().over(Window.orderBy(*order)).alias("_rk"))
 
 
-def _joined(col: str) -> F.Column:
+def _joined(col: str) -> Column:
     """', '-joined values of a ranked (_rk) column, in rank order."""
     items = F.array_sort(F.collect_list(F.struct(F.col("_rk"), F.col(col).cast("string").alias("v"))))
     return F.array_join(F.transform(items, lambda x: x["v"]), ", ")
 
 
-def _price(c) -> F.Column:
+def _price(c) -> Column:
     return F.col(c).cast("double").cast("string")
 
 
-def pricing_recommendations(facts: DataFrame) -> DataFrame:
+def pricing_recommendations(facts: DataFrame, with_model: bool = False) -> DataFrame:
     """Optimal uniform fee; first three segments (by value) with a positive
-    optimal price per factor; the dynamic-pricing model line."""
+    optimal price per factor; a line on the price model if there is one."""
     from dispatchlens.operators.pricing import optimal_uniform_price, segment_optimal_prices
 
     spark = facts.sparkSession
     uni = optimal_uniform_price(facts).select(
         F.lit(0).alias("_key"),
-        F.concat(F.lit("Set base delivery fee to "), _price("Base_Price"), F.lit(" currency units for maximizing profit")).alias("text"),
+        F.concat(F.lit("Uniform fee with the highest expected profit: "), _price("Base_Price")).alias("text"),
     )
     order = F.create_map(*[x for i, f in enumerate(SEGMENT_FACTORS) for x in (F.lit(f), F.lit(i + 1))])
     seg = segment_optimal_prices(facts).where(F.col("optimal_price") > 0)
@@ -57,13 +57,13 @@ def pricing_recommendations(facts: DataFrame) -> DataFrame:
     )
     seg_txt = lines.select(
         F.element_at(order, F.col("factor")).alias("_key"),
-        F.concat(F.lit("Implement segment-based pricing for "), F.col("factor"), F.lit(": "),
+        F.concat(F.lit("Best fees by "), F.col("factor"), F.lit(": "),
                  F.array_join(F.transform("_l", lambda x: x["s"]), ", ")).alias("text"),
     )
     model = spark.range(1).select(
-        F.lit(100).alias("_key"), F.lit("Implement dynamic pricing model based on distance, time, and demand patterns").alias("text")
+        F.lit(100).alias("_key"), F.lit("Quote fees from the fitted price model").alias("text")
     )
-    return _rows("pricing", uni, seg_txt, model)
+    return _rows("pricing", uni, seg_txt, *[model] * with_model)
 
 
 def operations_recommendations(facts: DataFrame) -> DataFrame:
@@ -74,19 +74,17 @@ def operations_recommendations(facts: DataFrame) -> DataFrame:
     top = _top3(restaurant_delays(facts), [F.desc("delay_mean"), F.col("Restaurant_ID")], "Restaurant_ID")
     rest = top.agg(_joined("Restaurant_ID").alias("ids"), F.count(F.lit(1)).alias("n")).where(
         F.col("n") > 0
-    ).select(F.lit(1).alias("_key"), F.concat(F.lit("Work with restaurants "), F.col("ids"), F.lit(" to reduce preparation time")).alias("text"))
+    ).select(F.lit(1).alias("_key"), F.concat(F.lit("Kitchens with the longest pickup delays: "), F.col("ids")).alias("text"))
     wait = bottleneck_kpis(facts).select(
         F.lit(2).alias("_key"),
-        F.concat(F.lit("Focus on reducing average wait time ("), F.format_string("%.1f", F.col("avg_wait_time")),
-                 F.lit(" minutes) by optimizing restaurant assignments")).alias("text"),
+        F.concat(F.lit("Mean wait before pickup in minutes: "), F.format_string("%.1f", F.col("avg_wait_time"))).alias("text"),
     )
     order = F.create_map(*[x for i, f in enumerate(SEGMENT_FACTORS) for x in (F.lit(f), F.lit(i))])
     var = efficiency_by_factor(facts).groupBy("factor").agg(F.avg("time_std").alias("_s"))
     var = var.where(F.col("_s").isNotNull()).agg(
         F.max_by("factor", F.struct(F.col("_s"), -F.element_at(order, F.col("factor")))).alias("f")
     ).where(F.col("f").isNotNull())
-    var = var.select(F.lit(3).alias("_key"), F.concat(F.lit("Address delivery time variability in "), F.col("f"),
-                                                      F.lit(" to improve consistency")).alias("text"))
+    var = var.select(F.lit(3).alias("_key"), F.concat(F.lit("Delivery times vary most by "), F.col("f")).alias("text"))
     return _rows("operations", rest, wait, var)
 
 
@@ -102,12 +100,11 @@ def driver_recommendations(facts: DataFrame) -> DataFrame:
         F.first("day").alias("day"),
         F.min_by("shift", F.struct(-F.col("drivers_needed"), F.col("shift_index"))).alias("shift"),
     )
-    peak = shift.select(F.lit(1).alias("_key"), F.concat(F.lit("Increase driver allocation for "), F.col("day"),
-                                                         F.lit(", especially during "), F.col("shift")).alias("text"))
+    peak = shift.select(F.lit(1).alias("_key"), F.concat(F.lit("Couriers are needed most on "), F.col("day"), F.lit(" in the shift "), F.col("shift")).alias("text"))
     spark = facts.sparkSession
     fixed = spark.createDataFrame(
-        [(2, "Analyze top performing drivers' patterns to develop training program for new drivers"),
-         (3, "Implement performance-based incentives for drivers to improve delivery efficiency")],
+        [(2, "Teach new couriers what the leading ones do"),
+         (3, "Tie courier bonuses to measured efficiency")],
         "_key int, text string",
     )
     return _rows("driver_management", peak, fixed)
@@ -125,34 +122,40 @@ def customer_recommendations(names: DataFrame) -> DataFrame:
 
     return _rows(
         "customer_strategies",
-        line(1, "High Value", "Develop loyalty program for high-value customer segments (clusters "),
-        line(2, "Low Frequency", "Target win-back campaigns for low-frequency customers (clusters "),
+        line(1, "High Value", "Reward the groups that bring most profit (clusters "),
+        line(2, "Low Frequency", "Invite back the groups that order rarely (clusters "),
     )
 
 
-def route_recommendations(facts: DataFrame, clustered: DataFrame | None = None) -> DataFrame:
+def route_recommendations(
+    facts: DataFrame, clustered: DataFrame | None = None, pickup: DataFrame | None = None, dropoff: DataFrame | None = None
+) -> DataFrame:
     """Top three route types by profit per minute; hot-spot lines when
-    pickup / drop-off hot spots exist."""
+    pickup / drop-off hot spots exist. Pass the clustered facts and hot spots
+    where they have been computed already."""
     from dispatchlens.operators.geo import dropoff_hotspots, pickup_hotspots, with_location_clusters
     from dispatchlens.operators.routes import efficient_routes
 
     c = clustered if clustered is not None else with_location_clusters(facts, reassign=False)
     top = _top3(efficient_routes(c), [F.desc("profit_per_min"), F.col("Route_Type")], "Route_Type")
     routes = top.agg(_joined("Route_Type").alias("r"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 0)
-    routes = routes.select(F.lit(1).alias("_key"), F.concat(F.lit("Focus on high-profit route types: "), F.col("r")).alias("text"))
-    p = pickup_hotspots(facts).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 0).select(
-        F.lit(2).alias("_key"), F.lit("Establish dark kitchens in high-density pickup areas to reduce delivery times and costs").alias("text"))
-    d = dropoff_hotspots(facts).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 0).select(
-        F.lit(3).alias("_key"), F.lit("Optimize driver starting positions based on delivery hotspots to minimize empty miles").alias("text"))
+    routes = routes.select(F.lit(1).alias("_key"), F.concat(F.lit("Routes with the most profit per minute: "), F.col("r")).alias("text"))
+    p = (pickup_hotspots(facts) if pickup is None else pickup).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 0).select(
+        F.lit(2).alias("_key"), F.lit("Consider shared kitchens at the pickup hot spots").alias("text"))
+    d = (dropoff_hotspots(facts) if dropoff is None else dropoff).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 0).select(
+        F.lit(3).alias("_key"), F.lit("Let couriers wait near the drop-off hot spots").alias("text"))
     return _rows("route_optimization", routes, p, d)
 
 
-def recommendations(facts: DataFrame, names: DataFrame | None = None) -> DataFrame:
+def recommendations(
+    facts: DataFrame, names: DataFrame | None = None, clustered: DataFrame | None = None,
+    pickup: DataFrame | None = None, dropoff: DataFrame | None = None, with_model: bool = False,
+) -> DataFrame:
     """All recommendation lines as (category, ordinal, text)."""
-    parts = [pricing_recommendations(facts), operations_recommendations(facts), driver_recommendations(facts)]
+    parts = [pricing_recommendations(facts, with_model), operations_recommendations(facts), driver_recommendations(facts)]
     if names is not None:
         parts.append(customer_recommendations(names))
-    parts.append(route_recommendations(facts))
+    parts.append(route_recommendations(facts, clustered, pickup, dropoff))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -78,15 +78,15 @@ ORACLE["profit_by_day"] = with_facts(
 _SCORE = ("Distance_km", "Time_taken_min", "Wait_Time_Minutes", "Delivery_person_Ratings")
 
 
-def _score_ctes() -> list[str]:
-    fs = ", ".join(PROFIT_FACTORS_BASE)
-    notnull = " AND ".join(f"{c} IS NOT NULL" for c in (*_SCORE, *PROFIT_FACTORS_BASE, "Profit"))
+def _score_ctes(factors=PROFIT_FACTORS_BASE, src: str = "facts") -> list[str]:
+    fs = ", ".join(factors)
+    notnull = " AND ".join(f"{c} IS NOT NULL" for c in (*_SCORE, *factors, "Profit"))
     bounds = ", ".join([f"min({c}) AS mn_{c}, max({c}) AS mx_{c}" for c in _SCORE])
     scaled = ", ".join(
         f"CASE WHEN mx_{c} - mn_{c} = 0 THEN 0e0 ELSE ({c} - mn_{c}) / (mx_{c} - mn_{c}) END AS {c}_scaled" for c in _SCORE
     )
     return [
-        f"sb AS (SELECT Order_ID, {', '.join(_SCORE)}, {fs}, Profit FROM facts WHERE {notnull})",
+        f"sb AS (SELECT Order_ID, {', '.join(_SCORE)}, {fs}, Profit FROM {src} WHERE {notnull})",
         f"bnd AS (SELECT {bounds} FROM sb)",
         f"sc AS (SELECT sb.*, {scaled} FROM sb, bnd)",
         "scored AS (SELECT *, ((1e0 - Distance_km_scaled) + (1e0 - Time_taken_min_scaled) + (1e0 - Wait_Time_Minutes_scaled)"
@@ -204,7 +204,13 @@ FROM facts WHERE City IS NOT NULL AND Type_of_vehicle IS NOT NULL GROUP BY City,
 )
 
 # --- pricing (X1-X10) -------------------------------------------------------
-from dispatchlens.params import HOUR_SURGE, TRAFFIC_SURGE, WEATHER_SURGE  # noqa: E402
+# The surge factors, written out here too so that a wrong constant in the library shows.
+TRAFFIC_SURGE = {"Jam": 1.4, "High": 1.3, "Medium": 1.15, "Low": 1.0}
+WEATHER_SURGE = {"Fog": 1.3, "Stormy": 1.4, "Sandstorms": 1.35, "Windy": 1.2, "Cloudy": 1.1, "Sunny": 1.0}
+HOUR_SURGE = dict(enumerate([
+    1.2, 1.3, 1.4, 1.5, 1.4, 1.3, 1.1, 1.2, 1.3, 1.1, 1.0, 1.1,
+    1.2, 1.1, 1.0, 1.0, 1.1, 1.2, 1.3, 1.4, 1.3, 1.2, 1.1, 1.2,
+]))
 
 _PRICES = "prices AS (SELECT CAST(range AS BIGINT) AS Base_Price FROM range(50, 201, 5))"
 
@@ -500,12 +506,11 @@ LEFT JOIN m1 USING (Customer_ID)""",
 _SEGF_ORDER = "CASE factor " + " ".join(f"WHEN '{f}' THEN {i + 1}" for i, f in enumerate(SEGMENT_FACTORS)) + " END"
 ORACLE["pricing_recommendations"] = with_facts(
     f"""SELECT 'pricing' AS category, CAST(row_number() OVER (ORDER BY k) AS INTEGER) AS ordinal, text FROM (
-  SELECT 0 AS k, 'Set base delivery fee to ' || CAST(CAST(Base_Price AS DOUBLE) AS VARCHAR) || ' currency units for maximizing profit' AS text
+  SELECT 0 AS k, 'Uniform fee with the highest expected profit: ' || CAST(CAST(Base_Price AS DOUBLE) AS VARCHAR) AS text
   FROM (SELECT * FROM g ORDER BY (Profitable_Deliveries_Pct >= 90) DESC, Average_Profit DESC, Base_Price LIMIT 1)
   UNION ALL
-  SELECT {_SEGF_ORDER}, 'Implement segment-based pricing for ' || factor || ': ' || string_agg(value || ': ' || CAST(CAST(optimal_price AS DOUBLE) AS VARCHAR), ', ' ORDER BY value)
-  FROM (SELECT *, row_number() OVER (PARTITION BY factor ORDER BY value) AS rk FROM so WHERE optimal_price > 0) WHERE rk <= 3 GROUP BY factor
-  UNION ALL SELECT 100, 'Implement dynamic pricing model based on distance, time, and demand patterns')""",
+  SELECT {_SEGF_ORDER}, 'Best fees by ' || factor || ': ' || string_agg(value || ': ' || CAST(CAST(optimal_price AS DOUBLE) AS VARCHAR), ', ' ORDER BY value)
+  FROM (SELECT *, row_number() OVER (PARTITION BY factor ORDER BY value) AS rk FROM so WHERE optimal_price > 0) WHERE rk <= 3 GROUP BY factor)""",
     _PRICES,
     f"g AS ({_grid_select('', 'facts')})",
     *_SEG_CTES[1:],
@@ -515,10 +520,10 @@ ORACLE["pricing_recommendations"] = with_facts(
 )
 ORACLE["operations_recommendations"] = with_facts(
     f"""SELECT 'operations' AS category, CAST(row_number() OVER (ORDER BY k) AS INTEGER) AS ordinal, text FROM (
-  SELECT 1 AS k, 'Work with restaurants ' || string_agg(Restaurant_ID, ', ' ORDER BY rk) || ' to reduce preparation time' AS text
+  SELECT 1 AS k, 'Kitchens with the longest pickup delays: ' || string_agg(Restaurant_ID, ', ' ORDER BY rk) AS text
   FROM (SELECT Restaurant_ID, row_number() OVER (ORDER BY m DESC, Restaurant_ID) AS rk FROM rd) WHERE rk <= 3 HAVING count(*) > 0
-  UNION ALL SELECT 2, 'Focus on reducing average wait time (' || printf('%.1f', avg(Wait_Time_Minutes)) || ' minutes) by optimizing restaurant assignments' FROM facts
-  UNION ALL SELECT 3, 'Address delivery time variability in ' || arg_max(factor, s) || ' to improve consistency'
+  UNION ALL SELECT 2, 'Mean wait before pickup in minutes: ' || printf('%.1f', avg(Wait_Time_Minutes)) FROM facts
+  UNION ALL SELECT 3, 'Delivery times vary most by ' || arg_max(factor, s)
   FROM (SELECT factor, avg(sd) AS s FROM (SELECT factor, value, stddev_samp(Time_taken_min) AS sd FROM lng WHERE value IS NOT NULL GROUP BY 1, 2) GROUP BY factor) WHERE s IS NOT NULL)""",
     "rd AS (SELECT Restaurant_ID, avg(Order_To_Pickup_Minutes) AS m FROM facts WHERE Restaurant_ID IS NOT NULL "
     "GROUP BY Restaurant_ID HAVING count(Order_To_Pickup_Minutes) >= 10)",
@@ -526,12 +531,12 @@ ORACLE["operations_recommendations"] = with_facts(
 )
 ORACLE["driver_recommendations"] = with_facts(
     """SELECT 'driver_management' AS category, CAST(row_number() OVER (ORDER BY k) AS INTEGER) AS ordinal, text FROM (
-  SELECT 1 AS k, 'Increase driver allocation for ' || day || ', especially during ' || shift AS text FROM (
+  SELECT 1 AS k, 'Couriers are needed most on ' || day || ' in the shift ' || shift AS text FROM (
     SELECT sa.day, sa.shift, row_number() OVER (ORDER BY sa.drivers_needed DESC, sa.shift_index) AS rk
     FROM sa JOIN (SELECT DayOfWeek FROM sa GROUP BY DayOfWeek ORDER BY sum(drivers_needed) DESC, DayOfWeek LIMIT 1) b USING (DayOfWeek))
   WHERE rk = 1
-  UNION ALL SELECT 2, 'Analyze top performing drivers'' patterns to develop training program for new drivers'
-  UNION ALL SELECT 3, 'Implement performance-based incentives for drivers to improve delivery efficiency')""",
+  UNION ALL SELECT 2, 'Teach new couriers what the leading ones do'
+  UNION ALL SELECT 3, 'Tie courier bonuses to measured efficiency')""",
     f"ps AS (SELECT DayOfWeek, {_SHIFT} AS shift_index, count(*) AS orders FROM facts "
     "WHERE DayOfWeek IS NOT NULL AND Order_Hour IS NOT NULL GROUP BY 1, 2)",
     """sa AS (SELECT sp.DayOfWeek, (['Monday','Tuesday','Wednesday','Thursday','Friday','Saturday','Sunday'])[sp.DayOfWeek + 1] AS day,
@@ -563,13 +568,103 @@ _RB, _RC = _hot_sql("Restaurant_latitude", "Restaurant_longitude", "pk_")
 _DB, _DC = _hot_sql("Delivery_location_latitude", "Delivery_location_longitude", "dr_")
 ORACLE["route_recommendations"] = with_facts(
     f"""SELECT 'route_optimization' AS category, CAST(row_number() OVER (ORDER BY k) AS INTEGER) AS ordinal, text FROM (
-  SELECT 1 AS k, 'Focus on high-profit route types: ' || string_agg(Route_Type, ', ' ORDER BY rk) AS text
+  SELECT 1 AS k, 'Routes with the most profit per minute: ' || string_agg(Route_Type, ', ' ORDER BY rk) AS text
   FROM (SELECT Route_Type, row_number() OVER (ORDER BY ppm DESC, Route_Type) AS rk
         FROM (SELECT Route_Type, avg(Profit) / NULLIF(avg(Time_taken_min), 0) AS ppm FROM enr GROUP BY Route_Type))
   WHERE rk <= 3 HAVING count(*) > 0
-  UNION ALL SELECT 2, 'Establish dark kitchens in high-density pickup areas to reduce delivery times and costs'
+  UNION ALL SELECT 2, 'Consider shared kitchens at the pickup hot spots'
   FROM ({_RB}) HAVING count(*) > 0
-  UNION ALL SELECT 3, 'Optimize driver starting positions based on delivery hotspots to minimize empty miles'
+  UNION ALL SELECT 3, 'Let couriers wait near the drop-off hot spots'
   FROM ({_DB}) HAVING count(*) > 0)""",
     *_ENR, *_RC, *_DC,
 )
+
+# --- scenarios on clustered facts (R3, R8, R9 with the eighth factor) ---------------
+_EIGHT = (*PROFIT_FACTORS_BASE[:4], "Route_Type", *PROFIT_FACTORS_BASE[4:])
+ORACLE["profit_by_factor_clustered"] = with_facts(
+    _profit_stats("lng", "factor, value")
+    + f", {r('avg(Profit) / NULLIF(avg(Revenue), 0) * 100e0', 'profit_margin_pct')}"
+    + " FROM lng WHERE value IS NOT NULL GROUP BY factor, value",
+    *_ENR, f"lng AS ({factor_long(_EIGHT, ['Profit', 'Total_Cost', 'Revenue'], 'enr')})",
+)
+ORACLE["profit_score_clustered"] = with_facts(
+    f"SELECT Order_ID, {', '.join(_EIGHT)}, {r('Profit', 'Profit')}, "
+    + ", ".join(r(f"{c}_scaled", f"{c}_scaled") for c in _SCORE)
+    + f", {r('Profit_Score', 'Profit_Score')} FROM scored",
+    *_ENR, *_score_ctes(_EIGHT, "enr"),
+)
+ORACLE["top_scenarios_clustered"] = with_facts(
+    f"""SELECT {', '.join(_EIGHT)}, {r('avg(Profit_Score)', 'score_mean')}, {r('stddev_samp(Profit_Score)', 'score_std')},
+  count(Profit_Score) AS score_count, {r('avg(Profit)', 'profit_mean')}, {r('stddev_samp(Profit)', 'profit_std')}
+FROM scored GROUP BY {', '.join(_EIGHT)} HAVING count(Profit_Score) >= 2
+ORDER BY avg(Profit_Score) DESC, {', '.join(_EIGHT)} LIMIT 10""",
+    *_ENR, *_score_ctes(_EIGHT, "enr"),
+)
+
+# --- autoregressive forecasts (D4) ----------------------------------------------
+
+
+def _ar_ctes(key: str, order: int = 5) -> list[str]:
+    lags = [f"d{i}" for i in range(order + 1)]
+    cells = ", ".join("[" + ", ".join(f"COALESCE(sum({x} * {y}) FILTER (WHERE d{order} IS NOT NULL), 0e0)" for y in [*lags[1:], "d0"]) + "]" for x in lags[1:])
+    trace = " + ".join(f"m[{i}][{i}]" for i in range(1, order + 1))
+    pivot_row = "list_transform(m[i], lambda x: CASE WHEN m[i][i] <= size * 1e-12 THEN 0e0 ELSE x / m[i][i] END)"
+    other = f"list_transform(range(1, {order + 2}), lambda t: row[t] - row[i] * p[t])"
+    move = " + ".join(["0e0", *(f"c[{i}] * h[{i}]" for i in range(1, order + 1))])
+    return [
+        f"cs AS (SELECT {key} AS k, Order_Date AS day, count(*) AS orders FROM facts WHERE Order_Date IS NOT NULL AND {key} IS NOT NULL GROUP BY ALL)",
+        "sp AS (SELECT k, min(day) AS lo, max(day) AS hi FROM cs GROUP BY k)",
+        "dd AS (SELECT s.k, s.hi, s.day, CAST(COALESCE(cs.orders, 0) AS DOUBLE) AS orders FROM (SELECT k, hi, CAST(unnest(generate_series("
+        "CAST(lo AS TIMESTAMP), CAST(hi AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS day FROM sp) s LEFT JOIN cs ON cs.k = s.k AND cs.day = s.day)",
+        "t0 AS (SELECT *, orders - lag(orders) OVER (PARTITION BY k ORDER BY day) AS d0 FROM dd WHERE day <= hi - 14)",
+        "t1 AS (SELECT *, " + ", ".join(f"lag(d0, {i}) OVER (PARTITION BY k ORDER BY day) AS d{i}" for i in range(1, order + 1)) + " FROM t0)",
+        f"nm AS (SELECT k, [{cells}] AS m, max(day) AS last, arg_max(orders, day) AS level, "
+        f"[{', '.join(f'COALESCE(arg_max_null({x}, day), 0e0)' for x in lags[:-1])}] AS h FROM t1 GROUP BY k)",
+        f"gj AS (SELECT * FROM (WITH RECURSIVE gr AS (SELECT k, 1 AS i, m, {trace} AS size FROM nm UNION ALL SELECT k, i + 1, "
+        f"list_transform(m, lambda row, j: CASE WHEN j = i THEN p ELSE {other} END), size FROM (SELECT *, {pivot_row} AS p FROM gr WHERE i <= {order})) SELECT * FROM gr))",
+        f"co AS (SELECT k, list_transform(m, lambda row: row[{order + 1}]) AS c FROM gj WHERE i = {order + 1})",
+        "fr AS (SELECT * FROM (WITH RECURSIVE ff AS (SELECT nm.k, nm.last AS day, level, h, c, hi FROM nm JOIN co USING (k) JOIN sp USING (k) UNION ALL "
+        f"SELECT k, day + 1, level + ({move}), list_concat([{move}], h[1:{order - 1}]), c, hi FROM ff WHERE day < hi + 30) SELECT * FROM ff))",
+    ]
+
+
+def _ar_sql(key: str, column: str) -> str:
+    return with_facts(
+        f"""SELECT {column} fr.day, CASE WHEN fr.day <= fr.hi THEN 'test' ELSE 'future' END AS split, {r('dd.orders', 'actual')}, {r('fr.level', 'forecast')}
+FROM fr LEFT JOIN dd ON dd.k = fr.k AND dd.day = fr.day JOIN nm ON nm.k = fr.k WHERE fr.day > nm.last""",
+        *_ar_ctes(key),
+    )
+
+
+ORACLE["autoregressive_forecast"] = _ar_sql("'all'", "")
+ORACLE["city_autoregressive_forecast"] = _ar_sql("City", "fr.k AS City,")
+
+# --- models and segments over fixed inputs (M3, M8, U5, Z4) ----------------------
+_SPLIT = "CASE WHEN CAST('0x' || substr(md5(CAST(Order_ID AS VARCHAR)), 1, 8) AS BIGINT) % 100 < 80 THEN 'train' ELSE 'test' END"
+ORACLE["split_counts"] = with_facts(
+    f"SELECT {_SPLIT} AS split, count(*) AS orders, {r('avg(Time_taken_min)', 'time_mean')} FROM facts GROUP BY 1"
+)
+ORACLE["fixed_prediction_metrics"] = with_facts(
+    f"""SELECT {r('avg(abs(e))', 'mae')}, {r('avg(e * e)', 'mse')}, {r('sqrt(avg(e * e))', 'rmse')},
+  {r('1e0 - sum(e * e) / (var_pop(Time_taken_min) * count(*))', 'r2')}
+FROM (SELECT Time_taken_min, Time_taken_min - (15e0 + 2e0 * Distance_km) AS e FROM facts)"""
+)
+_FIXED = [
+    _mode_cte("Type_of_order", "m1"),
+    "lb AS (SELECT Customer_ID, count(Order_ID) AS order_count, sum(Profit) AS total_profit, count(Order_ID) % 4 AS Cluster "
+    "FROM facts WHERE Customer_ID IS NOT NULL GROUP BY Customer_ID)",
+    "cg AS (SELECT Cluster, avg(total_profit) AS v, avg(order_count) AS f, count(*) AS size FROM lb GROUP BY Cluster)",
+    "cr AS (SELECT Cluster, size, rank() OVER (ORDER BY v DESC) + (count(*) OVER (PARTITION BY v) - 1) / 2e0 AS vr, "
+    "rank() OVER (ORDER BY f DESC) + (count(*) OVER (PARTITION BY f) - 1) / 2e0 AS fr FROM cg)",
+    "nm AS (SELECT CAST(Cluster AS INTEGER) AS Cluster, vr AS value_rank, fr AS frequency_rank, size, 'Cluster ' || CAST(Cluster AS VARCHAR) || ' - ' || "
+    "CASE WHEN vr <= 2 THEN 'High' ELSE 'Low' END || ' Value, ' || CASE WHEN fr <= 2 THEN 'High' ELSE 'Low' END || ' Frequency' AS name FROM cr)",
+]
+ORACLE["fixed_cluster_names"] = with_facts(f"SELECT Cluster, {r('value_rank', 'value_rank')}, {r('frequency_rank', 'frequency_rank')}, size, name FROM nm", *_FIXED)
+ORACLE["fixed_customer_recommendations"] = with_facts(
+    """SELECT 'customer_strategies' AS category, CAST(row_number() OVER (ORDER BY k) AS INTEGER) AS ordinal, text FROM (
+  SELECT 1 AS k, 'Reward the groups that bring most profit (clusters ' || string_agg(CAST(Cluster AS VARCHAR), ', ' ORDER BY CAST(Cluster AS VARCHAR)) || ')' AS text
+  FROM nm WHERE contains(name, 'High Value') HAVING count(*) > 0
+  UNION ALL SELECT 2, 'Invite back the groups that order rarely (clusters ' || string_agg(CAST(Cluster AS VARCHAR), ', ' ORDER BY CAST(Cluster AS VARCHAR)) || ')'
+  FROM nm WHERE contains(name, 'Low Frequency') HAVING count(*) > 0)""",
+    *_FIXED,
+)

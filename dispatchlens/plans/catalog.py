@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from dispatchlens.functions.shapes import round_doubles
 from dispatchlens.plans.materialize import fact_table, memo
@@ -98,8 +99,12 @@ def _build() -> None:
     # Location clusters without the K-means noise reassignment have an exact SQL
     # twin; run_all uses the full C1-C4 chain.
     def clustered(f):
-        return G.with_location_clusters(f, reassign=False)
+        return memo(f.sparkSession, ("clustered", id(f)), lambda: G.with_location_clusters(f, reassign=False))
 
+    on_facts("profit_by_factor_clustered", lambda f: R.profit_by_factor(clustered(f)))
+    on_facts("profit_score_clustered", lambda f: R.profit_score(clustered(f)))
+    # two orders: combinations of eight factors rarely repeat at small scales
+    on_facts("top_scenarios_clustered", lambda f: R.top_scenarios(clustered(f), min_rows=2))
     on_facts("restaurant_cluster_profit", lambda f: R.restaurant_cluster_profit(clustered(f)))
     on_facts("delivery_cluster_profit", lambda f: R.delivery_cluster_profit(clustered(f)))
     on_facts("efficient_clusters", lambda f: T.efficient_clusters(clustered(f)))
@@ -108,6 +113,7 @@ def _build() -> None:
 
     from dispatchlens.operators import customers as U
     from dispatchlens.operators import models as M
+    from dispatchlens.operators import recommend as Z
 
     on_facts("customer_profile", U.customer_profile)
     on_facts("customer_rfm", U.customer_rfm)
@@ -123,6 +129,15 @@ def _build() -> None:
     on_facts("customer_cluster_summary", lambda f: U.cluster_summary(clusters(f)[0]))
     on_facts("customer_cluster_names", lambda f: U.name_segments(*clusters(f)))
 
+    # the same steps over labels and predictions that any engine can repeat
+    def fixed_labels(f):
+        return U.customer_rfm(f).withColumn("Cluster", (F.col("order_count") % 4).cast("int"))
+
+    on_facts("fixed_cluster_names", lambda f: U.name_segments(fixed_labels(f), 4))
+    on_facts("fixed_customer_recommendations", lambda f: Z.customer_recommendations(U.name_segments(fixed_labels(f), 4)))
+    on_facts("split_counts", M.split_counts)
+    on_facts("fixed_prediction_metrics", lambda f: M.regression_metrics(f.withColumn("prediction", 15.0 + 2.0 * F.col("Distance_km")), "Time_taken_min"))
+
     def time_models(f):
         return memo(f.sparkSession, ("time_models", id(f)), lambda: M.delivery_time_models(f))
 
@@ -141,13 +156,11 @@ def _build() -> None:
     on_facts("hourly_demand_model", lambda f: hourly_model(f)[0])
     on_facts("hourly_demand_importance", lambda f: hourly_model(f)[1])
 
-    from dispatchlens.operators import recommend as Z
-
     on_facts("pricing_recommendations", Z.pricing_recommendations)
     on_facts("operations_recommendations", Z.operations_recommendations)
     on_facts("driver_recommendations", Z.driver_recommendations)
     on_facts("customer_recommendations", lambda f: Z.customer_recommendations(U.name_segments(*clusters(f))))
-    on_facts("route_recommendations", Z.route_recommendations)
+    on_facts("route_recommendations", lambda f: Z.route_recommendations(f, clustered(f)))
     on_facts("recommendations", lambda f: Z.recommendations(f, U.name_segments(*clusters(f))))
 
     from dispatchlens.sources.files import preview

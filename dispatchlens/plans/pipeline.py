@@ -34,6 +34,8 @@ def run_all(spark: SparkSession, raw: DataFrame, p: FactParams = FactParams(), w
     elbow, k, _ = U.kmeans_elbow(rfm)
     labeled, _ = U.customer_clusters(rfm, k)
     names = U.name_segments(labeled, k)
+    pickup, dropoff = written(G.pickup_hotspots(f), "pickup"), written(G.dropoff_hotspots(f), "dropoff")
+    forecast = D.moving_average_forecast(f)
     out: dict[str, DataFrame] = {
         "facts": f,
         "profitability_overall_metrics": R.overall_metrics(f),
@@ -41,26 +43,31 @@ def run_all(spark: SparkSession, raw: DataFrame, p: FactParams = FactParams(), w
         "profitability_profit_by_factor": R.profit_by_factor(enriched),
         "profitability_profit_by_hour": R.profit_by_hour(f),
         "profitability_profit_by_day": R.profit_by_day(f),
+        "profitability_profit_score": R.profit_score(enriched),
         "profitability_top_scenarios": R.top_scenarios(enriched),
         "profitability_restaurant_cluster_profit": R.restaurant_cluster_profit(enriched),
         "profitability_delivery_cluster_profit": R.delivery_cluster_profit(enriched),
         "pricing_price_analysis": X.price_grid(f),
         "pricing_uniform_optimal_price": X.optimal_uniform_price(f),
         "pricing_segment_price_grid": X.segment_price_grid(f),
+        "dynamic_pricing_prices": X.dynamic_prices(f),
         "pricing_segment_based_pricing": X.segment_optimal_prices(f),
         "dynamic_pricing_pricing_strategies": X.pricing_strategy_compare(f),
         "dynamic_pricing_price_elasticity": X.price_elasticity_bins(f),
         "dynamic_pricing_price_multipliers": X.multiplier_stats(f),
         "demand_forecast_daily_orders": D.daily_orders(f),
-        "demand_forecast_moving_average": D.moving_average_forecast(f),
+        "demand_forecast_moving_average": forecast,
+        "demand_forecast_accuracy": D.forecast_accuracy(forecast),
+        "demand_forecast_insights": D.forecast_insights(forecast, D.forecast_accuracy(forecast)),
         "demand_forecast_autoregressive": D.autoregressive_forecast(f),
         "demand_forecast_hourly_features": D.hourly_features(f),
         "demand_forecast_weekday_pattern": D.weekday_pattern(f),
         "demand_forecast_hourly_pattern": D.hourly_pattern(f),
         "route_optimization_efficient_clusters": T.efficient_clusters(enriched),
         "route_optimization_efficient_routes": T.efficient_routes(enriched),
-        "route_optimization_pickup_hotspots": G.pickup_hotspots(f),
-        "route_optimization_dropoff_hotspots": G.dropoff_hotspots(f),
+        "route_optimization_pickup_hotspots": pickup,
+        "route_optimization_dropoff_hotspots": dropoff,
+        "route_optimization_hotspot_center": G.hotspot_center(f, pickup, dropoff),
         "route_optimization_city_vehicle": T.city_vehicle_efficiency(f),
         "driver_allocation_hourly_demand": V.hourly_demand_matrix(f),
         "driver_allocation_drivers_needed": V.drivers_needed(f),
@@ -74,11 +81,13 @@ def run_all(spark: SparkSession, raw: DataFrame, p: FactParams = FactParams(), w
         "customer_segmentation_profiles": seg,
         "efficiency_kpis": E.delivery_kpis(f).crossJoin(E.on_time_rate(f)),
         "efficiency_by_factor": E.efficiency_by_factor(f),
+        "efficiency_avg_time_by_factor": E.avg_time_by_factor_union(f),
+        "efficiency_executive_kpis": E.executive_kpis(f),
         "efficiency_bottlenecks": E.bottleneck_kpis(f),
         "efficiency_restaurant_efficiency": E.restaurant_efficiency_rank(f),
         "efficiency_time_delays_by_hour": E.delay_by_hour(f),
         "efficiency_restaurant_delays": E.restaurant_delays(f),
-        "recommendations": Z.recommendations(f, names),
+        "recommendations": Z.recommendations(f, names, enriched, pickup, dropoff, with_models),
     }
     if with_models:
         tm, ti = M.delivery_time_models(f)
