@@ -116,7 +116,8 @@ def delivery_time_models(facts: DataFrame, label: str = "Time_taken_min", models
     stages are fitted once; train and test vectors are written once."""
     from pyspark.ml import Pipeline
 
-    nums, cats = time_features(facts)
+    known = facts.agg(*[F.count(c).alias(c) for c in TIME_FEATURES if c in facts.columns]).first().asDict()
+    nums, cats = time_features(facts, [c for c in TIME_FEATURES if known.get(c)])
     data = facts.select("Order_ID", *nums, *cats, F.col(label).cast("double").alias(label)).dropna(subset=[label])
     train, test = hash_split(data)
     stages = Pipeline(stages=feature_pipeline(nums, cats)).fit(train)

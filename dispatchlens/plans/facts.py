@@ -18,11 +18,14 @@ Scale notes
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dispatchlens.functions import columns as C
 from dispatchlens.params import FactParams
+from dispatchlens.sources.schema import RAW_SCHEMA
 
 FACT_COLUMNS = [
     "Order_ID", "Customer_ID", "Restaurant_ID", "Delivery_person_ID", "Order_Date",
@@ -45,9 +48,29 @@ ESSENTIAL_COLUMNS = (
 )
 
 
+# The raw columns that each essential column comes from.
+ESSENTIAL_INPUTS = {
+    "Distance_km": ("Restaurant_latitude", "Restaurant_longitude", "Delivery_location_latitude", "Delivery_location_longitude"),
+    "Order_Hour": ("Order_Date", "Time_Orderd"),
+    "Pickup_Hour": ("Order_Date", "Time_Order_picked"),
+}
+
+
+def with_absent_columns(raw: DataFrame) -> DataFrame:
+    """``raw`` with the columns of the raw schema that it lacks, as nulls: what depends on them is null, and
+    null factors and groups are left out of every analysis."""
+    return raw.withColumns({f.name: F.lit(None).cast(f.dataType) for f in RAW_SCHEMA.fields if f.name not in raw.columns})
+
+
+def essential_columns(raw: DataFrame) -> list[str]:
+    """P21's columns, without those that ``raw`` has no inputs for."""
+    return [c for c in ESSENTIAL_COLUMNS if all(x in raw.columns for x in ESSENTIAL_INPUTS.get(c, (c,)))]
+
+
 def parse_rows(raw: DataFrame, p: FactParams = FactParams()) -> DataFrame:
     """Per-row parsing and features (no cross-row state)."""
     col = F.col
+    raw = with_absent_columns(raw)
     d = C.parse_order_date(col("Order_Date"))
     t_order = C.fill_missing_time(col("Time_Orderd"))
     t_pick = C.fill_missing_time(col("Time_Order_picked"))
@@ -126,7 +149,7 @@ def facts(
     mean_wait = parsed.select(F.avg("Wait_Time_Minutes")).scalar()
     enriched = with_rates(parsed, mean_wait, p)
     by_driver, by_restaurant = group_means(enriched)
-    return with_costs(enriched.join(by_driver, "Delivery_person_ID", "left").join(by_restaurant, "Restaurant_ID", "left"), p, drop_incomplete)
+    return with_costs(enriched.join(by_driver, "Delivery_person_ID", "left").join(by_restaurant, "Restaurant_ID", "left"), p, essential_columns(raw) if drop_incomplete else [])
 
 
 def with_rates(parsed: DataFrame, mean_wait: Column, p: FactParams) -> DataFrame:
@@ -147,7 +170,7 @@ def group_means(enriched: DataFrame) -> tuple[DataFrame, DataFrame]:
     return by("Delivery_person_ID", "Delivery_Speed", "_driver_speed"), by("Restaurant_ID", "Restaurant_Prep_Time", "_rest_prep")
 
 
-def with_costs(joined: DataFrame, p: FactParams, drop_incomplete: bool = True) -> DataFrame:
+def with_costs(joined: DataFrame, p: FactParams, essential: Sequence[str] = ESSENTIAL_COLUMNS) -> DataFrame:
     """P16-P21 from rows that carry their group means."""
     col, c = F.col, p.cost
     time_cost = col("Time_taken_min") * F.lit(c.cost_per_min)
@@ -171,9 +194,7 @@ def with_costs(joined: DataFrame, p: FactParams, drop_incomplete: bool = True) -
         (col("Distance_km") * F.lit(p.env.co2_kg_per_km)).alias("CO2_Emissions"),
         (col("Distance_km") / F.lit(p.env.fuel_km_per_litre)).alias("Fuel_Consumption"),
     )
-    if drop_incomplete:
-        out = out.dropna(subset=list(ESSENTIAL_COLUMNS))
-    return out
+    return out.dropna(subset=list(essential)) if essential else out
 
 
 def facts_from_star(spark, sf_dir: str, p: FactParams = FactParams()) -> DataFrame:
