@@ -101,7 +101,7 @@ def best_kmeans(vec: DataFrame, k: int, seed: int = SEED, starts: int = STARTS):
     return min((KMeans(k=k, seed=seed + i, featuresCol="features").fit(vec) for i in range(starts)), key=lambda m: m.summary.trainingCost)
 
 
-def kmeans_elbow(rfm: DataFrame, features: Sequence[str] = CLUSTER_FEATURES, max_k: int = 10, seed: int = SEED):
+def kmeans_elbow(rfm: DataFrame, features: Sequence[str] = CLUSTER_FEATURES, max_k: int = 10, seed: int = SEED, starts: int = STARTS):
     """Within-cluster sum of squares for k = 1..min(10, n-1) and the elbow
     k* = argmin |second difference| + 2 (3 with fewer than 3 points). Returns
     (DataFrame(k, wcss, is_optimal), k*, vectors)."""
@@ -117,7 +117,7 @@ def kmeans_elbow(rfm: DataFrame, features: Sequence[str] = CLUSTER_FEATURES, max
             total = vec.select(F.sum(sq)).first()[0]
             wcss.append(float(total))
         else:
-            wcss.append(float(best_kmeans(vec, k, seed).summary.trainingCost))
+            wcss.append(float(best_kmeans(vec, k, seed, starts).summary.trainingCost))
     if len(wcss) >= 3:
         d1 = [b - a for a, b in zip(wcss, wcss[1:])]
         d2 = [abs(b - a) for a, b in zip(d1, d1[1:])]
@@ -129,13 +129,13 @@ def kmeans_elbow(rfm: DataFrame, features: Sequence[str] = CLUSTER_FEATURES, max
     return table, k_star, vec
 
 
-def customer_clusters(rfm: DataFrame, k: int | None = None, features: Sequence[str] = CLUSTER_FEATURES, seed: int = SEED):
+def customer_clusters(rfm: DataFrame, k: int | None = None, features: Sequence[str] = CLUSTER_FEATURES, seed: int = SEED, starts: int = STARTS):
     """U4: K-means at k (the elbow's k* when None); returns per-customer labels."""
     if k is None:
-        _, k, vec = kmeans_elbow(rfm, features, seed=seed)
+        _, k, vec = kmeans_elbow(rfm, features, seed=seed, starts=starts)
     else:
         vec = standardized_vectors(rfm, features)
-    model = best_kmeans(vec, k, seed)
+    model = best_kmeans(vec, k, seed, starts)
     return model.transform(vec).withColumnRenamed("prediction", "Cluster").drop("features"), k
 
 
