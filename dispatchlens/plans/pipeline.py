@@ -106,3 +106,15 @@ def save_all(results: dict[str, DataFrame], out_dir: str, fmt: str = "parquet")
     from dispatchlens.sources.files import write_results
 
     return write_results(results, out_dir, fmt)
+
+
+def save_with_status(results: dict[str, DataFrame], out_dir: str, fmt: str = "parquet") -> DataFrame:
+    """``save_all`` one result at a time: ``(analysis, ok, message)``; a failing analysis doesn't stop the others."""
+    rows = []
+    for name, frame in results.items():
+        try:
+            save_all({name: frame}, out_dir, fmt)
+            rows.append((name, True, ""))
+        except Exception as e:  # noqa: BLE001  the report is the point
+            rows.append((name, False, f"{type(e).__name__}: {e}"[:500]))
+    return next(iter(results.values())).sparkSession.createDataFrame(rows, "analysis string, ok boolean, message string")

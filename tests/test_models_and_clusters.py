@@ -12,7 +12,7 @@ from dispatchlens.operators import geo as G
 from dispatchlens.operators import models as M
 from dispatchlens.operators.recommend import safe_group_agg
 from dispatchlens.plans.materialize import fact_table, raw_deliveries
-from dispatchlens.plans.pipeline import run_all, save_all
+from dispatchlens.plans.pipeline import run_all, save_all, save_with_status
 from dispatchlens.session import ensure_checkpoint_dir, written
 from dispatchlens.sources.files import from_dataframe, load_model, save_model
 
@@ -136,3 +136,6 @@ def test_run_all(spark):
     assert not any("price model" in t for t in lines.values())
     some = {k: results[k] for k in ("efficiency_kpis", "recommendations")}
     assert len(save_all(some, f"{ensure_checkpoint_dir(spark)}/run-all-test")) == 2
+    broken = spark.range(3).select(F.assert_true(F.col("id") < 0).alias("x"))
+    status = save_with_status({"kpis": results["efficiency_kpis"], "broken": broken}, f"{ensure_checkpoint_dir(spark)}/status-test")
+    assert [(r.analysis, r.ok) for r in status.collect()] == [("kpis", True), ("broken", False)]
