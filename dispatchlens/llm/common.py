@@ -8,7 +8,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dispatchlens.session import ensure_checkpoint_dir
+from dispatchlens.functions import graph
+from dispatchlens.session import ensure_checkpoint_dir, written  # noqa: F401  (used by the operators)
 
 #: Characters of text that one step of a vectorised scan works on at a time.
 SLICE_CHARS = 1 << 20
@@ -29,14 +30,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once as Parquet into the shared folder and read back: cuts the
-    lineage, survives lost executors and keeps column pruning."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def release(df: DataFrame) -> None:
     """Delete the files of a table made by :func:`written` that nothing reads any more."""
     spark = df.sparkSession
@@ -82,24 +75,6 @@ def slices(sizes: list[int], most: int = SLICE_CHARS) -> list[tuple[int, int]]:
 
 
 def components(edges: DataFrame, nodes: DataFrame, node: str, a: str, b: str) -> DataFrame:
-    """Connected components: ``(node, root)`` with the smallest node of each component as root.
-
-    Only nodes that have an edge take part in the rounds; the others are their own
-    root. Each round takes the smallest root in a node's neighbourhood and then the
-    root's own root (pointer jumping), and is written to the shared folder; it ends
-    when no root changes, however many rounds that takes. Nothing is collected but
-    the number of changes.
-    """
-    both = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).unionByName(edges.select(F.col(b).alias("x"), F.col(a).alias("y")))
-    both = written(both.filter("x <> y").distinct(), "edges")
-    labels = written(both.groupBy("x").agg(F.min("y").alias("y")).select("x", F.least("x", "y").alias("root")), "roots")
-    while True:
-        near = both.join(labels.withColumnRenamed("x", "y"), "y").groupBy("x").agg(F.min("root").alias("near"))
-        step = labels.join(near, "x").select("x", F.col("root").alias("was"), F.least("root", "near").alias("mid"))
-        above = labels.select(F.col("x").alias("mid"), F.col("root").alias("top"))
-        new = written(step.join(above, "mid").select("x", "was", F.least("mid", "top").alias("root")), "roots")
-        changed = new.filter("was <> root").limit(1).count()
-        labels = new.select("x", "root")
-        if not changed:
-            break
-    return nodes.select(node).join(labels.withColumnRenamed("x", node), node, "left").select(node, F.coalesce("root", F.col(node)).alias("root"))
+    """``(node, root)`` of every node, the smallest of its component as root; nodes without an edge are their own."""
+    roots = graph.components(edges, a, b).withColumnRenamed("x", node)
+    return nodes.select(node).join(roots, node, "left").select(node, F.coalesce("root", F.col(node)).alias("root"))

@@ -115,7 +115,8 @@ def links(prints: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fp[at])], ["key", "fp"])
 
     keyed = common.written(prints.select("fp").mapInArrow(run, "key long, fp long"), "keys")
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    # written, so that the joins have plain exchanges on both sides and a hot key's rows can be split
+    shared = common.written(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
     few = keyed.join(shared.filter(F.col("n") <= PAIRED).select("key"), "key")
     pairs = few.select("key", F.col("fp").alias("a")).join(few.select("key", F.col("fp").alias("b")), "key").filter((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS))
     crowded = keyed.join(shared.filter(F.col("n") > PAIRED).select("key"), "key", "left_semi").select("fp").distinct()
