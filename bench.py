@@ -23,7 +23,9 @@ HEADLINE = (
     "driver_metrics", "shift_allocation", "drivers_needed",
     "daily_orders", "moving_average_forecast", "hourly_features",
     "customer_rfm", "customer_profile",
-    "restaurant_sites", "pickup_hotspots", "efficient_routes",
+    "restaurant_sites", "pickup_hotspots", "efficient_routes", "profit_by_factor_clustered",
+    "autoregressive_forecast", "city_autoregressive_forecast",
+    "customer_segments", "hourly_demand_model", "delivery_time_models",
 )
 
 

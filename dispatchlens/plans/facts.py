@@ -11,9 +11,9 @@ Scale notes
   single value inlined into the projection; no unpartitioned window.
 * Per-driver and per-restaurant means are aggregates joined back on their key,
   not windows: the aggregate is partial (map-side), so a hot driver or
-  restaurant never lands in one task, and AQE broadcasts the aggregate when its
-  measured size is under the broadcast threshold, or splits skewed partitions
-  of a sort-merge join otherwise.
+  restaurant never lands in one task. The means are written and counted, and
+  broadcast up to ``BROADCAST_GROUPS`` rows, so facts aren't shuffled; beyond
+  that AQE splits skewed partitions of the sort-merge join.
 """
 
 from __future__ import annotations
@@ -25,8 +25,12 @@ from pyspark.sql import functions as F
 
 from dispatchlens.functions import columns as C
 from dispatchlens.params import FactParams
+from dispatchlens.session import written
 from dispatchlens.sources.schema import RAW_SCHEMA
 
+#: Drivers or restaurants whose means are broadcast at most (a key and a number each).
+BROADCAST_GROUPS = 500_000
+
 FACT_COLUMNS = [
     "Order_ID", "Customer_ID", "Restaurant_ID", "Delivery_person_ID", "Order_Date",
     "Time_Orderd", "Time_Order_picked", "Weatherconditions", "Road_traffic_density",
@@ -142,16 +146,19 @@ def facts(
     col = F.col
     parsed = parse_rows(raw, p)
     if materialize_parsed:
-        from dispatchlens.session import written
-
         parsed = written(parsed, "parsed")
     # Impute missing waits with the mean over all parsed rows.
     mean_wait = parsed.select(F.avg("Wait_Time_Minutes")).scalar()
     enriched = with_rates(parsed, mean_wait, p)
-    by_driver, by_restaurant = group_means(enriched)
+    by_driver, by_restaurant = (near(written(means, "means")) for means in group_means(enriched))
     return with_costs(enriched.join(by_driver, "Delivery_person_ID", "left").join(by_restaurant, "Restaurant_ID", "left"), p, essential_columns(raw) if drop_incomplete else [])
 
 
+def near(groups: DataFrame) -> DataFrame:
+    """A table of group means to be broadcast, if it has been counted to be small; the rows then aren't shuffled by a skewed key."""
+    return F.broadcast(groups) if groups.count() <= BROADCAST_GROUPS else groups
+
+
 def with_rates(parsed: DataFrame, mean_wait: Column, p: FactParams) -> DataFrame:
     """Waits with missing ones imputed, speed and preparation time."""
     wait = F.coalesce(F.col("Wait_Time_Minutes"), mean_wait)
