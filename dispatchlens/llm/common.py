@@ -12,12 +12,23 @@ from dispatchlens.functions import graph
 from dispatchlens.session import ensure_checkpoint_dir, written  # noqa: F401  (used by the operators)
 
 #: Characters of text that one step of a vectorised scan works on at a time.
-SLICE_CHARS = 1 << 20
+SLICE_CHARS = 1 << 19
+
+
+#: Rows of an Arrow batch, at most: documents are a few KB, some a hundred.
+BATCH_ROWS = 1000
+#: Settings of the Python workers' allocator, so that they give large blocks back between stages.
+WORKER_ENV = {"MALLOC_ARENA_MAX": "1", "MALLOC_MMAP_THRESHOLD_": "4194304", "MALLOC_TRIM_THRESHOLD_": "8388608", "ARROW_DEFAULT_MEMORY_POOL": "system"}
 
 
 def importable(spark: SparkSession) -> None:
-    """Let Python workers started from now on find this package where the driver has it."""
-    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+    """Let Python workers started from now on find this package where the driver has it, and keep them small."""
+    env = spark.sparkContext.environment
+    for k, v in {"PYTHONPATH": str(Path(__file__).resolve().parents[2]), **WORKER_ENV}.items():
+        env.setdefault(k, v)
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, BATCH_ROWS)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -24,7 +24,7 @@ ROUNDS = 8
 SLACK = 0.1
 UNKNOWN = "und"
 #: Texts that become one dense matrix.
-ROWS = 256
+ROWS = 64
 # Odd multipliers of the n-gram hash, one for each byte and one for each n-gram length.
 FACTORS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
 
