@@ -297,7 +297,8 @@ def repeated_spans(docs: DataFrame, span: int) -> DataFrame:
     """``kd, th`` and the repeated ``spans`` (array of start and end, not merged) of the documents that have any."""
     rows = texts(docs)
     every = common.written(sampled(rows, span), "anchors")
-    twice = every.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
+    # written, so that the join has plain exchanges on both sides and a hot gram's rows can be split
+    twice = common.written(every.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"), "grams")
     some = common.written(every.join(twice, "gram", "left_semi"), "candidates")
     common.release(every)
     # one document stands for all that have the same surrounding
