@@ -8,6 +8,7 @@ Pieces then take the planned slots by joining on their rank within their length.
 from __future__ import annotations
 
 import json
+import os
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -23,7 +24,7 @@ from dispatchlens.llm.pretokens import split, spread
 #: Pieces of one rank window, about.
 RANK_ROWS = 20_000
 #: Pre-tokens whose ids a worker remembers, in each of two generations.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 PLAN = "length int, rank_from long, n long, per_sequence long, sequence_from long, offset_from long"
 
 
@@ -47,6 +48,8 @@ class Ids:
 
     def of(self, texts: list[str]) -> list[np.ndarray]:
         if self.tokenizer is None:
+            # the library's threads would wait busily for each other on a machine that Spark fills
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
             from tokenizers import Tokenizer
 
             self.tokenizer = Tokenizer.from_str(self.json)
@@ -63,7 +66,7 @@ class Ids:
                     self.new[p] = known[i]
         for at in range(0, len(asked), 4096):
             some = asked[at : at + 4096]
-            for i, got in zip(some, self.tokenizer.encode_batch([distinct[i] for i in some], add_special_tokens=False)):
+            for i, got in zip(some, self.tokenizer.encode_batch_fast([distinct[i] for i in some], add_special_tokens=False)):
                 known[i] = np.array(got.ids, np.uint32)
                 if len(distinct[i]) <= 64:
                     self.new[distinct[i]] = known[i]
