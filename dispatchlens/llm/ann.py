@@ -3,7 +3,8 @@
 The index has inverted lists over randomly rotated vectors, kept in blocks of columns. Within
 each probed list a query adds up squared distances block by block; after every block a
 hypothesis test on the partial distance abandons the candidates that are, at the chosen
-significance, farther than the current k-th nearest. Inner product becomes distance by one more
+significance, farther than the k-th nearest so far. The nearest list is searched first, and
+its k-th distance is the limit for the others, which return only what is nearer. Inner product becomes distance by one more
 component that gives all candidates the same length (zero for queries).
 """
 
@@ -13,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dispatchlens.llm import common, vectors
@@ -25,9 +26,11 @@ FIT_QUERIES = 200
 #: Vectors a list aims at, and the most lists.
 LIST_ROWS, MOST_LISTS = 512, 4096
 #: Mean recall on the fitting rows that decides how many lists are probed.
-TARGET_RECALL = 0.98
+TARGET_RECALL = 0.95
 #: Columns of a block, and the significance of the test (larger: fewer candidates lost).
 COLUMNS, SIGNIFICANCE = 16, 2.1
+#: Share of pairs left below which they are looked at one by one, and queries looked at together.
+SPARSE, TOGETHER = 0.2, 64
 ROUNDS, SEED = 12, 20
 LISTS = "list int, chunks int, query_blocks int"
 
@@ -66,25 +69,47 @@ def fit_probes(points: np.ndarray, queries: np.ndarray, centres: np.ndarray, k:
     return int(needed[max(0, int(np.ceil(TARGET_RECALL * len(needed))) - 1)]) + 1 if needed.size else 1
 
 
-def scan(query: np.ndarray, blocks: list[np.ndarray], k: int) -> np.ndarray:
-    """Places of a list's ``k`` nearest; ``blocks`` hold the list's vectors by columns."""
+def scan(queries: np.ndarray, blocks: list[np.ndarray], k: int, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(query, candidate) places of each query's up to ``k`` nearest in a list that are within its squared ``limit``.
+
+    ``blocks`` hold the list's vectors by columns. While most pairs are alive a block is added to all of them as a
+    matrix product, later only to the pairs that are left.
+    """
     n, dims = blocks[0].shape[1], sum(len(b) for b in blocks)
-    parts = np.split(query, np.cumsum([len(b) for b in blocks])[:-1])
-    alive, partial, seen, limit = np.arange(n), np.zeros(n), 0, np.inf
+    parts = np.split(queries, np.cumsum([len(b) for b in blocks])[:-1], axis=1)
+    partial, seen = np.zeros((len(queries), n)), 0
+    pairs = None
     for i, (part, block) in enumerate(zip(parts, blocks)):
-        partial = partial + np.square(block[:, alive] - part[:, None]).sum(0)
+        if pairs is None:
+            partial += (part**2).sum(1)[:, None] + (block**2).sum(0) - 2 * part @ block
+        else:
+            partial = partial + np.square(block[:, pairs[1]] - part[pairs[0]].T).sum(0)
         seen += len(part)
-        if i == 0 and n > k:  # the whole distances of those that look nearest give the first limit
-            likely = np.argpartition(partial, k - 1)[:k]
-            limit = partial[likely] + sum(np.square(b[:, likely] - p[:, None]).sum(0) for p, b in zip(parts[1:], blocks[1:]))
-            limit = limit.max()
+        if i == 0 and n > k and np.isinf(limits).any():  # the whole distances of those that look nearest give a first limit
+            likely = np.argpartition(partial, k - 1, axis=1)[:, :k]
+            whole = sum(np.square(b[:, likely] - p.T[:, :, None]).sum(0) for p, b in zip(parts, blocks))
+            limits = np.minimum(limits, whole.max(1) * (1 + 1e-9))
         if seen < dims:
-            stay = partial * (dims / seen) <= limit * (1 + SIGNIFICANCE / np.sqrt(seen)) ** 2
-            alive, partial = alive[stay], partial[stay]
-    if len(alive) > k:
-        stay = partial <= np.partition(partial, k - 1)[k - 1]
-        alive = alive[stay]
-    return alive
+            bound = limits * (1 + SIGNIFICANCE / np.sqrt(seen)) ** 2 * (seen / dims)
+            if pairs is None:
+                alive = partial <= bound[:, None]
+                if alive.mean() < SPARSE:
+                    pairs = np.nonzero(alive)
+                    partial = partial[pairs]
+                else:
+                    partial[~alive] = np.inf
+            else:
+                stay = partial <= bound[pairs[0]]
+                pairs, partial = (pairs[0][stay], pairs[1][stay]), partial[stay]
+    if pairs is None:
+        pairs = np.nonzero(np.isfinite(partial))
+        partial = partial[pairs]
+    near = partial <= limits[pairs[0]] * (1 + 1e-9) + 1e-12
+    query, place, partial = pairs[0][near], pairs[1][near], partial[near]
+    order = np.lexsort((partial, query))
+    query, place = query[order], place[order]
+    first = np.arange(len(query)) - np.searchsorted(query, query) < k
+    return query[first], place[first]
 
 
 def nearest_neighbours(rows: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
@@ -129,29 +154,39 @@ def nearest_neighbours(rows: DataFrame, k: int = 20, every: int = 20) -> DataFra
     kind = lambda d: ", ".join(f"{c} {t}" for c, t in d.dtypes) + ", list array<int>, y array<double>"
     index = common.written(data.mapInPandas(place(lambda x: lifted(x, longest2) @ turn, 1), kind(data)).withColumn("list", F.col("list")[0]), "index")
     asked = data.join(queries.select("rep", "h").distinct(), ["rep", "h"]).drop("ids")
-    probed = common.written(asked.mapInPandas(place(as_query, probes), kind(asked)).withColumn("list", F.explode("list")), "probes")
-    shape = index.groupBy("list").agg(F.count("*").alias("n")).join(probed.groupBy("list").agg(F.count("*").alias("q")), "list")
-    # at most MOST_LISTS rows
-    shape = shape.select("list", F.ceil(F.col("n") / vectors.CANDIDATES).cast("int").alias("chunks"), F.ceil(F.col("q") / vectors.QUERIES).cast("int").alias("query_blocks")).collect()
-    lists = F.broadcast(index.sparkSession.createDataFrame(shape, LISTS))
-    every_block = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    left = index.join(lists, "list").withColumn("cb", vectors.block(F.col("chunks"))).withColumn("qb", every_block("query_blocks"))
-    right = probed.join(lists, "list").withColumn("qb", vectors.block(F.col("query_blocks"))).withColumn("cb", every_block("chunks"))
+    probed = asked.mapInPandas(place(as_query, probes), kind(asked)).select("rep", "h", "v", "y", F.posexplode("list").alias("turn", "list"))
+    probed = common.written(probed, "probes")
 
     def search(candidates: pd.DataFrame, questions: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(candidates) and len(questions):
             y = np.stack(candidates["y"]).T
             blocks = [np.ascontiguousarray(y[i : i + COLUMNS]) for i in range(0, len(y), COLUMNS)]
-            x = vectors.matrix(candidates["v"], dims)
-            ids = candidates["ids"].tolist()
-            for rep, h, v, q in zip(questions["rep"], questions["h"], vectors.matrix(questions["v"], dims), questions["y"]):
-                places = scan(q, blocks, k + 1)
+            x, v, q = vectors.matrix(candidates["v"], dims), vectors.matrix(questions["v"], dims), np.stack(questions["y"])
+            ids, names = candidates["ids"].tolist(), list(zip(questions["rep"], questions["h"]))
+            limits = questions["limit"].fillna(np.inf).to_numpy(float)
+            for a in range(0, len(q), TOGETHER):
+                own, places = scan(q[a : a + TOGETHER], blocks, k + 1, limits[a : a + TOGETHER])
                 # products are added in the order of the components, so equal vectors have equal scores in every block
-                scores = np.cumsum(x[places] * v, axis=1)[:, -1]
-                out += [(rep, h, ids[j], s) for j, s in zip(places.tolist(), scores.tolist())]
+                scores = np.cumsum(x[places] * v[a + own], axis=1)[:, -1]
+                out += [(*names[a + i], ids[j], s) for i, j, s in zip(own.tolist(), places.tolist(), scores.tolist())]
         return pd.DataFrame(out, columns=["rep", "h", "ids", "score"])
 
-    keys = ["list", "cb", "qb"]
-    found = left.groupBy(*keys).cogroup(right.toDF(*right.columns).groupBy(*keys)).applyInPandas(search, "rep long, h long, ids array<long>, score double")
-    return vectors.answers(found, queries, k, "double")
+    def searched(asking: DataFrame) -> DataFrame:
+        shape = index.groupBy("list").agg(F.count("*").alias("n")).join(asking.groupBy("list").agg(F.count("*").alias("q")), "list")
+        # at most MOST_LISTS rows
+        shape = shape.select("list", F.ceil(F.col("n") / vectors.CANDIDATES).cast("int").alias("chunks"), F.ceil(F.col("q") / vectors.QUERIES).cast("int").alias("query_blocks")).collect()
+        lists = F.broadcast(index.sparkSession.createDataFrame(shape, LISTS))
+        every_block = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+        left = index.join(lists, "list").withColumn("cb", vectors.block(F.col("chunks"))).withColumn("qb", every_block("query_blocks"))
+        right = asking.join(lists, "list").withColumn("qb", vectors.block(F.col("query_blocks"))).withColumn("cb", every_block("chunks"))
+        keys = ["list", "cb", "qb"]
+        found = left.select(*keys, "v", "ids", "y").groupBy(*keys).cogroup(right.select(*(F.col(c).alias(c) for c in [*keys, "rep", "h", "v", "y", "limit"])).groupBy(*keys))
+        return common.written(found.applyInPandas(search, "rep long, h long, ids array<long>, score double"), "found")
+
+    first = searched(probed.filter("turn = 0").withColumn("limit", F.lit(None).cast("double")))
+    rank = F.row_number().over(Window.partitionBy("rep", "h").orderBy(F.desc("score")))
+    length2 = F.aggregate("v", F.lit(longest2), lambda s, x: s + x * x)
+    kth = first.withColumn("rn", rank).filter(F.col("rn") == k + 1).select("rep", "h", F.col("score").alias("kth"))
+    rest = probed.filter("turn > 0").join(kth, ["rep", "h"], "left").withColumn("limit", length2 - 2 * F.col("kth"))
+    return vectors.answers(first.unionByName(searched(rest.drop("kth"))), queries, k, "double")

@@ -90,15 +90,19 @@ def test_nearest_neighbours_recall_and_scores(embeddings, monkeypatch):
         assert all(abs(s - dot(exact[q], exact[i])) < 1e-12 for q in found for i, s in found[q])
 
 
-def test_scan_keeps_the_nearest():
+@pytest.mark.parametrize("sparse", [0.0, 0.2, 1.1])
+def test_scan_keeps_the_nearest(monkeypatch, sparse):
+    monkeypatch.setattr(ann, "SPARSE", sparse)
     rng = np.random.default_rng(5)
-    x = rng.standard_normal((300, 64))
-    lost = 0
-    for _ in range(20):
-        q = rng.standard_normal(64)
-        got = ann.scan(q, [np.ascontiguousarray(x.T[i : i + 16]) for i in range(0, 64, 16)], 10)
-        lost += len(set(np.argsort(((x - q) ** 2).sum(1))[:10].tolist()) - set(got.tolist()))
-    assert lost <= 10
+    x, q = rng.standard_normal((300, 64)), rng.standard_normal((20, 64))
+    far = ((x[None] - q[:, None]) ** 2).sum(2)
+    blocks = [np.ascontiguousarray(x.T[i : i + 16]) for i in range(0, 64, 16)]
+    own, places = ann.scan(q, blocks, 10, np.full(20, np.inf))
+    true = {(i, j) for i in range(20) for j in np.argsort(far[i])[:10].tolist()}
+    assert len(true - set(zip(own.tolist(), places.tolist()))) <= 10 and len(own) <= 200
+    limits = np.sort(far, axis=1)[:, 4]
+    own, places = ann.scan(q, blocks, 10, limits)
+    assert all(far[i, j] <= limits[i] * (1 + 1e-6) for i, j in zip(own, places)) and len(own) >= 95
 
 
 def test_few_and_no_rows(embeddings):
