@@ -20,8 +20,9 @@ DIMS = 1 << 13
 #: Training documents of a language, at most about, and its centroids.
 FIT_ROWS, CENTROIDS = 1000, 4
 ROUNDS = 8
-#: A text is rejected below this share of its centroid's lowest training cosine (the 1st percentile).
-SLACK = 0.1
+#: A text is rejected below this share of its centroid's lowest training cosine (the 1st percentile). That percentile
+#: is taken from ``MEMBERS`` documents at least; ``USUAL`` stands for it where no language has so many.
+SLACK, MEMBERS, USUAL = 0.4, 20, 0.5
 UNKNOWN = "und"
 #: Texts that become one dense matrix.
 ROWS = 64
@@ -56,7 +57,11 @@ def vectors(texts: list[str], idf: np.ndarray) -> np.ndarray:
 
 
 def clustered(x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Centroids of length one, begun at points far apart, and the lowest cosine that each accepts."""
+    """Centroids of length one, begun at points far apart, and the lowest cosine that each accepts.
+
+    A centroid of few members lies close to each of them, which tells nothing about other texts: it takes the limit of the
+    language's larger centroids together, or NaN if there is none.
+    """
     x = x[(x * x).sum(1) > 0]
     at = [0]
     while len(at) < min(n, len(x)):
@@ -68,7 +73,9 @@ def clustered(x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         centres = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
     cosines = x @ centres.T
     own = np.argmax(cosines, axis=1) if len(x) else np.zeros(0, int)
-    limits = [np.quantile(cosines[own == c, c], 0.01) * SLACK if (own == c).any() else 0.0 for c in range(len(centres))]
+    large = np.bincount(own, minlength=len(centres)) >= MEMBERS
+    lowest = lambda some: np.quantile(cosines[some, own[some]], 0.01) * SLACK if some.any() else np.nan
+    limits = [lowest(own == c if large[c] else large[own]) for c in range(len(centres))]
     return centres.astype(np.float32), np.array(limits)
 
 
@@ -123,7 +130,10 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS, centroids: int = CENTROIDS) -
 
     found = sorted(sample.groupBy("lang").applyInPandas(cluster, "lang string, centre binary, low double").collect())
     centres = np.array([np.frombuffer(r["centre"], np.float32) for r in found]).reshape(-1, DIMS)
-    return Centroids(idf, [r["lang"] for r in found], centres, np.array([r["low"] for r in found]))
+    limits = np.array([r["low"] for r in found], float)
+    told = ~np.isnan(limits)
+    limits[~told] = np.median(limits[told]) if told.any() else USUAL * SLACK
+    return Centroids(idf, [r["lang"] for r in found], centres, limits)
 
 
 def predictor(spark, model: Centroids):

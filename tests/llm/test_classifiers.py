@@ -1,3 +1,4 @@
+import base64
 import random
 import zlib
 
@@ -100,3 +101,32 @@ def test_language_with_nothing_learnt(documents):
     assert out.collect() == []
     rows = documents([(1, "hello")]).selectExpr("doc_id", "text", "cast(null as string) as lang")
     assert [(r.lang_pred, r.score) for r in language.predicted_languages(rows).collect()] == [("und", 0.0)]
+
+
+def test_language_limit_separates(spark):
+    rnd = random.Random(4)
+    parts = {"en": "th the er on an re he in ed nd ha at en es of or".split(), "de": "en er ch de ei ie in te ge un nd st be sch ü ß".split()}
+    word = lambda g: "".join(rnd.choices(parts[g], k=rnd.randint(1, 4)))
+    text = lambda g, n: " ".join(word(g) for _ in range(n)) + "."
+    # every language has one document unlike its others, which becomes a centroid with one member
+    rows = [(i, text(g, rnd.randint(20, 90)), g) for i, g in enumerate(["en", "de"] * 90)] + [(1000, "QQQQ " * 30, "en"), (1003, "%% JJ " * 30, "de")]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    kept = [t for i, t, _ in rows if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert len(kept) > 20 and model.predict(kept)["accepted"].all()
+    letters = "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=600))
+    packed = base64.b64encode(rnd.randbytes(600)).decode()
+    numbers = "a " + " ".join(str(rnd.randint(0, 10**6)) for _ in range(100))
+    polish = "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem."
+    far = [letters, packed, numbers, polish, rnd.randbytes(400).hex(), "漢字仮名交じり文です", "يولد جميع الناس أحرارا متساوين"]
+    assert not model.predict(far)["accepted"].any()
+
+
+def test_language_limit_of_few_members():
+    rng = np.random.default_rng(2)
+    near = np.abs(rng.standard_normal((60, 40))) + 1
+    far = np.eye(40)[:2]  # two of one member each
+    x = np.concatenate([near, far])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    centres, limits = language.clustered(x, 3)
+    assert max(limits) < language.SLACK * 0.99 and not np.isnan(limits).any()
+    assert np.isnan(language.clustered(x[-2:], 3)[1]).all()
