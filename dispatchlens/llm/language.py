@@ -9,6 +9,8 @@ or that has no letter, is rejected.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 from dispatchlens.llm import common
 
 DIMS = 1 << 13
-#: Training documents of a language, at most about, and its centroids.
+#: Documents that a language's centroids are fitted on, at most about, and its centroids.
 FIT_ROWS, CENTROIDS = 1000, 4
 ROUNDS = 8
 #: A text is rejected below this share of its centroid's lowest training cosine (the 1st percentile). That percentile
@@ -104,22 +106,25 @@ def held_out():
 
 
 def fit(docs: DataFrame, fit_rows: int = FIT_ROWS, centroids: int = CENTROIDS) -> Centroids:
-    """Fitted on about ``fit_rows`` documents of each language, chosen by a hash of id and text; rows without
-    language, without a letter or held out are left out. Without any row nothing can be told (all ``und``)."""
+    """Document frequencies of all rows, centroids of about ``fit_rows`` documents of each language, chosen by a hash of id
+    and text; rows without language, without a letter or held out are left out. Without any row nothing can be told (all ``und``)."""
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter("text is not null and lang is not null").filter(~held_out())
     shares = known.groupBy("lang").agg((F.lit(float(fit_rows)) / F.count("*")).alias("share"))
     sample = common.written(known.join(F.broadcast(shares), "lang").filter(common.hash_fraction("doc_id", "text") < F.col("share")).select("lang", "text"), "languages")
-    ones = np.ones(DIMS, np.float32)
-
-    def frequencies(frame: pd.DataFrame) -> pd.DataFrame:
-        df = np.zeros(DIMS, np.int64)
-        for t in frame["text"]:
-            df += counts(t) > 0
-        return pd.DataFrame({"n": [len(frame)], "df": [df.tobytes()]})
 
-    rows = sample.groupBy("lang").applyInPandas(frequencies, "n long, df binary").collect()  # a row for each language
-    n = sum(r["n"] for r in rows)
-    idf = (1 + np.log((1 + n) / (1 + sum(np.frombuffer(r["df"], np.int64) for r in rows)))).astype(np.float32) if n else ones
+    def frequencies(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        df = np.zeros(DIMS + 1, np.int64)  # the last one counts the documents
+        for frame in frames:
+            for t in filter(has_letter, frame["text"]):
+                df[:DIMS] += counts(t) > 0
+                df[DIMS] += 1
+        at = np.nonzero(df)[0]
+        yield pd.DataFrame({"at": at, "df": df[at]})
+
+    df = np.zeros(DIMS + 1, np.int64)
+    for r in known.select("text").mapInPandas(frequencies, "at int, df long").groupBy("at").agg(F.sum("df").alias("df")).collect():  # at most DIMS + 1 rows
+        df[r["at"]] = r["df"]
+    idf = (1 + np.log((1 + df[DIMS]) / (1 + df[:DIMS]))).astype(np.float32)
 
     def cluster(frame: pd.DataFrame) -> pd.DataFrame:
         texts = sorted(t for t in frame["text"] if has_letter(t))

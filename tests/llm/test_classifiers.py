@@ -130,3 +130,12 @@ def test_language_limit_of_few_members():
     centres, limits = language.clustered(x, 3)
     assert max(limits) < language.SLACK * 0.99 and not np.isnan(limits).any()
     assert np.isnan(language.clustered(x[-2:], 3)[1]).all()
+
+
+def test_language_counts_documents_of_all_rows(spark):
+    rnd = random.Random(5)
+    rows = [(i, prose(rnd, g, 20), g) for i, g in enumerate(["en", "en", "en", "de"] * 50)] + [(900, "12345 !!", "en"), (901, None, "de"), (902, "the", None)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3), fit_rows=10)
+    learnt = [t for i, t, g in rows if g and t and language.has_letter(t) and zlib.crc32(str(i).encode()) % 4 != 2]
+    df = sum((language.counts(t) > 0).astype(int) for t in learnt)
+    assert np.allclose(model.idf, 1 + np.log((1 + len(learnt)) / (1 + df)))
