@@ -69,11 +69,11 @@ def fit_probes(points: np.ndarray, queries: np.ndarray, centres: np.ndarray, k:
     return int(needed[max(0, int(np.ceil(TARGET_RECALL * len(needed))) - 1)]) + 1 if needed.size else 1
 
 
-def scan(queries: np.ndarray, blocks: list[np.ndarray], k: int, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def scan(queries: np.ndarray, blocks: list[np.ndarray], k: int, limits: np.ndarray, exact: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """(query, candidate) places of each query's up to ``k`` nearest in a list that are within its squared ``limit``.
 
     ``blocks`` hold the list's vectors by columns. While most pairs are alive a block is added to all of them as a
-    matrix product, later only to the pairs that are left.
+    matrix product, later only to the pairs that are left. With ``exact`` only pairs already beyond the limit go.
     """
     n, dims = blocks[0].shape[1], sum(len(b) for b in blocks)
     parts = np.split(queries, np.cumsum([len(b) for b in blocks])[:-1], axis=1)
@@ -90,7 +90,7 @@ def scan(queries: np.ndarray, blocks: list[np.ndarray], k: int, limits: np.ndarr
             whole = sum(np.square(b[:, likely] - p.T[:, :, None]).sum(0) for p, b in zip(parts, blocks))
             limits = np.minimum(limits, whole.max(1) * (1 + 1e-9))
         if seen < dims:
-            bound = limits * (1 + SIGNIFICANCE / np.sqrt(seen)) ** 2 * (seen / dims)
+            bound = limits * (1 + 1e-6) + 1e-9 if exact else limits * (1 + SIGNIFICANCE / np.sqrt(seen)) ** 2 * (seen / dims)
             if pairs is None:
                 alive = partial <= bound[:, None]
                 if alive.mean() < SPARSE:
@@ -117,7 +117,8 @@ def nearest_neighbours(rows: DataFrame, k: int = 20, every: int = 20) -> DataFra
 
     Returns ``query_id, rank, vec_id, score``, nearest first, ties to the smaller vec_id; the score is
     the inner product of the original vectors in double precision. All rows but the query's own
-    are indexed and are candidates; a query may get fewer than ``k`` only if its probed lists hold fewer.
+    are indexed and are candidates; a query gets fewer than ``k`` only if there are fewer. Where the probed lists give
+    fewer, it searches as many more lists, in order of distance, as hold ``k``, without the test.
 
     Null ids and vectors that are null, empty, zero or hold null or non-finite components take
     no part; vectors of different lengths are compared as if filled with zeros; rows that repeat id and
@@ -157,7 +158,7 @@ def nearest_neighbours(rows: DataFrame, k: int = 20, every: int = 20) -> DataFra
     probed = asked.mapInPandas(place(as_query, probes), kind(asked)).select("rep", "h", "v", "y", F.posexplode("list").alias("turn", "list"))
     probed = common.written(probed, "probes")
 
-    def search(candidates: pd.DataFrame, questions: pd.DataFrame) -> pd.DataFrame:
+    def search(candidates: pd.DataFrame, questions: pd.DataFrame, exact: bool) -> pd.DataFrame:
         out = []
         if len(candidates) and len(questions):
             y = np.stack(candidates["y"]).T
@@ -166,13 +167,13 @@ def nearest_neighbours(rows: DataFrame, k: int = 20, every: int = 20) -> DataFra
             ids, names = candidates["ids"].tolist(), list(zip(questions["rep"], questions["h"]))
             limits = questions["limit"].fillna(np.inf).to_numpy(float)
             for a in range(0, len(q), TOGETHER):
-                own, places = scan(q[a : a + TOGETHER], blocks, k + 1, limits[a : a + TOGETHER])
+                own, places = scan(q[a : a + TOGETHER], blocks, k + 1, limits[a : a + TOGETHER], exact)
                 # products are added in the order of the components, so equal vectors have equal scores in every block
                 scores = np.cumsum(x[places] * v[a + own], axis=1)[:, -1]
                 out += [(*names[a + i], ids[j], s) for i, j, s in zip(own.tolist(), places.tolist(), scores.tolist())]
         return pd.DataFrame(out, columns=["rep", "h", "ids", "score"])
 
-    def searched(asking: DataFrame) -> DataFrame:
+    def searched(asking: DataFrame, exact: bool = False) -> DataFrame:
         shape = index.groupBy("list").agg(F.count("*").alias("n")).join(asking.groupBy("list").agg(F.count("*").alias("q")), "list")
         # at most MOST_LISTS rows
         shape = shape.select("list", F.ceil(F.col("n") / vectors.CANDIDATES).cast("int").alias("chunks"), F.ceil(F.col("q") / vectors.QUERIES).cast("int").alias("query_blocks")).collect()
@@ -182,11 +183,28 @@ def nearest_neighbours(rows: DataFrame, k: int = 20, every: int = 20) -> DataFra
         right = asking.join(lists, "list").withColumn("qb", vectors.block(F.col("query_blocks"))).withColumn("cb", every_block("chunks"))
         keys = ["list", "cb", "qb"]
         found = left.select(*keys, "v", "ids", "y").groupBy(*keys).cogroup(right.select(*(F.col(c).alias(c) for c in [*keys, "rep", "h", "v", "y", "limit"])).groupBy(*keys))
-        return common.written(found.applyInPandas(search, "rep long, h long, ids array<long>, score double"), "found")
+        return common.written(found.applyInPandas(lambda c, q: search(c, q, exact), "rep long, h long, ids array<long>, score double"), "found")
 
     first = searched(probed.filter("turn = 0").withColumn("limit", F.lit(None).cast("double")))
     rank = F.row_number().over(Window.partitionBy("rep", "h").orderBy(F.desc("score")))
     length2 = F.aggregate("v", F.lit(longest2), lambda s, x: s + x * x)
     kth = first.withColumn("rn", rank).filter(F.col("rn") == k + 1).select("rep", "h", F.col("score").alias("kth"))
     rest = probed.filter("turn > 0").join(kth, ["rep", "h"], "left").withColumn("limit", length2 - 2 * F.col("kth"))
-    return vectors.answers(first.unionByName(searched(rest.drop("kth"))), queries, k, "double")
+    found = first.unionByName(searched(rest.drop("kth")))
+    got = found.groupBy("rep", "h").agg(F.sum(F.size("ids")).alias("got"))
+    short = common.written(asked.join(got, ["rep", "h"], "left").filter(F.coalesce("got", F.lit(0)) <= k).select("rep", "h", "v"), "short")
+    if not short.isEmpty():
+        held = np.zeros(len(centres), np.int64)
+        for r in index.groupBy("list").agg(F.sum(F.size("ids")).alias("n")).collect():  # at most MOST_LISTS rows
+            held[r["list"]] = r["n"]
+
+        def enough(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                y = as_query(vectors.matrix(frame["v"], dims))
+                order = nearest(y, centres, len(centres)).astype(np.int32)
+                most = np.maximum((np.cumsum(held[order], axis=1) <= k).sum(1) + 1, probes)
+                yield frame.assign(list=[o[:m] for o, m in zip(order, most)], y=list(y))
+
+        more = short.mapInPandas(enough, kind(short)).select("rep", "h", "v", "y", F.explode("list").alias("list"), F.lit(None).cast("double").alias("limit"))
+        found = found.join(short.select("rep", "h"), ["rep", "h"], "left_anti").unionByName(searched(common.written(more, "more"), exact=True))
+    return vectors.answers(found, queries, k, "double")

@@ -112,3 +112,14 @@ def test_few_and_no_rows(embeddings):
     for search in (pivots.pivot_search, ann.nearest_neighbours):
         assert search(embeddings([])).collect() == []
         assert search(embeddings([(0, None), (20, [])])).collect() == []
+
+
+@pytest.mark.parametrize("n", [300, 15])
+def test_every_query_gets_k_rows_where_there_are_as_many(embeddings, monkeypatch, n):
+    monkeypatch.setattr(ann, "LIST_ROWS", 8)  # the one probed list holds fewer than k
+    monkeypatch.setattr(ann, "fit_probes", lambda *_: 1)
+    rng = np.random.default_rng(7)
+    given = [(i, rng.standard_normal(40).tolist()) for i in range(n)]
+    found = by_query(ann.nearest_neighbours(embeddings(given), 20, 5).collect())
+    assert set(found) == set(range(0, n, 5))
+    assert all(len({i for i, _ in own} - {q}) == len(own) == min(20, n - 1) for q, own in found.items())
