@@ -17,6 +17,7 @@ from dispatchlens.params import DAY_NAMES
 TEST_DAYS = 14
 FUTURE_DAYS = 30
 MA_WINDOW = 7
+FRACTION_MIN_DAYS = 14
 
 
 def daily_orders(facts: DataFrame, fill_missing: bool = True) -> DataFrame:
@@ -35,7 +36,7 @@ def daily_orders(facts: DataFrame, fill_missing: bool = True) -> DataFrame:
 def holdout_split(daily: DataFrame, test_days: int = TEST_DAYS, mode: str = "last_days") -> DataFrame:
     """Mark each day 'train' or 'test'. ``last_days``: the last
     ``test_days`` days are test. ``fraction``: the first 80 % of days (integer
-    part) are train, needing at least 14 days."""
+    part) are train; fewer than 14 days give no rows."""
     if mode == "last_days":
         last = daily.select(F.max("day")).scalar()
         split = F.when(F.col("day") > F.date_sub(last, test_days), "test").otherwise("train")
@@ -43,16 +44,20 @@ def holdout_split(daily: DataFrame, test_days: int = TEST_DAYS, mode: str = "las
     n = daily.select(F.count(F.lit(1))).scalar()
     rn = F.row_number().over(Window.orderBy("day"))  # one row per day: bounded
     out = daily.withColumn("_rn", rn)
-    return out.withColumn("split", F.when(F.col("_rn") <= F.floor(n * 0.8), "train").otherwise("test")).drop("_rn")
+    out = out.withColumn("split", F.when(F.col("_rn") <= F.floor(n * 0.8), "train").otherwise("test")).drop("_rn")
+    return out.where(n >= FRACTION_MIN_DAYS)
 
 
 def moving_average_forecast(
-    facts: DataFrame, window: int = MA_WINDOW, test_days: int = TEST_DAYS, future_days: int = FUTURE_DAYS
+    facts: DataFrame, window: int = MA_WINDOW, test_days: int = TEST_DAYS, future_days: int = FUTURE_DAYS, mode: str = "last_days"
 ) -> DataFrame:
     """D3: forecast = mean of the last ``window`` training days (the training
     mean when training is shorter), repeated over the test days and the
-    ``future_days`` after the last day. Columns: day, split, actual, forecast."""
-    d = holdout_split(daily_orders(facts), test_days)
+    ``future_days`` after the last day. Columns: day, split, actual, forecast.
+    ``mode="fraction"`` (app form): only days with orders, split by
+    ``holdout_split``'s ``fraction``; the trailing means are filled backwards,
+    so the last one stands unless training is shorter than the window (NULL)."""
+    d = holdout_split(daily_orders(facts, fill_missing=mode == "last_days"), test_days, mode)
     train = d.where(F.col("split") == "train")
     rn = F.row_number().over(Window.orderBy(F.desc("day")))  # one row per day: bounded
     tail = train.withColumn("_rn", rn)
@@ -60,7 +65,7 @@ def moving_average_forecast(
         F.avg(F.when(F.col("_rn") <= window, F.col("orders"))).alias("_tail"),
         F.count(F.when(F.col("_rn") <= window, F.lit(1))).alias("_k"),
         F.avg("orders").alias("_all"),
-    ).select(F.when(F.col("_k") == window, F.col("_tail")).otherwise(F.col("_all")).alias("_f"))
+    ).select(F.when(F.col("_k") == window, F.col("_tail")).otherwise(F.col("_all") if mode == "last_days" else F.lit(None)).alias("_f"))
     last = d.agg(F.max("day").alias("_last"))
     test = d.where(F.col("split") == "test").select("day", "split", F.col("orders").cast("double").alias("actual"))
     future = last.select(

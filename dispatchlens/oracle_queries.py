@@ -322,6 +322,21 @@ _MA = [
 ]
 ORACLE["daily_orders"] = with_facts("SELECT day, orders FROM daily", _CNT, _DAILY)
 ORACLE["holdout_split"] = with_facts("SELECT day, orders, split FROM hs", _CNT, _DAILY, _HS)
+_HSF = (
+    "hsf AS (SELECT day, orders, CASE WHEN row_number() OVER (ORDER BY day) <= floor((SELECT count(*) FROM cnt) * 0.8e0) "
+    "THEN 'train' ELSE 'test' END AS split FROM cnt WHERE (SELECT count(*) FROM cnt) >= 14)"
+)
+ORACLE["holdout_split_fraction"] = with_facts("SELECT day, orders, split FROM hsf", _CNT, _HSF)
+ORACLE["moving_average_forecast_fraction"] = with_facts(
+    f"SELECT day, split, {r('actual', 'actual')}, {r('forecast', 'forecast')} FROM fc",
+    _CNT, _HSF,
+    "roll AS (SELECT day, CASE WHEN count(*) OVER w = 7 THEN avg(orders) OVER w END AS ma FROM hsf WHERE split = 'train' "
+    "WINDOW w AS (ORDER BY day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW))",
+    "fill AS (SELECT day, first_value(ma IGNORE NULLS) OVER (ORDER BY day ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ma FROM roll)",
+    "fc AS (SELECT day, split, CAST(orders AS DOUBLE) AS actual, (SELECT max_by(ma, day) FROM fill) AS forecast FROM hsf WHERE split = 'test' UNION ALL "
+    "SELECT CAST(d AS DATE), 'future', CAST(NULL AS DOUBLE), (SELECT max_by(ma, day) FROM fill) FROM (SELECT unnest(generate_series("
+    "CAST((SELECT max(day) FROM hsf) + 1 AS TIMESTAMP), CAST((SELECT max(day) FROM hsf) + 30 AS TIMESTAMP), INTERVAL 1 DAY)) AS d))",
+)
 ORACLE["moving_average_forecast"] = with_facts(
     f"SELECT day, split, {r('actual', 'actual')}, {r('forecast', 'forecast')} FROM fc", *_MA
 )

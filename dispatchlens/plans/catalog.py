@@ -81,6 +81,8 @@ def _build() -> None:
 
     on_facts("daily_orders", D.daily_orders)
     on_facts("holdout_split", lambda f: D.holdout_split(D.daily_orders(f)))
+    on_facts("holdout_split_fraction", lambda f: D.holdout_split(D.daily_orders(f, fill_missing=False), mode="fraction"))
+    on_facts("moving_average_forecast_fraction", lambda f: D.moving_average_forecast(f, mode="fraction"))
     for name in (
         "moving_average_forecast", "ma_forecast_accuracy", "ma_forecast_insights", "history_and_forecast",
         "hourly_orders", "hourly_features", "weekday_pattern", "hourly_pattern", "autoregressive_forecast",

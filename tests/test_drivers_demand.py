@@ -31,3 +31,26 @@ def test_daily_spine_and_moving_average(spark):
     assert len(test) == 14 and len(fut) == 30
     # last 7 training days are days 9..15 (all present): mean 2
     assert all(abs(r.forecast - 2.0) < 1e-12 for r in fc)
+
+
+def test_fraction_split_and_its_forecast(spark):
+    start = dt.date(2023, 1, 1)
+    days = [start + dt.timedelta(days=i) for i in range(21) if i != 3]
+    f = spark.createDataFrame([(d,) for i, d in enumerate(days) for _ in range(i + 1)], "Order_Date date")
+    split = D.holdout_split(D.daily_orders(f, fill_missing=False), mode="fraction").collect()
+    assert [r.split for r in sorted(split)] == ["train"] * 16 + ["test"] * 4
+    fc = D.moving_average_forecast(f, mode="fraction").collect()
+    assert [r.split for r in fc] == ["test"] * 4 + ["future"] * 30
+    assert {r.forecast for r in fc} == {13.0} and [r.actual for r in fc][:4] == [17.0, 18.0, 19.0, 20.0]
+    few = f.where(f.Order_Date < days[13])
+    assert D.holdout_split(D.daily_orders(few, fill_missing=False), mode="fraction").collect() == []
+    assert D.moving_average_forecast(few, mode="fraction").collect() == []
+
+
+def test_fraction_forms_match_their_sql(spark):
+    import __spark_entry__ as E
+    from oracle_harness import compare, duck
+
+    sf = "/root/testdata/sf0.001"
+    for name in ("holdout_split_fraction", "moving_average_forecast_fraction"):
+        assert compare(E.queries()[name](spark, sf), duck(sf), E.oracle_sql()[name]) == []
