@@ -1,9 +1,9 @@
 """Byte-level BPE encoding and decoding with a two-tier lookup.
 
 Tier one: a minimal perfect hash (hash and displace) resolves whole pre-tokens that are
-in the vocabulary, vectorised over the distinct pre-tokens of a slice of texts. Tier
+in the vocabulary, vectorised over the pre-tokens of a slice of texts. Tier
 two: the other pre-tokens are merged by a heap of pair ranks over linked bytes, which is
-O(n log n) also for a pre-token of megabytes.
+O(n log n) also for a pre-token of megabytes; a worker remembers the short ones' ids.
 """
 
 from __future__ import annotations
@@ -20,10 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dispatchlens.llm import common
-from dispatchlens.llm.pretokens import split, spread
+from dispatchlens.llm import pretokens
 
-#: Merged pre-tokens that a worker remembers, in each of two generations.
-REMEMBERED = 300_000
 # Multipliers of the second hash: odd, with well spread bits; a shift is below 2**31.
 SPREAD, MIX = 0x1E3779B97, 0x9E3779B97F4A7C15
 
@@ -39,7 +37,7 @@ class PerfectHash:
 
     def __init__(self, keys: list[bytes]):
         self.n = n = len(keys)
-        h = self.hashes(keys)
+        h = self.hashes(keys)  # short keys' from their packed form, so that whole arrays of pre-tokens can be looked up
         if len(np.unique(h)) != n:
             raise ValueError("keys repeat")
         self.buckets = max(1, n // 3)
@@ -63,16 +61,23 @@ class PerfectHash:
 
     @staticmethod
     def hashes(keys: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(xxhash.xxh64_intdigest, keys), np.uint64, len(keys))
-
-    def find(self, keys: list[bytes]) -> np.ndarray:
-        """For each string, the index of the one key that it can be."""
-        h = self.hashes(keys)
+        lo, hi = pretokens.keys_of(keys)
+        h = pretokens.hashes(lo, hi)
+        for i in np.flatnonzero(hi == 0).tolist():
+            h[i] = xxhash.xxh64_intdigest(keys[i])
+        return h
+
+    def at(self, h: np.ndarray) -> np.ndarray:
+        """For each hash, the index of the one key that it can be."""
         shift = self.shift[(h % np.uint64(self.buckets)).astype(np.int64)]
         with np.errstate(over="ignore"):
             mixed = (h ^ np.maximum(shift, 0).astype(np.uint64) * np.uint64(SPREAD)) * np.uint64(MIX) >> np.uint64(32)
         return self.key[np.where(shift < 0, -1 - shift, (mixed % np.uint64(self.n)).astype(np.int64))]
 
+    def find(self, keys: list[bytes]) -> np.ndarray:
+        """For each string, the index of the one key that it can be."""
+        return self.at(self.hashes(keys))
+
 
 def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Ids of a pre-token: always the lowest-ranked pair, the leftmost of equals, until none is left."""
@@ -107,39 +112,44 @@ class Coder:
         self.ranks = ranks
         self.keys = list(ranks)
         self.hash = PerfectHash(self.keys)
+        self.lo, self.hi = pretokens.keys_of(self.keys)
         self.ids = np.fromiter(ranks.values(), np.uint32, len(ranks))
-        self.bytes = [b""] * (int(self.ids.max()) + 1)
-        for token, i in ranks.items():
-            self.bytes[i] = token
-        self.new, self.old = {}, {}
+        # the bytes of all tokens one after another, and for each id where its own begin and how many they are
+        self.bytes = np.frombuffer(b"".join(self.keys), np.uint8)
+        size = np.fromiter(map(len, self.keys), np.int64, len(self.keys))
+        self.begin, self.size = np.zeros((2, int(self.ids.max()) + 1), np.int64)
+        self.begin[self.ids], self.size[self.ids] = np.cumsum(size) - size, size
+        self.memory = None
 
     def __getstate__(self):
-        return self.__dict__ | {"new": {}, "old": {}}
-
-    def _merged(self, piece: bytes) -> np.ndarray:
-        ids = self.new.get(piece)
-        if ids is None:
-            ids = self.old.get(piece)
-            if ids is None:
-                ids = np.array(merged(piece, self.ranks), np.uint32)
-            if len(piece) <= 64:
-                if len(self.new) >= REMEMBERED:
-                    self.old, self.new = self.new, {}
-                self.new[piece] = ids
-        return ids
+        return self.__dict__ | {"memory": None}
+
+    def _long(self, piece: bytes) -> list[int]:
+        rank = self.ranks.get(piece)
+        return merged(piece, self.ranks) if rank is None else [rank]
+
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, and where each text's begin (n + 1 values)."""
+        self.memory = self.memory or pretokens.Memory()
+        own = pretokens.Pretokens(texts)
+        at = self.hash.at(pretokens.hashes(own.lo, own.hi))
+        short = own.hi != 0
+        whole = short & (self.lo[at] == own.lo) & (self.hi[at] == own.hi)
+        known, rest, long = np.flatnonzero(whole), np.flatnonzero(short & ~whole), np.flatnonzero(~short)
+        ids, begin = self.memory.of(own.lo[rest], own.hi[rest], lambda some: [merged(own.piece(i), self.ranks) for i in rest[some].tolist()])
+        groups = [(known, self.ids[at[known]], np.ones(len(known), np.int64)), (rest, ids, np.diff(begin))]
+        if len(long):
+            got = [self._long(own.piece(i)) for i in long.tolist()]
+            groups.append((long, np.fromiter((i for x in got for i in x), np.uint32), np.fromiter(map(len, got), np.int64)))
+        flat, begin = pretokens.placed(len(own), groups)
+        return flat, begin[own.first]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        distinct, number, first = split(texts)
-        pieces = [t.encode("utf-8", "replace") for t in distinct]
-        at = self.hash.find(pieces)
-        own = self.ids[at]
-        ids = [own[i : i + 1] if self.keys[k] == piece else self._merged(piece) for i, (k, piece) in enumerate(zip(at.tolist(), pieces))]
-        flat, total = spread(ids, number)
-        cut = np.concatenate(([0], total))[first]
+        flat, cut = self.encode_all(texts)
         return [flat[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
 
     def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.bytes.__getitem__, ids.tolist()))
+        return self.bytes[pretokens.ranges(self.begin[ids], self.size[ids])].tobytes()
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), with_ids: bool = False) -> DataFrame:
@@ -162,9 +172,13 @@ def encode_documents(docs: DataFrame, ranks_path: str, text: str = "text", keep:
             column = batch.column(batch.num_columns - 1)
             sizes = pa.compute.binary_length(column).to_pylist()
             for a, b in common.slices(sizes):
-                got = own.encode(column.slice(a, b - a).to_pylist())
+                flat, cut = own.encode_all(column.slice(a, b - a).to_pylist())
+                decoded = own.decode(flat)
+                end = np.concatenate(([0], np.cumsum(own.size[flat])))[cut].tolist()
+                flat = flat.astype("<u4")
+                got = [flat[i:j] for i, j in zip(cut[:-1].tolist(), cut[1:].tolist())]
                 out = [batch.column(i).slice(a, b - a) for i in range(batch.num_columns - 1)]
-                out += [pa.array([len(x) for x in got], pa.int64()), pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in got]), pa.array([hashlib.sha256(own.decode(x)).hexdigest() for x in got])]
+                out += [pa.array(np.diff(cut), pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in got]), pa.array([hashlib.sha256(memoryview(decoded)[i:j]).hexdigest() for i, j in zip(end, end[1:])])]
                 if with_ids:
                     out.append(pa.array([x.astype(np.int64) for x in got], pa.list_(pa.int64())))
                 yield pa.RecordBatch.from_arrays(out, [*keep, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])

@@ -18,13 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dispatchlens.llm import common
-from dispatchlens.llm.pretokens import split, spread
+from dispatchlens.llm import common, pretokens
 
 #: Pieces of one rank window, about.
 RANK_ROWS = 20_000
-#: Pre-tokens whose ids a worker remembers, in each of two generations.
-REMEMBERED = 200_000
+#: Pre-tokens that the library encodes at once: each result takes about 1 KB.
+ASKED = 256
 PLAN = "length int, rank_from long, n long, per_sequence long, sequence_from long, offset_from long"
 
 
@@ -40,41 +39,40 @@ class Ids:
         config = json.loads(tokenizer_json)
         self.added = [t["content"] for t in config.get("added_tokens") or []]
         pre = config.get("pre_tokenizer") or {}
-        self.apart = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and not config.get("normalizer")
-        self.tokenizer, self.new, self.old = None, {}, {}
+        self.apart = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not config.get("normalizer")
+        self.tokenizer = self.memory = None
 
     def __getstate__(self):
-        return self.__dict__ | {"tokenizer": None, "new": {}, "old": {}}
+        return self.__dict__ | {"tokenizer": None, "memory": None}
 
-    def of(self, texts: list[str]) -> list[np.ndarray]:
+    def library(self, pieces: list[str]) -> list[list[int]]:
+        """Ids by the library."""
         if self.tokenizer is None:
             # the library's threads would wait busily for each other on a machine that Spark fills
             os.environ["TOKENIZERS_PARALLELISM"] = "false"
             from tokenizers import Tokenizer
 
             self.tokenizer = Tokenizer.from_str(self.json)
-        whole = [not self.apart or any(a in t for a in self.added) for t in texts]
-        distinct, number, first = split(["" if w else t for t, w in zip(texts, whole)])
-        known = [self.new.get(p) for p in distinct]
-        asked = []
-        for i, p in enumerate(distinct):
-            if known[i] is None:
-                known[i] = self.old.get(p)
-                if known[i] is None:
-                    asked.append(i)
-                elif len(p) <= 64:
-                    self.new[p] = known[i]
-        for at in range(0, len(asked), 4096):
-            some = asked[at : at + 4096]
-            for i, got in zip(some, self.tokenizer.encode_batch_fast([distinct[i] for i in some], add_special_tokens=False)):
-                known[i] = np.array(got.ids, np.uint32)
-                if len(distinct[i]) <= 64:
-                    self.new[distinct[i]] = known[i]
-        if len(self.new) > REMEMBERED:
-            self.old, self.new = self.new, {}
-        flat, total = spread(known, number)
-        cut = np.concatenate(([0], total))[first].tolist()
-        return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32) if w else flat[a:b] for t, w, a, b in zip(texts, whole, cut[:-1], cut[1:])]
+        return [e.ids for a in range(0, len(pieces), ASKED) for e in self.tokenizer.encode_batch_fast(pieces[a : a + ASKED], add_special_tokens=False)]
+
+    def whole(self, text: str) -> bool:
+        """Whether a text's pre-tokens can't be told apart from the rest of it."""
+        return not self.apart or any(a in text for a in self.added)
+
+    def of(self, texts: list[str]) -> list[np.ndarray]:
+        self.memory = self.memory or pretokens.Memory()
+        whole = list(map(self.whole, texts))
+        own = pretokens.Pretokens(["" if w else t for t, w in zip(texts, whole)])  # those that go whole are left out here
+        short, long = np.flatnonzero(own.hi), np.flatnonzero(own.hi == 0)
+        ask = lambda some: self.library([own.piece(i).decode() for i in some.tolist()])
+        ids, begin = self.memory.of(own.lo[short], own.hi[short], lambda some: ask(short[some]))
+        groups = [(short, ids, np.diff(begin))]
+        if len(long):
+            got = ask(long)
+            groups.append((long, np.fromiter((i for x in got for i in x), np.uint32), np.fromiter(map(len, got), np.int64)))
+        flat, begin = pretokens.placed(len(own), groups)
+        cut = begin[own.first].tolist()
+        return [np.array(self.library([t])[0], np.uint32) if w else flat[a:b] for t, w, a, b in zip(texts, whole, cut[:-1], cut[1:])]
 
 
 def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, with_ids: bool) -> DataFrame:
