@@ -15,6 +15,7 @@ from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -170,7 +171,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, text: str = "text", keep:
         own = coder.value
         for batch in batches:
             column = batch.column(batch.num_columns - 1)
-            sizes = pa.compute.binary_length(column).to_pylist()
+            sizes = pc.binary_length(column).to_pylist()
             for a, b in common.slices(sizes):
                 flat, cut = own.encode_all(column.slice(a, b - a).to_pylist())
                 decoded = own.decode(flat)

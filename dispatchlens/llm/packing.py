@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,7 +83,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc_ids, column = batch.column(0).to_pylist(), batch.column(1)
-            for a, b in common.slices(pa.compute.binary_length(column).to_pylist()):
+            for a, b in common.slices(pc.binary_length(column).to_pylist()):
                 out = []
                 for doc_id, ids in zip(doc_ids[a:b], sent.value.of(column.slice(a, b - a).to_pylist())):
                     ids = np.append(ids, np.uint32(end_id)).astype("<u4")

@@ -122,6 +122,14 @@ def keys_of(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return keys(b"".join([*pieces, bytes(2 * SHORT)]), np.cumsum(size) - size, size)
 
 
+class Numbered(dict):
+    """Gives each new key the next number."""
+
+    def __missing__(self, key):
+        self[key] = n = len(self)
+        return n
+
+
 def hashes(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         h = lo * MIX

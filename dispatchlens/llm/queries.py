@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dispatchlens.llm import ann, bpe, chat, common, language, packing, pivots, quality, simhash, suffixes, warc
+from dispatchlens.llm import ann, bpe, chat, common, language, packing, pivots, quality, simhash, suffixes, tokencounts, warc
 
 
 def conversation_events(conversations: DataFrame) -> DataFrame:
@@ -66,7 +66,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, path, ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_tool_calls, op2_best_fit_packing, op3_bpe, op4_adaptive_ann, op5_simhash_golay, op6_suffix_dedup, op7_quality_ftrl, op8_pivot_topk, op9_language_centroids, op10_warc)}
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencounts.token_counts(common.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_tool_calls, op2_best_fit_packing, op3_bpe, op4_adaptive_ann, op5_simhash_golay, op6_suffix_dedup, op7_quality_ftrl, op8_pivot_topk, op9_language_centroids, op10_warc, op13_token_counts)}
 
 ORACLE: dict[str, str] = {
     "op1_chat_tool_calls": """

@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -205,7 +206,7 @@ def sampled(rows: DataFrame, span: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kd, th = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for first, last in common.slices(pa.compute.binary_length(batch.column(2)).to_pylist(), 4 * common.SLICE_CHARS):
+            for first, last in common.slices(pc.binary_length(batch.column(2)).to_pylist(), 4 * common.SLICE_CHARS):
                 out = []
                 for i in range(first, last):
                     data = batch.column(2)[i].as_py()
