@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dispatchlens.llm import ann, bpe, chat, common, language, packing, pivots, quality, simhash, suffixes, tokencounts, warc
+from dispatchlens.llm import ann, bpe, chat, common, language, packing, pivots, quality, resampling, simhash, suffixes, tokencounts, warc
 
 
 def conversation_events(conversations: DataFrame) -> DataFrame:
@@ -66,11 +66,15 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, path, ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
 
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencounts.token_counts(common.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_tool_calls, op2_best_fit_packing, op3_bpe, op4_adaptive_ann, op5_simhash_golay, op6_suffix_dedup, op7_quality_ftrl, op8_pivot_topk, op9_language_centroids, op10_warc, op13_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_chat_tool_calls, op2_best_fit_packing, op3_bpe, op4_adaptive_ann, op5_simhash_golay, op6_suffix_dedup, op7_quality_ftrl, op8_pivot_topk, op9_language_centroids, op10_warc, op12_resampling, op13_token_counts)}
 
 ORACLE: dict[str, str] = {
     "op1_chat_tool_calls": """
@@ -117,4 +121,26 @@ ORACLE: dict[str, str] = {
                CASE WHEN page_id = kept THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN page_id <> kept THEN kept END AS refers_to
         FROM g""",
+    "op12_resampling": """
+        WITH k AS (SELECT list_transform(range(0, 256), lambda n: list_reduce(range(0, 8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, n)) AS step),
+        d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM documents),
+        b AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM benchmark),
+        dw AS (SELECT r, word, count(*) AS n FROM (SELECT r, unnest(words) AS word FROM d) GROUP BY ALL),
+        bw AS (SELECT word, count(*) AS n FROM (SELECT unnest(words) AS word FROM b) GROUP BY ALL),
+        w AS (SELECT word, hex(encode(word)) AS h FROM (SELECT word FROM dw UNION SELECT word FROM bw)),
+        c AS (SELECT word, xor(list_reduce(list_transform(range(0, CAST(len(h) / 2 AS BIGINT)), lambda i: CAST('0x' || substr(h, CAST(2 * i + 1 AS INTEGER), 2) AS BIGINT)),
+                                           lambda x, y: xor(step[(xor(x, y) & 255) + 1], x >> 8), 4294967295), 4294967295) % 10000 AS bucket FROM w, k),
+        s AS (SELECT bucket, sum(n)::BIGINT AS s FROM dw JOIN c USING (word) GROUP BY bucket),
+        t AS (SELECT bucket, sum(n)::BIGINT AS t FROM bw JOIN c USING (word) GROUP BY bucket),
+        g AS (SELECT i AS bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (coalesce((SELECT sum(s) FROM s), 0) + 10000)::DOUBLE
+                                       / ((coalesce(s, 0) + 1)::DOUBLE * (coalesce((SELECT sum(t) FROM t), 0) + 10000)::DOUBLE))) AS BIGINT) AS gain
+              FROM range(0, 10000) x(i) LEFT JOIN s ON s.bucket = i LEFT JOIN t ON t.bucket = i),
+        m AS (SELECT r, sum(n * gain)::BIGINT AS total FROM dw JOIN c USING (word) JOIN g USING (bucket) GROUP BY r),
+        o AS (SELECT r, doc_id, len(words)::BIGINT AS n_features,
+                     CASE WHEN len(words) = 0 THEN 0 ELSE (total - ((total % len(words)) + len(words)) % len(words)) // len(words) END::BIGINT AS weight,
+                     CAST('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, 'null')), 1, 8) AS BIGINT) AS h
+              FROM d LEFT JOIN m USING (r)),
+        p AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM o),
+        q AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM p WHERE n_features >= 20 QUALIFY row_number() OVER (ORDER BY score DESC, doc_id) <= 10 * count(*) OVER () // 100)
+        SELECT doc_id, n_features, weight, score, rank FROM p LEFT JOIN q USING (r)""",
 }
