@@ -1,18 +1,20 @@
 """WARC archives as a Spark data source written in Python.
 
-Writing: each task writes gzip-compressed WARC files (one gzip member a record, so a record
-can be skipped whole) under hidden names; the commit gives only the files of successful
+Writing: each task writes gzip-compressed WARC files (one gzip member a record, whose compressed size is in
+the member's extra field) under hidden names; the commit gives only the files of successful
 attempts their final names, so lost executors and speculative attempts leave nothing.
 
 Reading: partitions are runs of whole files of about the same size. Filters on record type
 and header columns are pushed into the reader: it parses a record's headers first and
-steps over the payloads of records that are not wanted or whose payload is not asked for.
+goes on at the next member, without inflating the rest, where a record is not wanted or its payload not
+asked for. Members without that field (of other writers) are inflated to their ends.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -31,7 +33,10 @@ SCHEMA = "page_id long, record_type string, url string, payload_digest string, p
 COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
 HEADERS = set(COLUMNS) - {"payload"}
 FORMAT = "warc"
-READ_BYTES = 1 << 20
+#: Bytes of an archive read at once, and of a header inflated at once.
+READ_BYTES, HEAD_STEP = 1 << 16, 1 << 10
+#: Bytes of a member before its deflated data, and the extra field with a member's size.
+HEAD_BYTES, SIZE_FIELD = 24, int.from_bytes(b"ms", "little")
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -65,6 +70,23 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def member(plain: bytes) -> bytes:
+    """A gzip member with its own size in the extra field ``SIZE_FIELD``."""
+    deflate = zlib.compressobj(1, zlib.DEFLATED, -15)
+    body = deflate.compress(plain) + deflate.flush()
+    size = HEAD_BYTES + len(body) + 8
+    head = struct.pack("<4BIBBHHHQ", 31, 139, 8, 4, 0, 0, 255, 12, SIZE_FIELD, 8, size)
+    return head + body + struct.pack("<II", zlib.crc32(plain), len(plain) & 0xFFFFFFFF)
+
+
+def member_size(head: bytes) -> int | None:
+    """The size of the member that begins with ``head``, if a member of :func:`member` does."""
+    if len(head) < HEAD_BYTES or head[:4] != bytes([31, 139, 8, 4]):
+        return None
+    more, field, n, size = struct.unpack_from("<HHHQ", head, 10)
+    return size if (more, field, n) == (12, SIZE_FIELD, 8) else None
+
+
 @dataclass
 class Written(WriterCommitMessage):
     files: list[str]
@@ -83,8 +105,7 @@ class WarcWriter(DataSourceWriter):
             if out is None:
                 files.append(f"{uuid.uuid4().hex}.warc.gz")
                 out, size = disk.open_output_stream(f"{root}/.{files[-1]}", compression=None), 0
-            gz = zlib.compressobj(1, zlib.DEFLATED, 31)
-            packed = gz.compress(record(row["page_id"], row["url"], bytes(row["payload"] or b""), row["refers_to"], row["record_type"] == "revisit", date)) + gz.flush()
+            packed = member(record(row["page_id"], row["url"], bytes(row["payload"] or b""), row["refers_to"], row["record_type"] == "revisit", date))
             out.write(packed)
             size += len(packed)
             if size >= self.file_bytes:
@@ -135,7 +156,7 @@ class WarcReader(DataSourceReader):
         names = self.columns
         rows, size = [], 0
         for name in partition.names:
-            with disk.open_input_stream(name, compression=None) as raw:
+            with disk.open_input_file(name) as raw:
                 for row in records(Members(raw), self.wanted, "payload" in names):
                     rows.append(row)
                     size += 200 + len(row["payload"] or b"")
@@ -150,17 +171,34 @@ class Members:
     """The bytes of a file of gzip members, in order and in bounded memory."""
 
     def __init__(self, raw):
-        self.raw, self.packed, self.plain, self.gz = raw, b"", bytearray(), zlib.decompressobj(31)
-
-    def more(self) -> bool:
-        if not self.packed:
-            self.packed = self.raw.read(READ_BYTES)
-            if not self.packed:
-                return False
-        self.plain += self.gz.decompress(self.packed, READ_BYTES)
+        self.raw, self.packed, self.plain = raw, b"", bytearray()
+        self.read_to = self.inflated = 0  # bytes of the file that have been read, and bytes inflated
+        self.begin()
+
+    def begin(self) -> None:
+        """At the start of a member."""
+        self.gz, self.end = zlib.decompressobj(31), None
+
+    def fill(self) -> bool:
+        got = self.raw.read(READ_BYTES)
+        self.packed += got
+        self.read_to += len(got)
+        return bool(got)
+
+    def more(self, step: int = READ_BYTES) -> bool:
+        if self.end is None:
+            while len(self.packed) < HEAD_BYTES and self.fill():
+                pass
+            size = member_size(self.packed)
+            self.end = -1 if size is None else self.read_to - len(self.packed) + size
+        if not self.packed and not self.fill():
+            return False
+        got = self.gz.decompress(self.packed, step)
+        self.plain += got
+        self.inflated += len(got)
         self.packed = self.gz.unconsumed_tail or self.gz.unused_data
         if self.gz.eof:
-            self.gz = zlib.decompressobj(31)
+            self.begin()
         return True
 
     def until(self, mark: bytes) -> bytes | None:
@@ -168,7 +206,7 @@ class Members:
         seen = 0
         while (at := self.plain.find(mark, seen)) < 0:
             seen = max(0, len(self.plain) - len(mark))
-            if not self.more():
+            if not self.more(HEAD_STEP):
                 return None
         out = bytes(self.plain[:at])
         del self.plain[: at + len(mark)]
@@ -182,6 +220,16 @@ class Members:
         return out
 
     def skip(self, n: int) -> None:
+        """Go past the last ``n`` bytes of a record, with which its member ends."""
+        if n > len(self.plain) and (self.end or -1) > 0:
+            if self.end > self.read_to:
+                self.raw.seek(self.end)
+                self.packed, self.read_to = b"", self.end
+            else:
+                self.packed = self.packed[len(self.packed) - (self.read_to - self.end) :]
+            self.plain.clear()
+            self.begin()
+            return
         while n > len(self.plain):
             n -= len(self.plain)
             self.plain.clear()
@@ -259,6 +307,7 @@ def with_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload")).withColumn("same", F.when(F.length("payload") >= min_bytes, F.sha2("payload", 256)))
     kept = rows.filter("same is not null").groupBy("same").agg(F.max("page_id").alias("kept_id"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    kept = common.written(kept, "payloads")  # so that the join has plain exchanges on both sides and a common payload's rows can be split
     revisits = ~F.col("page_id").eqNullSafe(F.col("kept_id")) & F.col("kept_id").isNotNull()
     return rows.join(kept, "same", "left").select("page_id", "url", "payload", F.when(revisits, "revisit").otherwise("response").alias("record_type"), F.when(revisits, F.col("kept_id")).alias("refers_to"))
 

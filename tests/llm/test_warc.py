@@ -76,3 +76,49 @@ def test_no_pages_and_no_folder(spark, pages):
     assert warc.read_archives(spark, path).collect() == []
     with pytest.raises(Exception, match="no such columns"):
         warc.read_archives(spark, path, ["nothing"]).collect()
+
+
+def archive(spark, pages, own):
+    path = common.scratch_path(spark, "warc-test")
+    warc.write_archives(pages(own), path)
+    return [n for p in warc.WarcReader(path, ["page_id"], 1).partitions() for n in p.names]
+
+
+@pytest.mark.parametrize("read_bytes", [50, 1 << 16])
+def test_unwanted_payloads_are_not_inflated(spark, pages, monkeypatch, read_bytes):
+    monkeypatch.setattr(warc, "READ_BYTES", read_bytes)
+    rnd = random.Random(2)
+    own = [(i, f"u{i}", "".join(rnd.choices("abcdefgh", k=200_000)) + str(i)) for i in range(6)]
+    for name in archive(spark, pages, own):
+        found = {}
+        for wanted, with_payload in (({}, True), ({}, False), ({"page_id": {3}}, True)):
+            with open(name, "rb") as raw:
+                data = warc.Members(raw)
+                found[len(wanted), with_payload] = list(warc.records(data, wanted, with_payload)), data.inflated
+        rows, inflated = found[0, True]
+        assert inflated > 200_000 * len(rows) and all(own[r["page_id"]][2].encode() == r["payload"] for r in rows)
+        heads, few = found[0, False]
+        assert [{**r, "payload": None} for r in rows] == heads and few <= 2 * warc.HEAD_STEP * len(rows)
+        one, some = found[1, True]
+        assert one == [r for r in rows if r["page_id"] == 3] and some <= 2 * warc.HEAD_STEP * len(rows) + 210_000 * len(one)
+
+
+def test_members_of_other_writers(spark, pages, tmp_path):
+    (name,) = archive(spark, pages, [(1, "u", "x" * 100_000)])
+    plain = gzip.decompress(open(name, "rb").read())
+    other = tmp_path / "other.warc.gz"
+    other.write_bytes(gzip.compress(plain) + open(name, "rb").read() + gzip.compress(plain[:100]) + gzip.compress(plain[100:]))
+    for with_payload in (True, False):
+        with open(other, "rb") as raw:
+            got = list(warc.records(warc.Members(raw), {}, with_payload))
+        assert [r["page_id"] for r in got] == [1] * 3 and [len(r["payload"] or b"") for r in got] == [100_000 * with_payload] * 3
+
+
+def test_a_common_payload_is_joined_by_plain_exchanges(spark, pages):
+    """Both sides of the join on payloads are exchanges of scans, so Spark can split a payload's rows."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = warc.with_revisits(pages(rows()))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Join" in plan and "Aggregate" not in plan
