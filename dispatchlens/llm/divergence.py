@@ -74,7 +74,8 @@ def share(n: Column, all_n: Column, terms: Column) -> Column:
 def blocked(kept: DataFrame, block: int) -> DataFrame:
     """``kept(lang, term, ...)`` with the term's block (of about ``block`` terms), its place there and the block's size."""
     langs = kept.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("n").alias("lang_n")).withColumn("blocks", F.ceil(F.col("terms") / block))
-    own = kept.join(langs, "lang").withColumn("block", F.pmod(F.xxhash64("term"), F.col("blocks")).cast("int"))
+    # written, so that the window isn't computed by language alone after the join
+    own = common.written(kept.join(langs, "lang").withColumn("block", F.pmod(F.xxhash64("term"), F.col("blocks")).cast("int")), "blocked")
     within = Window.partitionBy("lang", "block")  # about ``block`` terms
     return own.withColumn("place", F.row_number().over(within.orderBy("term")) - 1).withColumn("size", F.count("*").over(within))
 
