@@ -161,14 +161,15 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, e
     that is broadcast is bounded by the capacity alone (see :func:`best_fit_plan`).
     """
     spark = docs.sparkSession
-    pieces = common.written(tokenized_pieces(docs, tokenizer_path, capacity, end_id, with_ids), "pieces")
+    pieces = tokenized_pieces(docs, tokenizer_path, capacity, end_id, with_ids)
+    pieces = common.written(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     plan = spark.createDataFrame(best_fit_plan(histogram, capacity), PLAN)
     salts = max(64, sum(histogram.values()) // RANK_ROWS)
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts)))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     base = salted.groupBy("length", "salt").agg(F.count("*").alias("n")).select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    own = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
+    own = Window.partitionBy("length", "salt").orderBy("row")
     ranked = salted.withColumn("rn", F.row_number().over(own) - 1).join(base, ["length", "salt"]).withColumn("rank", F.col("rn") + F.col("base"))
     slot = F.col("rank") - F.col("rank_from")
     fits = F.col("rank").between(F.col("rank_from"), F.col("rank_from") + F.col("n") - 1)
