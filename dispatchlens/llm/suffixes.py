@@ -23,7 +23,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dispatchlens.llm import common
@@ -223,6 +223,7 @@ def signature(data: bytes, at: int, low: int, high: int, span: int) -> bytes:
     return xxhash.xxh3_128_digest(b"%d %d " % (at - low, high - low) + data[low : high + span])
 
 
+RUNS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 RUN = "part int, prefix binary, sizes binary, rest binary, left_sizes binary, lefts binary, sigs binary, many binary"
 
 
@@ -326,25 +327,36 @@ def repeated_spans(docs: DataFrame, span: int) -> DataFrame:
     return common.written(spans.groupBy("kd", "th").agg(F.sort_array(F.collect_set("s")).alias("spans")), "spans")
 
 
-def kept(data: bytes, spans: list[dict]) -> tuple[bytes, int]:
-    """The bytes outside the spans (sorted by start), and the number of maximal removed runs."""
-    out, at, runs, end = [], 0, 0, -1
+def kept(data: bytes, spans: list[dict]) -> tuple[bytes, list[dict]]:
+    """The bytes outside the spans (sorted by start), and the maximal removed runs."""
+    out, at, runs = [], 0, []
     for s in spans or ():
-        if s["start"] > end:
-            runs += 1
+        if not runs or s["start"] > runs[-1]["end"]:
+            runs.append({"start": s["start"], "end": s["end"]})
             out.append(data[at : s["start"]])
-        end = max(end, s["end"])
-        at = end
+        else:
+            runs[-1]["end"] = max(runs[-1]["end"], s["end"])
+        at = runs[-1]["end"]
     out.append(data[at:])
     return b"".join(out), runs
 
 
+def decoded(column: str) -> Column:
+    """Text of the bytes that are left; a character of which a part went goes whole."""
+
+    @F.pandas_udf("string")
+    def text(kept: pd.Series) -> pd.Series:
+        return kept.map(lambda b: bytes(b).decode("utf-8", "ignore"))
+
+    return text(column)
+
+
 def remove_repeats(docs: DataFrame, span: int = 400, columns: list[str] | None = None) -> DataFrame:
     """Remove from each text of ``docs(doc_id, text)``, as UTF-8 bytes, what a ``span``-byte string covers that also starts elsewhere.
 
     Strings don't cross documents; overlaps count; all is judged on the input. Returns the given
     ``columns`` of ``docs`` (default: doc_id) and ``n_bytes, n_removed, n_spans`` (maximal removed runs),
-    ``kept`` (binary) and ``kept_sha256``, in clashes in place of a column of ``docs``.
+    ``kept`` (binary), ``kept_sha256`` and ``removed`` (those runs' starts and ends), in clashes in place of a column of ``docs``.
 
     Null text counts as empty; texts shorter than ``span`` stay whole; copies remove each
     other; rows that repeat id and text are copies like any other; an empty table gives no rows.
@@ -360,21 +372,23 @@ def remove_repeats(docs: DataFrame, span: int = 400, columns: list[str] | None =
     plain = [f"c{i}" for i in range(len(columns))]
     spans = repeated_spans(docs, span)
     rows = texts(docs, *(F.col(c).alias(p) for c, p in zip(columns, plain))).join(spans, ["kd", "th"], "left").select(*plain, "data", "spans")
-    schema = ", ".join([f"`{p}` {docs.schema[c].dataType.simpleString()}" for c, p in zip(columns, plain)] + ["n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"])
+    schema = ", ".join([f"`{p}` {docs.schema[c].dataType.simpleString()}" for c, p in zip(columns, plain)] + ["n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string, removed array<struct<start:long,end:long>>"])
+
+    own = ["n_bytes", "n_removed", "n_spans", "kept", "kept_sha256", "removed"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, runs, sizes = [], [], []
-            for data, own in zip(batch.column(len(plain)), batch.column(len(plain) + 1)):
+            left, runs, removed, sizes = [], [], [], []
+            for data, found in zip(batch.column(len(plain)), batch.column(len(plain) + 1)):
                 data = data.as_py()
-                rest, n = kept(data, own.as_py())
+                rest, n = kept(data, found.as_py())
                 left.append(rest)
-                runs.append(n)
+                removed.append(n)
+                runs.append(len(n))
                 sizes.append(len(data))
             out = [batch.column(i) for i in range(len(plain))]
-            out += [pa.array(sizes, pa.int64()), pa.array([s - len(x) for s, x in zip(sizes, left)], pa.int64()), pa.array(runs, pa.int64()), pa.array(left, pa.binary()), pa.array([hashlib.sha256(x).hexdigest() for x in left], pa.string())]
-            yield pa.RecordBatch.from_arrays(out, [*plain, "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
+            out += [pa.array(sizes, pa.int64()), pa.array([s - len(x) for s, x in zip(sizes, left)], pa.int64()), pa.array(runs, pa.int64()), pa.array(left, pa.binary()), pa.array([hashlib.sha256(x).hexdigest() for x in left], pa.string()), pa.array(removed, RUNS)]
+            yield pa.RecordBatch.from_arrays(out, [*plain, *own])
 
     done = rows.mapInArrow(run, schema)
-    own = ["n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"]
     return done.select(*(F.col(p).alias(c) for c, p in zip(columns, plain) if c.lower() not in own), *own)

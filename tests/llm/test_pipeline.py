@@ -57,3 +57,26 @@ def test_empty_tables(spark, folder):
     for name in ("documents", "labels"):
         common.table(spark, folder[0], name).limit(0).write.parquet(f"{path}/{name}.parquet")
     assert corpus_pipeline.run(spark, path).collect() == []
+
+
+CLASHING = "kept string, n_bytes string, n_removed int, n_spans long, kept_sha256 string, removed int, own_0 int, score string, accepted string, component_id string, fp string, salt string, text_ string"
+
+
+def test_callers_columns_stay_as_they_are(spark, folder):
+    """Columns with names that operators use themselves, null texts and ids, repeated rows: every stage passes them on unchanged."""
+    path, texts = folder
+    own = ("k", "b", 77, 78, "s", 79, 80, "x", "y", "z", "f", "t", "u")
+    rows = [(i, t, "en", "s", len(t or ""), *own) for i, t in [*enumerate(texts[:60]), (None, texts[3] + " more"), (500, None), (500, None), (501, ""), (3, texts[3])]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + CLASHING)
+    names, kinds = docs.columns, docs.dtypes
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, path)
+        assert out.columns == names and out.dtypes == kinds, name
+        got = out.collect()
+        assert got and all(tuple(r)[5:] == own and r.lang == "en" and r.source == "s" for r in got), name
+        if name != "suffix-array dedup":
+            assert {(r.doc_id, r.text) for r in got} <= {(i, t) for i, t, *_ in rows}, name
+        else:
+            assert sorted(r.doc_id or -1 for r in got) == sorted(i or -1 for i, *_ in rows)
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, path).collect()
+    assert sum(1 for r in pieces if r.doc_id == 500) == 2 and sum(1 for r in pieces if r.piece == 0) == len(rows)
