@@ -6,7 +6,6 @@ return the columns of ``documents``. ``run`` writes each stage's result into the
 
 from __future__ import annotations
 
-import pandas as pd
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,14 +33,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes of repeated 400-byte strings (and of characters cut by that); no row goes."""
     common.importable(spark)
-    done = suffixes.remove_repeats(docs, 400, [c for c in docs.columns if c != "text"])
-
-    @F.pandas_udf("string")
-    def decoded(kept: pd.Series) -> pd.Series:
-        return kept.map(lambda b: bytes(b).decode("utf-8", "ignore"))
-
-    text = done.withColumn("text", decoded("kept"))
-    return text.select(*(F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
+    # the operator's own columns can't take the place of a caller's: those go along under other names
+    own = {c: f"own_{i}" for i, c in enumerate(docs.columns) if c != "text"}
+    done = suffixes.remove_repeats(docs.select("text", "doc_id", *(F.col(f"`{c}`").alias(a) for c, a in own.items())), 400, list(own.values()))
+    done = done.withColumn("text", suffixes.decoded("kept"))
+    left = {"text": F.col("text")} | {c: F.col(a) for c, a in own.items()}
+    if "n_chars" in left:
+        left["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return done.select(*(left[c].alias(c) for c in docs.columns))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
