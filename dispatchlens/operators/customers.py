@@ -7,13 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from dispatchlens.functions import lloyd
 from dispatchlens.functions.shapes import epoch_seconds
 from dispatchlens.params import MIN_GROUP_ROWS  # noqa: F401  (shared gate)
 from dispatchlens.session import written
 
-SEED = 42
-#: K-means fits of a clustering, of which the best is kept.
-STARTS = 10
+#: Values of a category that become columns, at most.
+MAX_LEVELS = 200
 
 
 def _cust(facts: DataFrame) -> DataFrame:
@@ -69,74 +69,61 @@ def customer_rfm(facts: DataFrame) -> DataFrame:
     )
 
 
+# The features that customers are clustered by.
 CLUSTER_FEATURES = (
     "order_count", "avg_profit_per_order", "avg_distance", "avg_delivery_time", "unique_restaurants",
     "days_since_last_order", "orders_per_month",
 )
 
 
-def standardized_vectors(df: DataFrame, features: Sequence[str], out: str = "features") -> DataFrame:
-    """Population-std standardisation (as scikit-learn's StandardScaler) into
-    a vector column; rows with a NULL feature are dropped. The statistics are
-    one aggregate row, broadcast."""
-    from pyspark.ml.feature import VectorAssembler
-
+def standardized(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """``df`` without rows that lack a feature, and ``_z_<feature>`` columns standardised by the
+    population deviation (zeros for a constant). The statistics are one aggregate row, broadcast."""
     d = df.dropna(subset=list(features))
     st = d.agg(*[F.avg(c).alias(f"_m_{c}") for c in features], *[F.stddev_pop(c).alias(f"_s_{c}") for c in features])
-    z = d.crossJoin(F.broadcast(st))
     cols = [
         F.when(F.col(f"_s_{c}") == 0, F.lit(0.0)).otherwise((F.col(c) - F.col(f"_m_{c}")) / F.col(f"_s_{c}")).alias(f"_z_{c}")
         for c in features
     ]
-    z = z.select(*df.columns, *cols)
-    return VectorAssembler(inputCols=[f"_z_{c}" for c in features], outputCol=out).transform(z).drop(
-        *[f"_z_{c}" for c in features]
-    )
-
+    return d.crossJoin(F.broadcast(st)).select(*df.columns, *cols)
 
-def best_kmeans(vec: DataFrame, k: int, seed: int = SEED, starts: int = STARTS):
-    """The model of least cost among ``starts`` seeded fits (the first of equals)."""
-    from pyspark.ml.clustering import KMeans
 
-    return min((KMeans(k=k, seed=seed + i, featuresCol="features").fit(vec) for i in range(starts)), key=lambda m: m.summary.trainingCost)
-
-
-def kmeans_elbow(rfm: DataFrame, features: Sequence[str] = CLUSTER_FEATURES, max_k: int = 10, seed: int = SEED, starts: int = STARTS):
+def kmeans_elbow(rfm: DataFrame, features: Sequence[str] = CLUSTER_FEATURES, max_k: int = 10, rounds: int = lloyd.ROUNDS):
     """Within-cluster sum of squares for k = 1..min(10, n-1) and the elbow
     k* = argmin |second difference| + 2 (3 with fewer than 3 points). Returns
-    (DataFrame(k, wcss, is_optimal), k*, vectors)."""
-    from pyspark.ml.functions import vector_to_array
-
-    vec = written(standardized_vectors(rfm, features), "vectors")
-    n = vec.count()
-    kmax = min(max_k, n - 1)
-    wcss = []
-    for k in range(1, kmax + 1):
-        if k == 1:  # total sum of squares around the mean of standardised data
-            sq = F.aggregate(F.transform(vector_to_array(F.col("features")), lambda x: x * x), F.lit(0.0), lambda a, b: a + b)
-            total = vec.select(F.sum(sq)).first()[0]
-            wcss.append(float(total))
-        else:
-            wcss.append(float(best_kmeans(vec, k, seed, starts).summary.trainingCost))
+    (DataFrame(k, wcss, is_optimal), k*, (standardised points, centres by k)).
+
+    All k share the farthest-first start and every round's scan of the points."""
+    points, cols = written(standardized(rfm, features), "vectors"), [f"_z_{c}" for c in features]
+    kmax = min(max_k, points.count() - 1)
+    start = lloyd.farthest_first(points, cols, kmax)
+    centres = lloyd.fit(points, cols, {k: start[:k] for k in range(1, kmax + 1)}, rounds=rounds)
+    sums = lloyd.within(points, cols, centres)
+    wcss = [sums[k] for k in sorted(sums)]
     if len(wcss) >= 3:
         d1 = [b - a for a, b in zip(wcss, wcss[1:])]
-        d2 = [abs(b - a) for a, b in zip(d1, d1[1:])]
+        d2 = [round(abs(b - a), 9) for a, b in zip(d1, d1[1:])]
         k_star = int(min(range(len(d2)), key=lambda i: d2[i])) + 2
     else:
         k_star = 3
     spark = rfm.sparkSession
     table = spark.createDataFrame([(k + 1, w, k + 1 == k_star) for k, w in enumerate(wcss)], "k int, wcss double, is_optimal boolean")
-    return table, k_star, vec
+    return table, k_star, (points, centres)
 
 
-def customer_clusters(rfm: DataFrame, k: int | None = None, features: Sequence[str] = CLUSTER_FEATURES, seed: int = SEED, starts: int = STARTS):
-    """U4: K-means at k (the elbow's k* when None); returns per-customer labels."""
-    if k is None:
-        _, k, vec = kmeans_elbow(rfm, features, seed=seed, starts=starts)
+def customer_clusters(rfm: DataFrame, k: int | None = None, features: Sequence[str] = CLUSTER_FEATURES, elbow=None):
+    """U4: K-means at k (the elbow's k* when None); returns per-customer labels. ``elbow``: what
+    :func:`kmeans_elbow` returned, where it has been computed already."""
+    if k is None or elbow is not None:
+        _, best, (points, centres) = elbow or kmeans_elbow(rfm, features)
+        k = k or best
     else:
-        vec = standardized_vectors(rfm, features)
-    model = best_kmeans(vec, k, seed, starts)
-    return model.transform(vec).withColumnRenamed("prediction", "Cluster").drop("features"), k
+        points, centres = written(standardized(rfm, features), "vectors"), {}
+    cols = [f"_z_{c}" for c in features]
+    if k not in centres:
+        centres = lloyd.fit(points, cols, {k: lloyd.farthest_first(points, cols, k)})
+    cluster = lloyd.nearest(cols, centres[k]) if centres[k] else F.lit(0)
+    return points.withColumn("Cluster", cluster).drop(*cols), k
 
 
 def cluster_summary(labeled: DataFrame, features: Sequence[str] = CLUSTER_FEATURES) -> DataFrame:
@@ -171,23 +158,24 @@ def name_segments(labeled: DataFrame, k: int) -> DataFrame:
     ).orderBy("Cluster")
 
 
-def customer_segments(facts: DataFrame, k: int = 4, seed: int = SEED) -> DataFrame:
+def customer_segments(facts: DataFrame, k: int = 4) -> DataFrame:
     """One-hot modal order type/vehicle/city + standardised mean distance,
-    time, profit and order count -> K-means(4) segment per customer."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-
-    prof = customer_profile(facts)
+    time, profit and order count -> K-means(4) segment per customer; customers that lack one of them have no segment."""
+    # The columns that the segments are built from.
     cats = ["Type_of_order", "Type_of_vehicle", "City"]
     nums = ["Distance_km", "Time_taken_min", "Profit", "Order_Count"]
-    z = standardized_vectors(prof.dropna(subset=cats + nums), nums, "_num")
-    stages = [StringIndexer(inputCol=c, outputCol=f"_{c}_i", handleInvalid="keep") for c in cats]
-    stages += [OneHotEncoder(inputCols=[f"_{c}_i" for c in cats], outputCols=[f"_{c}_v" for c in cats], dropLast=False)]
-    stages += [VectorAssembler(inputCols=[f"_{c}_v" for c in cats] + ["_num"], outputCol="_features")]
-    stages += [KMeans(k=k, seed=seed, featuresCol="_features", predictionCol="Customer_Segment")]
-    model = Pipeline(stages=stages).fit(z)
-    return model.transform(z).select("Customer_ID", *cats, *nums, F.col("Customer_Segment").cast("int"))
+    points = written(standardized(customer_profile(facts).dropna(subset=cats), nums), "profiles")
+    cols = [f"_z_{c}" for c in nums]
+    for c in cats:
+        levels = sorted(r[0] for r in points.select(c).distinct().limit(MAX_LEVELS + 1).collect())
+        if len(levels) > MAX_LEVELS:
+            raise ValueError(f"{c} has more than {MAX_LEVELS} values")
+        for i, level in enumerate(levels):
+            points = points.withColumn(f"_{c}_{i}", (F.col(c) == level).cast("double"))
+            cols.append(f"_{c}_{i}")
+    centres = lloyd.fit(points, cols, {k: lloyd.farthest_first(points, cols, k)})[k]
+    segment = lloyd.nearest(cols, centres) if centres else F.lit(0)
+    return points.select("Customer_ID", *cats, *nums, segment.alias("Customer_Segment"))
 
 
 def with_customer_segments(facts: DataFrame, segments: DataFrame) -> DataFrame:

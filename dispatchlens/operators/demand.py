@@ -107,6 +107,93 @@ def _solve(matrix: Column, order: int) -> Column:
     return F.transform(done, lambda row: F.element_at(row, order + 1))
 
 
+def _daily_by_series(facts: DataFrame, series: Sequence[str]) -> tuple[list[str], DataFrame, DataFrame]:
+    """Key columns, each series' first and last day (``lo, hi``) and its zero-filled daily orders."""
+    keys = [*series, "_all"]
+    cnt = facts.where(F.col("Order_Date").isNotNull()).withColumn("_all", F.lit(0)).groupBy(
+        *[F.col(k).cast("string").alias(k) for k in keys], F.col("Order_Date").alias("day")
+    ).agg(F.count(F.lit(1)).alias("orders"))
+    cnt = cnt.dropna(subset=keys)
+    span = cnt.groupBy(*keys).agg(F.min("day").alias("lo"), F.max("day").alias("hi"))
+    spine = span.select(*keys, "hi", F.explode(F.sequence("lo", "hi", F.expr("INTERVAL 1 DAY"))).alias("day"))
+    daily = spine.join(cnt, [*keys, "day"], "left").withColumn("orders", F.coalesce("orders", F.lit(0)).cast("double"))
+    return keys, span, daily
+
+
+def _normal_equations(left: list[str], right: str, whole: Column) -> Column:
+    """The rows of the normal equations of ``right`` by ``left``, the right side last, as an aggregate of the rows that are ``whole``."""
+    cells = [[F.coalesce(F.sum(F.when(whole, F.col(x) * F.col(y))), F.lit(0.0)) for y in [*left, right]] for x in left]
+    return F.array(*[F.array(*row) for row in cells])
+
+
+def _dot(coefficients: Column | str, values: Column) -> Column:
+    return F.aggregate(F.zip_with(coefficients, values, lambda c, x: c * x), F.lit(0.0), lambda s, x: s + x)
+
+
+def arima_forecast(
+    facts: DataFrame,
+    order: int = 2,
+    moving: int = 2,
+    long_order: int = 5,
+    series: Sequence[str] = (),
+    test_days: int = TEST_DAYS,
+    future_days: int = FUTURE_DAYS,
+) -> DataFrame:
+    """D4 with moving-average terms: ARIMA(``order``, 1, ``moving``) without intercept, fitted in two stages of least
+    squares on the training days, forecast over the test days and the ``future_days`` after the
+    last day; one series for each value of the ``series`` columns.
+
+    A long autoregression of ``long_order`` lags of the first differences gives residuals; the differences are then
+    regressed on ``order`` own lags and ``moving`` lags of those residuals. The forecast folds over
+    the days with both histories, and residuals of days to come are zero. Days without a whole set of lags
+    take no part in a fit; a series with too few days has zero coefficients, so its forecast
+    stays at the last training value (null without training days).
+    """
+    keys, span, daily = _daily_by_series(facts, series)
+    w = Window.partitionBy(*keys).orderBy("day")
+    d = [f"_d{i}" for i in range(max(long_order, order) + 1)]  # _d0 is the day's own difference
+    e = [f"_e{i}" for i in range(moving + 1)]
+    train = daily.where(F.col("day") <= F.date_sub("hi", test_days)).withColumn("_d0", F.col("orders") - F.lag("orders").over(w))
+    train = train.withColumns({c: F.lag("_d0", i).over(w) for i, c in enumerate(d) if i})
+    own = d[1 : long_order + 1]
+    long_fit = train.groupBy(*keys).agg(_normal_equations(own, "_d0", F.col(own[-1]).isNotNull()).alias("_m")).select(*keys, _solve(F.col("_m"), long_order).alias("_long"))
+    train = train.join(long_fit, keys).withColumn("_e0", F.when(F.col(own[-1]).isNotNull(), F.col("_d0") - _dot("_long", F.array(*own))))
+    train = train.withColumns({c: F.lag("_e0", i).over(w) for i, c in enumerate(e) if i})
+    inputs = [*d[1 : order + 1], *e[1:]]
+    zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
+    ends = [*d[:order], *e[:moving]]
+    fitted = train.groupBy(*keys).agg(
+        _normal_equations(inputs, "_d0", F.col(d[order]).isNotNull() & F.col(e[-1]).isNotNull()).alias("_m"),
+        F.max("day").alias("_last"),
+        F.max_by(F.struct("orders", *map(zero, ends)), "day").alias("_end"),
+    )
+    none = F.array().cast("array<double>")
+    history = lambda names: F.array(*[F.col(f"_end.{c}") for c in names]) if names else none
+    fitted = fitted.select(*keys, "_last", F.col("_end.orders").alias("_level"), history(d[:order]).alias("_moves"), history(e[:moving]).alias("_errors"), _solve(F.col("_m"), order + moving).alias("_coef"))
+    ahead = span.join(fitted, keys, "left").withColumn("_from", F.coalesce(F.date_add("_last", 1), "lo"))
+    steps = F.datediff("hi", "_from") + 1 + future_days
+    begin = F.struct(F.col("_moves").alias("moves"), F.col("_errors").alias("errors"), F.col("_level").alias("level"), none.alias("out"))
+
+    def one_day(state: Column, _: Column) -> Column:
+        move = _dot("_coef", F.concat(state["moves"], state["errors"]))
+        level = state["level"] + move
+        pushed = lambda new, old, n: F.slice(F.concat(F.array(new), old), 1, n)
+        return F.struct(pushed(move, state["moves"], order).alias("moves"), pushed(F.lit(0.0), state["errors"], moving).alias("errors"), level.alias("level"), F.concat(state["out"], F.array(level)).alias("out"))
+
+    path = F.aggregate(F.sequence(F.lit(1), steps), begin, one_day)["out"]
+    return _forecast_days(ahead, path, steps, daily, keys, series)
+
+
+def _forecast_days(ahead: DataFrame, path: Column, steps: Column, daily: DataFrame, keys: list[str], series: Sequence[str]) -> DataFrame:
+    """The days from ``_from`` on with the forecasts of ``path``, whether they are test or future days, and what was ordered."""
+    path = F.coalesce(path, F.array_repeat(F.lit(None).cast("double"), steps))
+    days = ahead.select(*keys, "hi", "_from", F.posexplode(path).alias("_i", "forecast"))
+    days = days.withColumn("day", F.date_add("_from", F.col("_i")))
+    split = F.when(F.col("day") <= F.col("hi"), "test").otherwise("future")
+    out = days.withColumn("split", split).join(daily.select(*keys, "day", F.col("orders").alias("actual")), [*keys, "day"], "left")
+    return out.select(*series, "day", "split", "actual", "forecast").orderBy(*series, "day")
+
+
 def autoregressive_forecast(
     facts: DataFrame,
     order: int = 5,
@@ -124,14 +211,7 @@ def autoregressive_forecast(
     fewer differences than lags has no equations: its coefficients are zero and the
     forecast stays at the last training value (null without training days).
     """
-    keys = [*series, "_all"]
-    cnt = facts.where(F.col("Order_Date").isNotNull()).withColumn("_all", F.lit(0)).groupBy(
-        *[F.col(k).cast("string").alias(k) for k in keys], F.col("Order_Date").alias("day")
-    ).agg(F.count(F.lit(1)).alias("orders"))
-    cnt = cnt.dropna(subset=keys)
-    span = cnt.groupBy(*keys).agg(F.min("day").alias("lo"), F.max("day").alias("hi"))
-    spine = span.select(*keys, "hi", F.explode(F.sequence("lo", "hi", F.expr("INTERVAL 1 DAY"))).alias("day"))
-    daily = spine.join(cnt, [*keys, "day"], "left").withColumn("orders", F.coalesce("orders", F.lit(0)).cast("double"))
+    keys, span, daily = _daily_by_series(facts, series)
     train = daily.where(F.col("day") <= F.date_sub("hi", test_days))
     w = Window.partitionBy(*keys).orderBy("day")
     lags = [f"_d{i}" for i in range(order + 1)]  # _d0 is the day's own difference
@@ -156,12 +236,7 @@ def autoregressive_forecast(
         return F.struct(F.slice(F.concat(F.array(move), state["hist"]), 1, order).alias("hist"), level.alias("level"), F.concat(state["out"], F.array(level)).alias("out"))
 
     path = F.aggregate(F.sequence(F.lit(1), steps), begin, one_day)["out"]
-    path = F.coalesce(path, F.array_repeat(F.lit(None).cast("double"), steps))
-    days = ahead.select(*keys, "hi", "_from", F.posexplode(path).alias("_i", "forecast"))
-    days = days.withColumn("day", F.date_add("_from", F.col("_i")))
-    split = F.when(F.col("day") <= F.col("hi"), "test").otherwise("future")
-    out = days.withColumn("split", split).join(daily.select(*keys, "day", F.col("orders").alias("actual")), [*keys, "day"], "left")
-    return out.select(*series, "day", "split", "actual", "forecast").orderBy(*series, "day")
+    return _forecast_days(ahead, path, steps, daily, keys, series)
 
 
 def hourly_orders(facts: DataFrame) -> DataFrame:
@@ -175,32 +250,49 @@ def hourly_orders(facts: DataFrame) -> DataFrame:
     return g.select(ts.alias("ts"), "day", "hour", "orders").orderBy("ts")
 
 
-def hourly_features(facts: DataFrame, time_aligned: bool = False) -> DataFrame:
+def hourly_features(facts: DataFrame, time_aligned: bool = False, series: Sequence[str] = ()) -> DataFrame:
     """Hour, weekday, day of month, month; lag_1d / lag_7d and the 7-day
-    moving average. Default = reference semantics: lags are 24 / 168 *rows*
+    moving average, for each value of the ``series`` columns (null values left out).
+
+    Default = reference semantics: lags are 24 / 168 *rows*
     back over observed hours and the 168-row mean includes the current row.
-    ``time_aligned`` instead uses a dense hourly spine (0 for empty hours) and
-    a trailing mean that excludes the current hour. Rows without a full
-    history are dropped."""
-    h = hourly_orders(facts)
+    ``time_aligned`` instead looks back by time: every hour between a series' first and last is there (0 for empty
+    ones), lags are the orders of 24 / 168 hours before, and the mean is over the 168 hours before the current one.
+    Rows without a full history are dropped. Windows hold one series' hours."""
+    by = list(series)
+    h = (
+        facts.where(F.col("Order_Date").isNotNull() & F.col("Order_Hour").isNotNull())
+        .dropna(subset=by)
+        .groupBy(*by, F.make_timestamp_ntz(F.year("Order_Date"), F.month("Order_Date"), F.dayofmonth("Order_Date"), F.col("Order_Hour"), F.lit(0), F.lit(0)).alias("ts"))
+        .agg(F.count(F.lit(1)).alias("orders"))
+    )
+    if time_aligned:
+        span = h.groupBy(*by).agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).where(F.col("lo").isNotNull())
+        spine = span.select(*by, F.explode(F.sequence("lo", "hi", F.expr("INTERVAL 1 HOUR"))).alias("ts"))
+        h = spine.join(h, [*by, "ts"], "left").withColumn("orders", F.coalesce("orders", F.lit(0)))
+    w = Window.partitionBy(*by).orderBy("ts")
     if time_aligned:
-        span = h.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
-        spine = span.select(F.explode(F.sequence("lo", "hi", F.expr("INTERVAL 1 HOUR"))).alias("ts"))
-        h = spine.join(h.select("ts", "orders"), "ts", "left").select("ts", F.coalesce("orders", F.lit(0)).alias("orders"))
-    w = Window.orderBy("ts")  # one row per hour: bounded by the calendar span
-    ma_frame = w.rowsBetween(-168, -1) if time_aligned else w.rowsBetween(-167, 0)
+        # hours since a fixed one, so that frames are intervals of time
+        h = h.withColumn("_hour", F.expr("timestampdiff(HOUR, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)"))
+        timed = Window.partitionBy(*by).orderBy("_hour")
+        lag = lambda n: F.sum("orders").over(timed.rangeBetween(-n, -n))
+        frame = timed.rangeBetween(-168, -1)
+    else:
+        lag = lambda n: F.lag("orders", n).over(w)
+        frame = w.rowsBetween(-167, 0)
     out = h.select(
+        *by,
         "ts",
         F.hour("ts").alias("hour"),
         F.weekday("ts").alias("dayofweek"),
         F.dayofmonth("ts").alias("dayofmonth"),
         F.month("ts").alias("month"),
         F.col("orders").cast("double").alias("orders"),
-        F.lag("orders", 24).over(w).cast("double").alias("lag_1d"),
-        F.lag("orders", 168).over(w).cast("double").alias("lag_7d"),
-        F.when(F.count("orders").over(ma_frame) == 168, F.avg("orders").over(ma_frame)).alias("ma_7d"),
+        lag(24).cast("double").alias("lag_1d"),
+        lag(168).cast("double").alias("lag_7d"),
+        F.when(F.count("orders").over(frame) == 168, F.avg("orders").over(frame)).alias("ma_7d"),
     )
-    return out.dropna().orderBy("ts")
+    return out.dropna().orderBy(*by, "ts")
 
 
 def weekday_pattern(facts: DataFrame) -> DataFrame:

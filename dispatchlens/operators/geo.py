@@ -32,6 +32,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dispatchlens.functions import lloyd
 from dispatchlens.functions.graph import components
 from dispatchlens.session import written
 
@@ -126,13 +127,10 @@ def dbscan(df: DataFrame, cols: Sequence[str], eps: float, min_samples: int, wei
     ), "clusters")
 
 
-def reassign_noise(labels: DataFrame, cols: Sequence[str], k: int = 5, seed: int = 42) -> DataFrame:
-    """K-means (k=5) over the noise locations (weighted by rows); their
+def reassign_noise(labels: DataFrame, cols: Sequence[str], k: int = 5) -> DataFrame:
+    """K-means (k=5, see :mod:`functions.lloyd`) over the noise locations (weighted by rows); their
     labels continue after the largest cluster id (from 0 without clusters).
     Fewer than k noise rows: noise stays -1."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import VectorAssembler
-
     noise = labels.where(F.col("cluster") == -1)
     stats = labels.agg(
         F.sum(F.when(F.col("cluster") == -1, F.col("weight"))).alias("n_noise"),
@@ -141,12 +139,9 @@ def reassign_noise(labels: DataFrame, cols: Sequence[str], k: int = 5, seed: int
     if not stats["n_noise"] or stats["n_noise"] < k:
         return labels
     offset = 0 if stats["max_label"] is None else stats["max_label"] + 1
-    vec = VectorAssembler(inputCols=list(cols), outputCol="_features").transform(noise)
-    model = KMeans(k=k, seed=seed, featuresCol="_features", weightCol="weight", predictionCol="_km").fit(
-        vec.withColumn("weight", F.col("weight").cast("double"))
-    )
-    relabeled = model.transform(vec).select(*cols, "weight", "is_core", (F.col("_km") + offset).cast("int").alias("cluster"))
-    return labels.where(F.col("cluster") != -1).unionByName(relabeled)
+    weight = F.col("weight").cast("double")
+    centres = lloyd.fit(noise, cols, {k: lloyd.farthest_first(noise, cols, k, weight)}, weight)[k]
+    return labels.withColumn("cluster", F.when(F.col("cluster") == -1, lloyd.nearest(cols, centres) + offset).otherwise(F.col("cluster")))
 
 
 def cluster_labels_join(facts: DataFrame, labels: DataFrame, cols: Sequence[str], name: str) -> DataFrame:

@@ -11,6 +11,7 @@ reference's 31 (x segments) full scans.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -124,28 +125,25 @@ def segment_optimal_prices(
     )
 
 
-def _lookup(mapping: dict, key: Column) -> Column:
-    m = F.create_map(*[x for k, v in mapping.items() for x in (F.lit(k), F.lit(float(v)))])
-    return F.coalesce(F.try_element_at(m, key), F.lit(1.0))
+#: The multiplier of each level of each factor, in the order in which they are multiplied; other levels count 1.
+SURGE_FACTORS: dict[str, dict] = {
+    "IsPeakHour": {1: PEAK_HOUR_SURGE},
+    "IsWeekend": {1: WEEKEND_SURGE},
+    "IsHoliday": {1: HOLIDAY_SURGE},
+    "Road_traffic_density": TRAFFIC_SURGE,
+    "Weatherconditions": WEATHER_SURGE,
+    "Order_Hour": HOUR_SURGE,
+}
 
 
 def dynamic_multiplier(facts: DataFrame) -> Column:
-    """Product of the surge factors, applied in the reference's order
-    (peak, weekend, holiday, traffic, weather, hour); unknown values x 1."""
-    m = F.lit(1.0)
-    if "IsPeakHour" in facts.columns:
-        m = m * F.when(F.col("IsPeakHour") == 1, F.lit(PEAK_HOUR_SURGE)).otherwise(F.lit(1.0))
-    if "IsWeekend" in facts.columns:
-        m = m * F.when(F.col("IsWeekend") == 1, F.lit(WEEKEND_SURGE)).otherwise(F.lit(1.0))
-    if "IsHoliday" in facts.columns:
-        m = m * F.when(F.col("IsHoliday") == 1, F.lit(HOLIDAY_SURGE)).otherwise(F.lit(1.0))
-    if "Road_traffic_density" in facts.columns:
-        m = m * _lookup(TRAFFIC_SURGE, F.col("Road_traffic_density"))
-    if "Weatherconditions" in facts.columns:
-        m = m * _lookup(WEATHER_SURGE, F.col("Weatherconditions"))
-    if "Order_Hour" in facts.columns:
-        m = m * _lookup(HOUR_SURGE, F.col("Order_Hour"))
-    return m
+    """Product of the multipliers of a row's levels, over the factors that the table has."""
+
+    def of_level(factor: str) -> Column:
+        levels = F.create_map(*[F.lit(x) for level, multiplier in SURGE_FACTORS[factor].items() for x in (level, float(multiplier))])
+        return F.coalesce(F.try_element_at(levels, F.col(factor)), F.lit(1.0))
+
+    return reduce(lambda product, factor: product * of_level(factor), [f for f in SURGE_FACTORS if f in facts.columns], F.lit(1.0))
 
 
 def with_dynamic_price(facts: DataFrame, base_fee: float = 100.0) -> DataFrame:
@@ -240,13 +238,6 @@ def multiplier_stats(facts: DataFrame) -> DataFrame:
 def surge_table(spark, variant: str = "analysis") -> DataFrame:
     """X11: the surge factors as a (factor, level, multiplier) table (a fixed
     constant, for display and for joins)."""
-    rows: list[tuple[str, str, float]] = []
-    if variant == "analysis":
-        rows += [("IsPeakHour", "1", PEAK_HOUR_SURGE), ("IsWeekend", "1", WEEKEND_SURGE),
-                 ("IsHoliday", "1", HOLIDAY_SURGE)]
-        rows += [("Road_traffic_density", k, v) for k, v in TRAFFIC_SURGE.items()]
-        rows += [("Weatherconditions", k, v) for k, v in WEATHER_SURGE.items()]
-        rows += [("Hour", str(k), v) for k, v in HOUR_SURGE.items()]
-    else:
-        rows += [(f, k, v) for f, levels in APP_SURGE.items() for k, v in levels.items()]
+    table = {("Hour" if f == "Order_Hour" else f): levels for f, levels in SURGE_FACTORS.items()} if variant == "analysis" else APP_SURGE
+    rows = [(factor, str(level), float(multiplier)) for factor, levels in table.items() for level, multiplier in levels.items()]
     return spark.createDataFrame(rows, "factor string, level string, multiplier double")

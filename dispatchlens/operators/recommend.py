@@ -90,7 +90,7 @@ def operations_recommendations(facts: DataFrame) -> DataFrame:
 
 def driver_recommendations(facts: DataFrame) -> DataFrame:
     """Z3: busiest day (sum over shifts; first in week order on ties) and its
-    busiest shift; the two standing driver-programme lines."""
+    busiest shift."""
     from dispatchlens.operators.drivers import shift_allocation
 
     sa = shift_allocation(facts)
@@ -101,13 +101,7 @@ def driver_recommendations(facts: DataFrame) -> DataFrame:
         F.min_by("shift", F.struct(-F.col("drivers_needed"), F.col("shift_index"))).alias("shift"),
     )
     peak = shift.select(F.lit(1).alias("_key"), F.concat(F.lit("Couriers are needed most on "), F.col("day"), F.lit(" in the shift "), F.col("shift")).alias("text"))
-    spark = facts.sparkSession
-    fixed = spark.createDataFrame(
-        [(2, "Teach new couriers what the leading ones do"),
-         (3, "Tie courier bonuses to measured efficiency")],
-        "_key int, text string",
-    )
-    return _rows("driver_management", peak, fixed)
+    return _rows("driver_management", peak)
 
 
 def customer_recommendations(names: DataFrame) -> DataFrame:
@@ -162,13 +156,20 @@ def recommendations(
     return out
 
 
-def safe_group_agg(df: DataFrame, key: str, aggs: dict[str, str]) -> tuple[DataFrame | None, str | None]:
-    """Group-by that uses only the aggregation columns present; returns
-    (result, None) or (None, reason)."""
-    if key not in df.columns:
-        return None, f"Column '{key}' not found in dataset"
-    avail = {c: fn for c, fn in aggs.items() if c in df.columns}
-    if not avail:
-        return None, f"None of the required columns {list(aggs)} found in dataset"
-    exprs = [getattr(F, fn)(c).alias(c) if fn != "mean" else F.avg(c).alias(c) for c, fn in avail.items()]
-    return df.where(F.col(key).isNotNull()).groupBy(key).agg(*exprs), None
+def safe_group_agg(df: DataFrame, key: str, aggs: dict[str, str]) -> tuple[DataFrame | None, DataFrame]:
+    """The aggregates of ``aggs`` (column: ``mean``, ``sum``, ``min``, ``max`` or ``count``) that ``df`` can give by
+    ``key`` (null keys left out), and a table ``(column, problem)`` of those it can't. Without the key or any
+    usable column there is no result."""
+    kinds, numeric = dict(df.dtypes), ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
+    problems, exprs = [], []
+    for column, name in aggs.items():
+        if column not in kinds:
+            problems.append((column, "absent from the input"))
+        elif name in ("mean", "sum") and not kinds[column].startswith(numeric):
+            problems.append((column, f"{name} needs numbers, the column holds {kinds[column]}"))
+        else:
+            exprs.append({"mean": F.avg, "sum": F.sum, "min": F.min, "max": F.max, "count": F.count}[name](column).alias(column))
+    if key not in kinds:
+        problems, exprs = [(key, "absent, nothing to group by"), *problems], []
+    left_out = df.sparkSession.createDataFrame(problems, "column string, problem string")
+    return (df.dropna(subset=[key]).groupBy(key).agg(*exprs) if exprs else None), left_out

@@ -78,6 +78,7 @@ def _build() -> None:
         on_facts(name, getattr(X, name))
 
     from dispatchlens.operators import demand as D
+    from dispatchlens.operators import holidays as H
 
     on_facts("daily_orders", D.daily_orders)
     on_facts("holdout_split", lambda f: D.holdout_split(D.daily_orders(f)))
@@ -88,6 +89,10 @@ def _build() -> None:
         "hourly_orders", "hourly_features", "weekday_pattern", "hourly_pattern", "autoregressive_forecast",
     ):
         on_facts(name, getattr(D, name))
+    on_facts("arima_forecast", D.arima_forecast)
+    on_facts("city_arima_forecast", lambda f: D.arima_forecast(f, series=["City"]))
+    on_facts("city_hourly_features", lambda f: D.hourly_features(f, time_aligned=True, series=["City"]))
+    on_facts("holiday_calendar_profit", lambda f: H.profit_by_holiday(f, H.busiest_days(f)))
     on_facts("city_autoregressive_forecast", lambda f: D.autoregressive_forecast(f, series=["City"]))
 
     from dispatchlens.operators import geo as G
@@ -113,6 +118,16 @@ def _build() -> None:
     on_facts("efficient_routes", lambda f: T.efficient_routes(clustered(f)))
     on_facts("route_types_reassigned", lambda f: T.efficient_routes(G.with_location_clusters(f, reassign=True)))
 
+    # distinct sites and a tighter setting leave noise in these tables, which C2 then clusters
+    def reassigned(f):
+        return memo(f.sparkSession, ("reassigned", id(f)), lambda: G.with_location_clusters(f, 0.01, 10, weighted=False))
+
+    on_facts("restaurant_sites_reassigned", lambda f: G.reassign_noise(G.restaurant_sites_distinct(f), G.RESTAURANT_COORDS))
+    on_facts("restaurant_cluster_profit_reassigned", lambda f: R.restaurant_cluster_profit(reassigned(f)))
+    on_facts("delivery_cluster_profit_reassigned", lambda f: R.delivery_cluster_profit(reassigned(f)))
+    on_facts("efficient_clusters_reassigned", lambda f: T.efficient_clusters(reassigned(f)))
+    on_facts("efficient_routes_reassigned", lambda f: T.efficient_routes(reassigned(f)))
+
     from dispatchlens.operators import customers as U
     from dispatchlens.operators import models as M
     from dispatchlens.operators import recommend as Z
@@ -125,7 +140,7 @@ def _build() -> None:
         return memo(f.sparkSession, ("elbow", id(f)), lambda: U.kmeans_elbow(U.customer_rfm(f)))
 
     def clusters(f):
-        return memo(f.sparkSession, ("customer_clusters", id(f)), lambda: U.customer_clusters(U.customer_rfm(f), elbow(f)[1]))
+        return memo(f.sparkSession, ("customer_clusters", id(f)), lambda: U.customer_clusters(U.customer_rfm(f), elbow=elbow(f)))
 
     on_facts("kmeans_elbow", lambda f: elbow(f)[0])
     on_facts("customer_cluster_summary", lambda f: U.cluster_summary(clusters(f)[0]))

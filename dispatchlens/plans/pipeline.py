@@ -14,7 +14,7 @@ from dispatchlens.plans.facts import facts as build_facts
 from dispatchlens.session import written
 
 
-def run_all(spark: SparkSession, raw: DataFrame, p: FactParams = FactParams(), with_models: bool = True, starts: int = 10) -> dict[str, DataFrame]:
+def run_all(spark: SparkSession, raw: DataFrame, p: FactParams = FactParams(), with_models: bool = True) -> dict[str, DataFrame]:
     from dispatchlens.operators import customers as U
     from dispatchlens.operators import demand as D
     from dispatchlens.operators import drivers as V
@@ -31,8 +31,9 @@ def run_all(spark: SparkSession, raw: DataFrame, p: FactParams = FactParams(), w
     seg = U.customer_segments(f)
     enriched = U.with_customer_segments(enriched, seg)
     rfm = written(U.customer_rfm(f))
-    elbow, k, _ = U.kmeans_elbow(rfm, starts=starts)
-    labeled, _ = U.customer_clusters(rfm, k, starts=starts)
+    found = U.kmeans_elbow(rfm)
+    elbow, k, _ = found
+    labeled, _ = U.customer_clusters(rfm, elbow=found)
     names = U.name_segments(labeled, k)
     pickup, dropoff = written(G.pickup_hotspots(f), "pickup"), written(G.dropoff_hotspots(f), "dropoff")
     forecast = D.moving_average_forecast(f)

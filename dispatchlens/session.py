@@ -58,5 +58,7 @@ def written(df: DataFrame, name: str = "table", path: str | None = None, by: Seq
     pushdown and file statistics for every later reader. ``by``: partition columns.
     """
     path = path or f"{ensure_checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").partitionBy(*by).parquet(path)
+    # rebalanced, so that the number of files follows from the data and not from tasks times partitions
+    out = df.hint("rebalance", *by) if by else df
+    out.write.mode("overwrite").partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)

@@ -6,6 +6,7 @@ import pytest
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
+from dispatchlens.functions import lloyd
 from dispatchlens.operators import customers as U
 from dispatchlens.operators import demand as D
 from dispatchlens.operators import geo as G
@@ -94,15 +95,51 @@ def test_hourly_series_of_few_orders(spark):
     assert D.hourly_orders(few).count() > 0 and D.hourly_pattern(few).count() > 0
 
 
-def test_clusters_keep_the_best_of_several_starts(spark):
+def plain_lloyd(x, w, k, rounds):
+    """The same clustering over plain arrays."""
+    square = lambda c: np.round(((x[:, None, :] - np.array(c)[None]) ** 2).sum(2), 9)
+    smallest = lambda score: min(range(len(x)), key=lambda i: (-score[i], tuple(x[i])))
+    mean = (x * w[:, None]).sum(0) / w.sum()
+    centres = [x[smallest(-square([mean])[:, 0])]]
+    while len(centres) < k and (far := square(centres).min(1)).max() > 0:
+        centres.append(x[smallest(far)])
+    for _ in range(rounds):
+        own = square(centres).argmin(1)
+        centres = [(x[own == c] * w[own == c, None]).sum(0) / w[own == c].sum() if (own == c).any() else centres[c] for c in range(len(centres))]
+    return np.array(centres), square(centres).argmin(1), float((w * square(centres).min(1)).sum())
+
+
+def test_lloyd_equals_plain_arrays(spark):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(c, 0.3, (40, 2)) for c in ((0, 0), (3, 3), (0, 4))] + [np.repeat([[9.0, 9.0]], 5, axis=0)])
+    w = rng.integers(1, 4, len(x)).astype(float)
+    points = spark.createDataFrame([(i, *map(float, p), float(v)) for i, (p, v) in enumerate(zip(x, w))], "id int, a double, b double, w double").repartition(3)
+    weight = F.col("w")
+    start = lloyd.farthest_first(points, ["a", "b"], 6, weight)
+    fits = lloyd.fit(points, ["a", "b"], {k: start[:k] for k in (1, 3, 6)}, weight, rounds=4)
+    costs = lloyd.within(points, ["a", "b"], fits, weight)
+    for k, centres in fits.items():
+        want, own, cost = plain_lloyd(x, w, k, 4)
+        assert np.allclose(centres, want, atol=1e-9) and abs(costs[k] - cost) < 1e-6
+        got = points.select("id", lloyd.nearest(["a", "b"], centres).alias("c")).collect()
+        assert [r.c for r in sorted(got)] == own.tolist()
+    same = spark.createDataFrame([(1.0, 2.0)] * 4, "a double, b double")
+    assert lloyd.farthest_first(same, ["a", "b"], 3) == [(1.0, 2.0)] and lloyd.farthest_first(same.limit(0), ["a", "b"], 3) == []
+    assert lloyd.fit(same, ["a", "b"], {1: [(1.0, 2.0)]}) == {1: [(1.0, 2.0)]}
+
+
+def test_customer_clusters_and_segments(spark):
     rfm = written(U.customer_rfm(fact_table(spark, SF)), "rfm-test")
-    vectors = written(U.standardized_vectors(rfm, U.CLUSTER_FEATURES), "vectors-test")
-    costs = [U.best_kmeans(vectors, 3, starts=n).summary.trainingCost for n in (1, 3)]
-    assert costs[1] <= costs[0]
-    labelled, k = U.customer_clusters(rfm, 3)
-    assert k == 3 and labelled.count() == vectors.count() and {r.Cluster for r in labelled.collect()} == {0, 1, 2}
+    table, k, found = U.kmeans_elbow(rfm, rounds=3)
+    rows = table.orderBy("k").collect()
+    assert [r.k for r in rows] == list(range(1, 11)) and [r.k for r in rows if r.is_optimal] == [k]
+    assert all(a.wcss > b.wcss for a, b in zip(rows, rows[1:]))
+    labelled, three = U.customer_clusters(rfm, 3)
+    assert three == 3 and {r.Cluster for r in labelled.collect()} == {0, 1, 2} and set(labelled.columns) == {*rfm.columns, "Cluster"}
+    assert labelled.count() == U.customer_clusters(rfm, elbow=(table, k, found))[0].count() == found[0].count()
     segments = U.customer_segments(fact_table(spark, SF))
     assert U.with_customer_segments(fact_table(spark, SF), segments).count() == fact_table(spark, SF).count()
+    assert U.customer_segments(fact_table(spark, SF).limit(0)).collect() == []
 
 
 def test_model_and_frame_round_trips(spark):
@@ -117,15 +154,18 @@ def test_model_and_frame_round_trips(spark):
 
 
 def test_safe_group_agg(spark):
-    frame = spark.createDataFrame([("a", 1), ("a", 3), (None, 5)], "k string, v int")
-    out, why = safe_group_agg(frame, "k", {"v": "mean", "gone": "sum"})
-    assert [(r.k, r.v) for r in out.collect()] == [("a", 2.0)] and why is None
-    assert safe_group_agg(frame, "nothing", {"v": "mean"})[0] is None
+    frame = spark.createDataFrame([("a", 1, "x"), ("a", 3, "y"), (None, 5, "z")], "k string, v int, s string")
+    out, left_out = safe_group_agg(frame, "k", {"v": "mean", "gone": "sum", "s": "mean"})
+    assert [(r.k, r.v) for r in out.collect()] == [("a", 2.0)]
+    assert [r.column for r in left_out.collect()] == ["gone", "s"] and "string" in left_out.collect()[1].problem
+    assert safe_group_agg(frame, "k", {"s": "max"})[0].collect()[0].s == "y"
+    out, left_out = safe_group_agg(frame, "nothing", {"v": "mean"})
+    assert out is None and [r.column for r in left_out.collect()] == ["nothing"]
     assert safe_group_agg(frame, "k", {"gone": "sum"})[0] is None
 
 
 def test_run_all(spark):
-    results = run_all(spark, raw_deliveries(spark, SF), with_models=False, starts=1)
+    results = run_all(spark, raw_deliveries(spark, SF), with_models=False)
     cheap = [k for k in results if not k.startswith(("efficiency_", "pricing_", "dynamic_", "driver_"))]
     empty = {k for k in cheap if results[k].isEmpty()}
     # at this scale no fact has seven days of hourly history, and few groups reach their sizes
