@@ -10,10 +10,12 @@ from dispatchlens.functions import lloyd
 from dispatchlens.operators import customers as U
 from dispatchlens.operators import demand as D
 from dispatchlens.operators import geo as G
+from dispatchlens.operators import holidays as H
 from dispatchlens.operators import models as M
 from dispatchlens.operators.recommend import safe_group_agg
 from dispatchlens.plans.materialize import fact_table, raw_deliveries
-from dispatchlens.plans.pipeline import run_all, save_all, save_with_status
+from dispatchlens.plans import pipeline
+from dispatchlens.plans.pipeline import run_all, run_and_save, save_all, save_with_status
 from dispatchlens.session import ensure_checkpoint_dir, written
 from dispatchlens.sources.files import from_dataframe, load_model, save_model
 
@@ -179,3 +181,75 @@ def test_run_all(spark):
     broken = spark.range(3).select(F.assert_true(F.col("id") < 0).alias("x"))
     status = save_with_status({"kpis": results["efficiency_kpis"], "broken": broken}, f"{ensure_checkpoint_dir(spark)}/status-test")
     assert [(r.analysis, r.ok) for r in status.collect()] == [("kpis", True), ("broken", False)]
+
+
+def test_a_failing_analysis_ends_alone(spark, tmp_path, monkeypatch):
+    """One analysis fails while it is built, one while it is written, and a shared input fails for those that need it."""
+    broken = spark.range(3).select(F.assert_true(F.col("id") < 0).alias("x"))
+    monkeypatch.setitem(pipeline.ANALYSES, "efficiency", lambda i: 1 / 0)
+    monkeypatch.setitem(pipeline.ANALYSES, "pricing", lambda i: {"first": spark.range(2).toDF("n"), "second": broken})
+    monkeypatch.setattr(pipeline.Inputs, "_enriched", lambda i: i.no_such_input)
+    names = ["facts", "pricing", "dynamic_pricing", "route_optimization", "driver_allocation", "efficiency"]
+    out = str(tmp_path / "results")
+    rows = {r.analysis: r for r in run_and_save(spark, raw_deliveries(spark, SF), out, only=names, with_models=False, at_once=3).collect()}
+    assert list(rows) == names
+    assert {n: r.ok for n, r in rows.items()} == {n: n in ("facts", "dynamic_pricing", "driver_allocation") for n in names}
+    assert "ZeroDivisionError" in rows["efficiency"].message and "AttributeError" in rows["route_optimization"].message
+    assert rows["pricing"].results == 1 and rows["driver_allocation"].results == 5
+    assert spark.read.parquet(f"{out}/pricing_first").count() == 2 and spark.read.parquet(f"{out}/driver_allocation_shift_allocation").count() == 21
+    assert spark.read.parquet(f"{out}/facts").count() == fact_table(spark, SF).count()
+    with pytest.raises(ValueError, match="nothing"):
+        run_and_save(spark, raw_deliveries(spark, SF), out, only=["nothing"])
+
+
+def test_arima_against_two_stage_least_squares(spark):
+    rnd = random.Random(9)
+    counts = [rnd.randint(5, 30) for _ in range(80)]
+    out = D.arima_forecast(series(spark, counts), order=2, moving=2, long_order=4, future_days=3).collect()
+    d = np.diff(np.array(counts[:-14], float))
+    lagged = lambda x, n: np.column_stack([np.concatenate([np.full(i, np.nan), x[:-i]]) for i in range(1, n + 1)])
+
+    def least_squares(left, right):
+        whole = ~np.isnan(left).any(1) & ~np.isnan(right)
+        return np.linalg.lstsq(left[whole], right[whole], rcond=None)[0]
+
+    far = lagged(d, 4)
+    e = d - far @ least_squares(far, d)
+    coef = least_squares(np.hstack([lagged(d, 2), lagged(e, 2)]), d)
+    moves, errors, level, want = [d[-1], d[-2]], [e[-1], e[-2]], counts[-15], []
+    for _ in range(17):
+        move = float(np.dot(coef, moves + errors))
+        moves, errors, level = [move, moves[0]], [0.0, errors[0]], level + move
+        want.append(level)
+    assert np.allclose([r.forecast for r in out], want) and [r.split for r in out] == ["test"] * 14 + ["future"] * 3
+    assert [r.actual for r in out][:14] == [float(c) for c in counts[-14:]]
+    short = D.arima_forecast(series(spark, [3, 4] * 8), future_days=1).collect()  # two training days: no equations
+    assert {r.forecast for r in short} == {4.0}
+    assert D.arima_forecast(series(spark, [3] * 5), future_days=1).where("forecast is not null").count() == 0
+
+
+def test_hourly_features_by_series_and_time(spark):
+    hour = datetime.datetime(2024, 1, 1)
+    rnd = random.Random(5)
+    cities = {"a": [rnd.randint(0, 2) for _ in range(24 * 9)], "b": [1] * 100 + [0] * 50 + [1] * 60}
+    rows = [(c, (t := hour + datetime.timedelta(hours=i)).date(), t.hour) for c, own in cities.items() for i, n in enumerate(own) for _ in range(n)]
+    facts = spark.createDataFrame([*rows, (None, hour.date(), 3), ("a", None, 4), ("b", hour.date(), None)], "City string, Order_Date date, Order_Hour int")
+    got = {(r.City, r.ts): r for r in D.hourly_features(facts, time_aligned=True, series=["City"]).collect()}
+    want = {}
+    for c, own in cities.items():
+        seen = [i for i, n in enumerate(own) if n]
+        for i in range(seen[0] + 168, seen[-1] + 1):
+            want[c, hour + datetime.timedelta(hours=i)] = (own[i], own[i - 24], own[i - 168], sum(own[i - 168 : i]) / 168)
+    assert {k: (r.orders, r.lag_1d, r.lag_7d, r.ma_7d) for k, r in got.items()} == want and len({c for c, _ in want}) == 2
+
+
+def test_calendar_holidays(spark):
+    day = datetime.date
+    calendar = spark.createDataFrame([(day(2024, 1, 1), day(2024, 1, 3)), (day(2024, 1, 3), None), (None, day(2024, 1, 9)), (day(2024, 2, 2), day(2024, 2, 1))], "first date, last date")
+    facts = spark.createDataFrame([(1, day(2024, 1, 1), 0, 5.0), (2, day(2024, 1, 3), 0, 7.0), (3, day(2024, 1, 9), 1, 1.0), (4, None, 1, 2.0), (5, day(2024, 2, 1), None, 3.0)], "id int, Order_Date date, IsHoliday int, Profit double")
+    for days in (H.BROADCAST_DAYS, 0):
+        H.BROADCAST_DAYS, kept = days, H.BROADCAST_DAYS
+        out = H.with_calendar_holidays(facts, calendar)
+        assert out.columns == facts.columns and {r.id: r.IsHoliday for r in out.collect()} == {1: 1, 2: 1, 3: 0, 4: 0, 5: 0}
+        H.BROADCAST_DAYS = kept
+    assert [tuple(r) for r in H.profit_by_holiday(facts, calendar).collect()] == [(0, 3, 2.0), (1, 2, 6.0)]
