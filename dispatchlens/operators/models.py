@@ -8,13 +8,16 @@ the split can be reproduced in SQL.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dispatchlens.session import written
 
 SEED = 42
+# The inputs of the two models, which must match
 TIME_FEATURES = (
     "Distance_km", "Order_Hour", "Pickup_Hour", "DayOfWeek", "IsWeekend", "IsPeakHour", "IsHoliday",
     "Weatherconditions", "Road_traffic_density", "Wait_Time_Minutes", "City", "Type_of_vehicle",
@@ -112,10 +115,13 @@ def _importances(model, names: Sequence[str], nums: Sequence[str], cats: Sequenc
 def delivery_time_models(facts: DataFrame, label: str = "Time_taken_min", models: Sequence[str] | None = None):
     """M1-M9: fit linear, ridge, random forest and boosted trees on an 80/20
     hash split; return (metrics DataFrame, importances DataFrame of the best
-    tree model by MAE; ``is_best`` marks the best of all models). The feature
-    stages are fitted once; train and test vectors are written once."""
+    tree model by MAE; ``is_best`` marks the best of all models). The linear models are
+    solved in closed form (``operators.linear``). The feature stages of the others are
+    fitted once, train and test vectors are written once, and all are fitted at the same time."""
     from pyspark.ml import Pipeline
 
+    from dispatchlens.operators.linear import MODELS, linear_delivery_time
+
     known = facts.agg(*[F.count(c).alias(c) for c in TIME_FEATURES if c in facts.columns]).first().asDict()
     nums, cats = time_features(facts, [c for c in TIME_FEATURES if known.get(c)])
     data = facts.select("Order_ID", *nums, *cats, F.col(label).cast("double").alias(label)).dropna(subset=[label])
@@ -124,21 +130,29 @@ def delivery_time_models(facts: DataFrame, label: str = "Time_taken_min", models
     shaped = stages.transform(train)
     names = feature_names(shaped)
     vectors = [written(d.select("features", label), "vectors") for d in (shaped, stages.transform(test))]
-    st = vectors[0].agg(F.count(F.lit(1)).alias("n"), F.stddev_pop(label).alias("s")).first()
-    regs = _regressors(label, st["n"], st["s"] or 0.0)
-    rows, fitted = [], {}
-    for name, reg in regs.items():
-        if models and name not in models:
-            continue
-        fitted[name] = reg.fit(vectors[0])
-        m = regression_metrics(fitted[name].transform(vectors[1]), label).first()
-        rows.append((name, m["mae"], m["mse"], m["rmse"], m["r2"]))
+    wanted = [m for m in _regressors(label, 1, 0.0) if not models or m in models]
+
+    def fit(name: str):
+        model = _regressors(label, 1, 0.0)[name].fit(vectors[0])
+        return model, regression_metrics(model.transform(vectors[1]), label).first()
+
+    def closed():
+        return {r["model"]: r for r in linear_delivery_time(facts, label)[1].collect()}
+
+    trees = [m for m in wanted if m not in MODELS]
+    apart = inheritable_thread_target(facts.sparkSession)
+    with ThreadPoolExecutor(len(trees) + 1) as pool:  # a job alone leaves most of the cluster idle between its rounds
+        linear = pool.submit(apart(closed)) if len(trees) < len(wanted) else None
+        fits = {m: pool.submit(apart(fit), m) for m in trees}
+        fitted = {m: f.result()[0] for m, f in fits.items()}
+        found = (linear.result() if linear else {}) | {m: f.result()[1] for m, f in fits.items()}
+    rows = [(m, *(found[m][c] for c in ("mae", "mse", "rmse", "r2"))) for m in wanted]
     best = min(rows, key=lambda r: r[1])[0]
     spark = facts.sparkSession
     metrics = spark.createDataFrame(
         [(*r, r[0] == best) for r in rows], "model string, mae double, mse double, rmse double, r2 double, is_best boolean"
     )
-    trees = [r for r in rows if r[0] in ("Random Forest", "Boosted Trees")]
+    trees = [r for r in rows if r[0] in fitted]
     imps = _importances(fitted[min(trees, key=lambda r: r[1])[0]], names, nums, cats) if trees else []
     return metrics, spark.createDataFrame(imps, "feature string, importance double")
 
@@ -154,6 +168,7 @@ def dynamic_price_model(facts: DataFrame, features: Sequence[str] = PRICE_FEATUR
         raise ValueError("need at least 5 features")
     data = facts.select("Order_ID", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in feats],
                         (F.col("Total_Cost") * markup).alias("label")).dropna(subset=["label"])
+    data = written(data, "prices")
     train, test = hash_split(data)
     va = VectorAssembler(inputCols=feats, outputCol="features")
     model = GBTRegressor(maxIter=100, stepSize=0.1, maxDepth=5, seed=SEED).fit(va.transform(train))
@@ -176,7 +191,8 @@ def hourly_demand_model(facts: DataFrame, test_hours: int = 168):
 
     h = hourly_features(facts)
     pos = F.row_number().over(Window.orderBy(F.desc("ts")))  # one row per hour: bounded
-    h = h.withColumn("_pos", pos)
+    # written by the window's one task: each round of the fit then reads one small file instead of building the features again
+    h = written(h.withColumn("_pos", pos), "hourly")
     va = VectorAssembler(inputCols=list(HOURLY_FEATURES), outputCol="features")
     train = va.transform(h.where(F.col("_pos") > test_hours))
     test = va.transform(h.where(F.col("_pos") <= test_hours))

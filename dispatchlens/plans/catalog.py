@@ -129,6 +129,7 @@ def _build() -> None:
     on_facts("efficient_routes_reassigned", lambda f: T.efficient_routes(reassigned(f)))
 
     from dispatchlens.operators import customers as U
+    from dispatchlens.operators import linear as L
     from dispatchlens.operators import models as M
     from dispatchlens.operators import recommend as Z
 
@@ -161,6 +162,12 @@ def _build() -> None:
     on_facts("delivery_time_models", lambda f: time_models(f)[0])
     on_facts("delivery_time_importance", lambda f: time_models(f)[1])
 
+    def linear(f):
+        return memo(f.sparkSession, ("linear_models", id(f)), lambda: L.linear_delivery_time(f))
+
+    on_facts("linear_coefficients", lambda f: linear(f)[0])
+    on_facts("linear_metrics", lambda f: linear(f)[1])
+
     def price_model(f):
         return memo(f.sparkSession, ("price_model", id(f)), lambda: M.dynamic_price_model(f))
 

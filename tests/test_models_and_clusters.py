@@ -11,6 +11,7 @@ from dispatchlens.operators import customers as U
 from dispatchlens.operators import demand as D
 from dispatchlens.operators import geo as G
 from dispatchlens.operators import holidays as H
+from dispatchlens.operators import linear as L
 from dispatchlens.operators import models as M
 from dispatchlens.operators.recommend import safe_group_agg
 from dispatchlens.plans.materialize import fact_table, raw_deliveries
@@ -62,6 +63,43 @@ def test_linear_and_ridge_have_the_closed_form(spark):
         assert np.allclose(regs[name].fit(frame).coefficients.toArray(), want, atol=1e-4)
 
 
+def test_closed_form_equals_the_fitted_models(spark):
+    from pyspark.ml import Pipeline
+    from pyspark.sql import functions as F
+
+    facts = fact_table(spark, SF)
+    some = F.when(F.col("Order_Hour") != 3, F.col("City"))  # a category with missing values
+    facts = facts.withColumn("City", some).withColumn("Constant", F.lit(1))
+    rows, nums, cats = L.complete_rows(facts)
+    train, test = M.hash_split(rows)
+    scale = L.scales(train, nums)
+    fitted = L.linear_coefficients(train, nums, cats, "Time_taken_min", scale)
+    stages = Pipeline(stages=M.feature_pipeline(nums, cats)).fit(train)
+    shaped = stages.transform(train)
+    st = train.agg(F.count("*").alias("n"), F.stddev_pop("Time_taken_min").alias("s")).first()
+    regs = M._regressors("Time_taken_min", st["n"], st["s"])
+    for name, own in fitted.items():
+        want = regs[name].setTol(1e-12).fit(shaped).transform(stages.transform(test)).select("Order_ID", "prediction")
+        got = test.select("Order_ID", L.predicted(test, own, nums, cats, scale).alias("got"))
+        worst = want.join(got, "Order_ID").agg(F.max(F.abs(F.col("got") - F.col("prediction"))), F.count("*")).first()
+        assert worst[1] > 100 and worst[0] < 1e-6, (name, worst)
+
+
+def test_solve_leaves_out_explained_slots():
+    x = np.random.default_rng(2).normal(size=(50, 3))
+    x = np.column_stack([np.ones(50), x, x[:, 0] - 2 * x[:, 1], np.zeros(50)])
+    y = x[:, :4] @ [1.0, 2.0, -3.0, 0.5]
+    assert np.allclose(L.solve(x.T @ x, x.T @ y), [1, 2, -3, 0.5, 0, 0], atol=1e-9)
+
+
+def test_linear_models_without_rows(spark):
+    facts = fact_table(spark, SF)
+    rows, nums, cats = L.complete_rows(facts)
+    none = rows.where("Distance_km < 0")
+    scale = L.scales(none, nums)
+    assert L.linear_coefficients(none, nums, cats, "Time_taken_min", scale) == {m: {} for m in L.MODELS}
+
+
 def series(spark, counts):
     day = datetime.date(2024, 1, 1)
     rows = [(str(i), day + datetime.timedelta(days=d)) for d, n in enumerate(counts) for i in range(n)]
