@@ -123,3 +123,40 @@ def test_every_query_gets_k_rows_where_there_are_as_many(embeddings, monkeypatch
     found = by_query(ann.nearest_neighbours(embeddings(given), 20, 5).collect())
     assert set(found) == set(range(0, n, 5))
     assert all(len({i for i, _ in own} - {q}) == len(own) == min(20, n - 1) for q, own in found.items())
+
+
+def test_short_queries_are_searched_as_well_as_long_ones(spark):
+    rng = np.random.default_rng(11)
+    centres = rng.standard_normal((60, 24))
+    x = centres[rng.integers(0, 60, 3000)] + 0.2 * rng.standard_normal((3000, 24))
+    x *= (np.exp(rng.normal(0, 1, 3000)) / np.linalg.norm(x, axis=1))[:, None]
+    x[::60] *= 1e-6  # queries
+    got = ann.nearest_neighbours(spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>"), 20, 60).collect()
+    found = {}
+    for r in got:
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    recall = []
+    for q in range(0, 3000, 60):
+        s = x @ x[q]
+        s[q] = -np.inf
+        recall.append(len(found[q] & set(np.argsort(-s, kind="stable")[:20].tolist())) / 20)
+    assert np.mean(recall) >= 0.9 and np.quantile(recall, 0.05) >= 0.5
+
+
+def test_probes_serve_the_worst_queries_too():
+    rng = np.random.default_rng(12)
+    points = rng.standard_normal((2000, 8))
+    centres = ann.fit_centroids(points, 20)
+    probes = ann.fit_probes(points, points[:300], centres, 20)
+    own, order = ann.nearest(points, centres, 1)[:, 0], ann.nearest(points[:300], centres, probes)
+    true = np.argsort(((points[:300, None] - points[None]) ** 2).sum(2), axis=1, kind="stable")[:, 1:21]
+    recall = [np.isin(own[t], o).mean() for t, o in zip(true, order)]
+    assert np.mean(recall) >= ann.TARGET_RECALL and np.quantile(recall, 0.05) >= ann.TARGET_TAIL
+
+
+def test_nearest_in_steps_equals_a_whole_scan(monkeypatch):
+    rng = np.random.default_rng(13)
+    points, centres = rng.standard_normal((500, 6)), rng.standard_normal((30, 6))
+    whole = ann.nearest(points, centres, 5)
+    monkeypatch.setattr(ann, "PAIRS", 100)
+    assert (ann.nearest(points, centres, 5) == whole).all() and (ann.nearest(points, centres, 1)[:, 0] == whole[:, 0]).all()
