@@ -47,3 +47,9 @@ ORACLE["linear_metrics"] = with_facts(
     *_fits(),
     "pe AS (SELECT model, id, y, y - sum(v * COALESCE(c, 0e0)) AS e FROM (SELECT lo.*, mo.model FROM lo, mo WHERE split = 'test') x LEFT JOIN co USING (model, s) GROUP BY model, id, y)",
 )
+
+# The fact store's report is that of facts built at once.
+ORACLE["monthly_report_by_batches"] = with_facts(
+    f"""SELECT Year, Month, count(*) AS orders, {r('avg(Profit)', 'profit_mean')}, {r('avg(Wait_Time_Minutes)', 'wait_mean')},
+  {r('avg(Delivery_Person_Efficiency)', 'driver_efficiency_mean')}, {r('avg(Restaurant_Efficiency)', 'restaurant_efficiency_mean')} FROM facts GROUP BY Year, Month"""
+)

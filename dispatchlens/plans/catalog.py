@@ -8,13 +8,15 @@ cross-engine comparison (``present``), nothing else is changed.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dispatchlens.functions.shapes import round_doubles
-from dispatchlens.plans.materialize import fact_table, memo
+from dispatchlens.plans.materialize import fact_table, memo, raw_deliveries
+from dispatchlens.session import ensure_checkpoint_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 _REGISTRY: dict[str, Query] = {}
@@ -187,6 +189,23 @@ def _build() -> None:
     on_facts("route_recommendations", lambda f: Z.route_recommendations(f, clustered(f)))
     on_facts("recommendations", lambda f: Z.recommendations(f, U.name_segments(*clusters(f))))
 
+    from dispatchlens.functions.columns import parse_order_date
+    from dispatchlens.plans import store as S
+
+    def by_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """The facts from a store that got the days after each month's 20th, and rows without a date, as a late batch."""
+        def build() -> str:
+            path = f"{ensure_checkpoint_dir(spark)}/store-{uuid.uuid4().hex}"
+            raw = raw_deliveries(spark, sf_dir)
+            early = F.coalesce(F.dayofmonth(parse_order_date(F.col("Order_Date"))) <= 20, F.lit(False))
+            S.append(raw.where(early), path, "early")
+            S.append(raw.where(~early), path, "late")
+            return path
+
+        return S.stored_facts(spark, memo(spark, ("store", sf_dir), build))
+
+    on_session("monthly_report_by_batches", lambda spark, sf_dir: S.monthly_report(by_batches(spark, sf_dir)))
+
     from dispatchlens.sources.files import preview
 
     on_facts("preview", lambda f: preview(f, 5))
