@@ -31,8 +31,12 @@ def distinct_vectors(rows: DataFrame, k: int) -> DataFrame:
     return few.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumns({"rep": F.col("ids")[0], "h": F.xxhash64("v")})
 
 
+def block_of(n: Column | int, *cols: str) -> Column:
+    return F.pmod(F.xxhash64(*cols), F.lit(n) if isinstance(n, int) else n).cast("int")
+
+
 def block(n: Column | int, *also: str) -> Column:
-    return F.pmod(F.xxhash64("rep", "h", *also), F.lit(n) if isinstance(n, int) else n).cast("int")
+    return block_of(n, "rep", "h", *also)
 
 
 def matrix(column: pd.Series, dims: int, kind=np.float64) -> np.ndarray:

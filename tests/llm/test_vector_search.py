@@ -57,9 +57,39 @@ def test_pivot_search_is_exact(embeddings, monkeypatch):
         monkeypatch.setattr(vectors, "CANDIDATES", blocks)
         monkeypatch.setattr(vectors, "QUERIES", max(2, blocks // 32))
         monkeypatch.setattr(pivots, "STEP", step)
+        monkeypatch.setattr(pivots, "ASKED", max(5, blocks // 8))
+        monkeypatch.setattr(pivots, "INTERVALS", max(7, blocks // 64))
         assert by_query(pivots.pivot_search(embeddings(given)).collect()) == want
 
 
+def test_pivot_search_in_clusters_and_ties(embeddings, monkeypatch):
+    rng = np.random.default_rng(8)
+    centres = 4 * rng.standard_normal((8, 6))
+    own = [(i, (centres[i % 8] + 0.05 * rng.standard_normal(6)).tolist()) for i in range(600)]
+    own += [(1000 + i, [0.0] * 5 + [float(i)]) for i in range(40)] + [(1050, [0.0] * 6)]  # queries with equal scores everywhere
+    want = true(own, 50, 5, lambda a, b: sum(x * y for x, y in zip(scaled(a), scaled(b))))
+    monkeypatch.setattr(vectors, "CANDIDATES", 40)
+    monkeypatch.setattr(vectors, "QUERIES", 3)
+    assert by_query(pivots.pivot_search(embeddings(own)).collect()) == want
+
+
+def test_intervals_bound_their_blocks_and_leave_far_ones_out():
+    rng = np.random.default_rng(4)
+    centres = 100 * rng.standard_normal((10, 5))
+    x = np.repeat(centres, 30, axis=0) + rng.standard_normal((300, 5))
+    longest2 = float((x**2).sum(1).max())
+    points = pivots.choose_pivots(pivots.lifted(x, longest2), 12)
+    table = pivots.distances(pivots.lifted(x, longest2), points).reshape(10, 30, -1)
+    q = x[::30]
+    own = pivots.distances(np.column_stack([q, np.zeros(10)]), points)
+    reach = pivots.reachable((q**2).sum(1), longest2, pivots.outside(own, table.min(1), table.max(1)))
+    scores = (q @ x.T).reshape(10, 10, 30)
+    assert (reach[:, :, None] >= scores).all()
+    home = reach.argmax(1)
+    floor = np.sort(scores[np.arange(10), home], axis=1)[:, -6]
+    assert (reach >= floor[:, None]).mean() < 0.6
+
+
 def test_pivot_bound_holds_and_ends_early():
     rng = np.random.default_rng(3)
     x = rng.integers(-50, 50, (500, 4))
