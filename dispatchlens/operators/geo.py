@@ -14,8 +14,8 @@ DBSCAN as Spark jobs
 3. The core points of a cell belong together, so clusters are connected components of
    cells. Two cells are linked if a core point of one is a neighbour of one
    of the other: decided from the bounding boxes of 4^d parts of each cell where
-   the boxes' largest or smallest distance tells, and by comparing points only
-   for the pairs of parts in between.
+   the boxes' largest or smallest distance tells. Parts in between are halved and judged
+   again until two of them hold few points, which are then compared.
 4. A non-core point takes the smallest label among adjacent core points
    (border), else -1 (noise). Cluster numbers 0..k-1 follow the order of each
    cluster's smallest core coordinates, so results do not depend on input order
@@ -37,6 +37,10 @@ from dispatchlens.functions.graph import components
 from dispatchlens.session import written
 
 RESTAURANT_COORDS = ("Restaurant_latitude", "Restaurant_longitude")
+#: Pairs of points that two undecided parts may have to be compared point by point, and halvings of a part at most
+#: (the grid's numbers stay far from the limits of a long; what is then left lies within 1e-9 of a cell).
+POINT_PAIRS, HALVINGS = 1024, 30
+
 DELIVERY_COORDS = ("Delivery_location_latitude", "Delivery_location_longitude")
 
 
@@ -68,23 +72,51 @@ def _named(points: DataFrame, cols: Sequence[str], name: str, *keys: str) -> Dat
     return points.select(*[F.col(k).alias(f"{name}_{k}") for k in keys], *[F.col(c).alias(f"{name}{i}") for i, c in enumerate(cols)])
 
 
-def _linked_cells(core: DataFrame, cols: Sequence[str], eps: float) -> DataFrame:
-    """Pairs of cells (ca, cb) with neighbouring core points; ``core`` has cell and part."""
-    d = len(cols)
-    boxes = core.groupBy("cell", "part").agg(*[f(c).alias(f"{n}{i}") for i, c in enumerate(cols) for n, f in (("lo", F.min), ("hi", F.max))])
-    boxes = written(boxes, "boxes")
-    a = boxes.select(*[F.col(c).alias(f"a_{c}") for c in boxes.columns], F.explode(_moved("cell", _around(d, half=True))).alias("b_cell"))
-    b = boxes.select(*[F.col(c).alias(f"b_{c}") for c in boxes.columns])
+def _boxes(core: DataFrame, cols: Sequence[str], name: str, *more: str) -> DataFrame:
+    """Bounding box and number of points of each part of a cell, with columns named after the side of a pair."""
+    ends = [f(c).alias(f"{name}_{n}{i}") for i, c in enumerate(cols) for n, f in (("lo", F.min), ("hi", F.max))]
+    keys = ["cell", "part", *more]
+    return core.groupBy(*[F.col(c).alias(f"{name}_{c}") for c in keys]).agg(*ends, F.count(F.lit(1)).alias(f"{name}_n"))
+
+
+def _judged(pairs: DataFrame, d: int, eps: float) -> DataFrame:
+    """Pairs of boxes without those too far apart; ``sure``: all their points are neighbours."""
     over = [F.col(f"a_hi{i}") - F.col(f"b_lo{i}") for i in range(d)]
     under = [F.col(f"b_hi{i}") - F.col(f"a_lo{i}") for i in range(d)]
     squares = lambda xs: reduce(lambda x, y: x + y, [x * x for x in xs])
     far = squares([F.greatest(x, y) for x, y in zip(over, under)])
     gap = squares([F.greatest(F.lit(0.0), -x, -y) for x, y in zip(over, under)])
-    pairs = written(a.join(b, "b_cell").where(gap <= eps * eps).select("a_cell", "b_cell", "a_part", "b_part", (far <= eps * eps).alias("sure")), "box-pairs")
-    sure = written(pairs.where("sure").select("a_cell", "b_cell").distinct(), "sure-pairs")
-    maybe = pairs.where(~F.col("sure")).join(sure, ["a_cell", "b_cell"], "left_anti")
-    tested = maybe.join(_named(core, cols, "a", "cell", "part"), ["a_cell", "a_part"]).join(_named(core, cols, "b", "cell", "part"), ["b_cell", "b_part"])
-    return sure.unionByName(tested.where(_within("a", "b", d, eps)).select("a_cell", "b_cell").distinct())
+    keep = [f"{n}_{c}" for c in ("cell", "part", "n") for n in "ab"]
+    return pairs.where(gap <= eps * eps).select(*keep, (far <= eps * eps).alias("sure"))
+
+
+def _linked_cells(core: DataFrame, cols: Sequence[str], eps: float, part_side: float) -> DataFrame:
+    """Pairs of cells (ca, cb) with neighbouring core points; ``core`` has cell and part.
+
+    Pairs of parts that their boxes don't decide are compared by points where those are few, and else their parts
+    are halved along each axis and judged again, so that no two crowded parts meet with all their points."""
+    d, links = len(cols), []
+    boxes = written(_boxes(core, cols, "b"), "boxes")
+    a = boxes.select(*[F.col(c).alias("a" + c[1:]) for c in boxes.columns], F.explode(_moved("b_cell", _around(d, half=True))).alias("b_cell"))
+    pairs, points = written(_judged(a.join(boxes, "b_cell"), d, eps), "box-pairs"), core
+    for level in itertools.count(1):
+        found = pairs.where("sure").select("a_cell", "b_cell").distinct()
+        open_ = pairs.where(~F.col("sure")).join(found, ["a_cell", "b_cell"], "left_anti")
+        crowded = (F.col("a_n") * F.col("b_n") > POINT_PAIRS) & F.lit(level < HALVINGS)
+        sides = [_named(points, cols, n, "cell", "part") for n in "ab"]
+        tested = open_.where(~crowded).join(sides[0], ["a_cell", "a_part"]).join(sides[1], ["b_cell", "b_part"])
+        links.append(written(found.unionByName(tested.where(_within("a", "b", d, eps)).select("a_cell", "b_cell")).distinct(), "links"))
+        many = written(open_.where(crowded).join(links[-1], ["a_cell", "b_cell"], "left_anti").select("a_cell", "b_cell", "a_part", "b_part"), "crowded")
+        if many.isEmpty():
+            return reduce(DataFrame.unionByName, links).distinct()
+        parts = many.select(F.col("a_cell").alias("cell"), F.col("a_part").alias("part")).union(many.select("b_cell", "b_part")).distinct()
+        half = part_side / 2**level
+        finer = points.join(parts, ["cell", "part"], "left_semi").withColumn("finer", F.array(*[F.floor(F.col(c) / half) for c in cols]))
+        points = written(finer, "finer")
+        children = [written(_boxes(points, cols, n, "finer"), "boxes") for n in "ab"]
+        halves = many.join(children[0], ["a_cell", "a_part"]).join(children[1], ["b_cell", "b_part"])
+        pairs = written(_judged(halves.withColumns({f"{n}_part": F.col(f"{n}_finer") for n in "ab"}), d, eps), "box-pairs")
+        points = points.withColumn("part", F.col("finer")).drop("finer")
 
 
 def _numbered(rows: DataFrame, by: str, name: str) -> DataFrame:
@@ -112,7 +144,7 @@ def dbscan(df: DataFrame, cols: Sequence[str], eps: float, min_samples: int, wei
     reached = near.groupBy(F.col("a_pid").alias("_pid")).agg(F.sum("weight").alias("_w")).where(F.col("_w") >= min_samples).select("_pid")
     keep = ["_pid", *cols, "cell", "part"]
     core = written(placed.where("dense").select(*keep).unionByName(sparse.join(reached, "_pid", "left_semi").select(*keep)), "core")
-    roots = components(_linked_cells(core, cols, eps), "a_cell", "b_cell").withColumnRenamed("x", "cell")
+    roots = components(_linked_cells(core, cols, eps, side / 4), "a_cell", "b_cell").withColumnRenamed("x", "cell")
     firsts = core.groupBy("cell").agg(F.min("_pid").alias("first")).join(roots, "cell", "left").withColumn("root", F.coalesce("root", "cell"))
     clusters = _numbered(firsts.groupBy("root").agg(F.min("first").alias("first")), "first", "cluster")
     numbers = written(firsts.select("cell", "root").join(clusters.select("root", F.col("cluster").cast("int").alias("cluster")), "root").select("cell", "cluster"), "numbers")

@@ -4,6 +4,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from dispatchlens.functions.graph import components
+from dispatchlens.operators import geo
 from dispatchlens.operators.geo import dbscan
 
 
@@ -69,6 +70,18 @@ def test_dbscan_against_the_definition(spark):
         assert {(r.x, r.y): (r.is_core, r.cluster) for r in got.collect()} == _brute(points, 0.1, 4)
 
 
+def test_crowded_parts_are_halved_until_few_points_meet(spark, monkeypatch):
+    monkeypatch.setattr(geo, "POINT_PAIRS", 4)
+    rnd = random.Random(7)
+    # two crowds about eps apart, whose boxes can't tell; in the second case only one point reaches over
+    for shift, bridge in ((0.1, []), (0.1151, []), (0.1151, [(0.0155, 0.0)])):
+        left = {(round(rnd.uniform(0, 0.015), 4), round(rnd.uniform(0, 0.05), 4)) for _ in range(150)}
+        right = {(round(x + shift, 4), y) for x, y in left}
+        points = sorted(left | right | set(bridge) | {(3.0, 3.0)})
+        got = dbscan(spark.createDataFrame(points, "x double, y double"), ["x", "y"], 0.1, 4, weighted=False)
+        assert {(r.x, r.y): (r.is_core, r.cluster) for r in got.collect()} == _brute(points, 0.1, 4)
+
+
 def test_long_chain_is_one_cluster(spark):
     order = list(range(2000))
     random.Random(5).shuffle(order)
