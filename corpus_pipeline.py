@@ -14,12 +14,18 @@ from dispatchlens.llm import common, language, packing, quality, simhash, suffix
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier gives label 1 at least even chances."""
+    """Documents that the quality classifier gives label 1 at least even chances, with all their columns.
+
+    A null or empty text has the score of the bias alone; a score of exactly 0.5 stays (so all stay where no label is known);
+    repeated rows stay or go together; a null id is no reason to go; whole texts are read, however long; no rows give none."""
     return quality.keep_good(docs, common.table(spark, sf_dir, "labels"))
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text is near enough to a language learnt from them."""
+    """Documents whose text is near enough to a language learnt from them, with all their columns.
+
+    Null, empty and letterless texts go, and all texts go where no language is known; a cosine equal to its limit stays; of equally near
+    languages the first in order counts; repeated rows stay or go together; a null id is no reason to go; no rows give none."""
     common.importable(spark)
     return language.keep_told(docs)
 
