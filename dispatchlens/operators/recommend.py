@@ -90,7 +90,7 @@ def operations_recommendations(facts: DataFrame) -> DataFrame:
 
 def driver_recommendations(facts: DataFrame) -> DataFrame:
     """Z3: busiest day (sum over shifts; first in week order on ties) and its
-    busiest shift."""
+    busiest shift; the two standing lines on couriers."""
     from dispatchlens.operators.drivers import shift_allocation
 
     sa = shift_allocation(facts)
@@ -101,7 +101,10 @@ def driver_recommendations(facts: DataFrame) -> DataFrame:
         F.min_by("shift", F.struct(-F.col("drivers_needed"), F.col("shift_index"))).alias("shift"),
     )
     peak = shift.select(F.lit(1).alias("_key"), F.concat(F.lit("Couriers are needed most on "), F.col("day"), F.lit(" in the shift "), F.col("shift")).alias("text"))
-    return _rows("driver_management", peak)
+    fixed = facts.sparkSession.createDataFrame(
+        [(2, "Teach new couriers what the leading ones do"), (3, "Tie courier bonuses to measured efficiency")], "_key int, text string"
+    )
+    return _rows("driver_management", peak, fixed)
 
 
 def customer_recommendations(names: DataFrame) -> DataFrame:

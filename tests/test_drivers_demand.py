@@ -54,3 +54,13 @@ def test_fraction_forms_match_their_sql(spark):
     sf = "/root/testdata/sf0.001"
     for name in ("holdout_split_fraction", "moving_average_forecast_fraction"):
         assert compare(E.queries()[name](spark, sf), duck(sf), E.oracle_sql()[name]) == []
+
+
+def test_driver_recommendations_keep_the_standing_lines(spark):
+    from dispatchlens.operators.recommend import driver_recommendations
+
+    f = spark.createDataFrame([(0, 7)] * 40 + [(2, 15)] * 16, "DayOfWeek int, Order_Hour int")
+    rows = driver_recommendations(f).orderBy("ordinal").collect()
+    assert [(r.category, r.ordinal) for r in rows] == [("driver_management", i) for i in (1, 2, 3)]
+    assert rows[0].text == "Couriers are needed most on Monday in the shift Morning (6 AM - 2 PM)"
+    assert [r.text for r in rows[1:]] == ["Teach new couriers what the leading ones do", "Tie courier bonuses to measured efficiency"]
