@@ -53,3 +53,21 @@ def test_zero_division_gives_null(spark):
     assert f["o1"].Restaurant_Prep_Time == 0.0
     assert f["o1"].Restaurant_Efficiency is None
     assert f["o2"].Restaurant_Efficiency is not None
+
+
+def test_months_are_dealt_before_derived_columns(spark, tmp_path):
+    """What crosses the shuffle by month is the parsed columns and two means; the rows are those of a plain build."""
+    from dispatchlens.plans import facts as P
+    from dispatchlens.session import written
+
+    raw = _raw(spark, [_row(f"o{i}", Order_Date=f"{i % 28 + 1:02d}-{i % 5 + 1:02d}-2023", Time_Order_picked=None if i % 7 == 0 else "10:20:30") for i in range(60)])
+    out = P.facts(raw, by_month=True)
+    plan = out._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() != "RebalancePartitions":
+        plan = plan.children().head()
+    assert plan.output().size() < 30 < len(P.FACT_COLUMNS)
+    kept = written(out, path=str(tmp_path / "facts"), by=("Year", "Month"), dealt=True)
+    assert sorted(kept.collect(), key=lambda r: r.Order_ID) == sorted(P.facts(raw).collect(), key=lambda r: r.Order_ID)
+    assert sorted(f.name for f in (tmp_path / "facts" / "Year=2023").iterdir()) == [f"Month={m}" for m in range(1, 6)]
+    hours = {r.Order_ID: (r.Order_Hour, r.Order_Minute, r.Pickup_Hour, r.Pickup_Minute, r.DayOfWeek, r.IsPeakHour) for r in kept.collect()}
+    assert hours["o1"] == (10, 0, 10, 20, 3, 0) and hours["o7"][2:4] == (0, 0)
