@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dispatchlens.functions import lloyd
@@ -14,21 +14,42 @@ from dispatchlens.session import written
 
 #: Values of a category that become columns, at most.
 MAX_LEVELS = 200
+#: Values of a category that are counted in columns of their own, at most.
+MODE_LEVELS = 16
 
 
 def _cust(facts: DataFrame) -> DataFrame:
     return facts.where(F.col("Customer_ID").isNotNull())
 
 
+def _modes(facts: DataFrame, cats: Sequence[str]) -> dict[str, Column]:
+    """The most frequent value of each column (smallest on ties; null without one) as an aggregate.
+
+    Strings with few values have a plain counter for each, so that the partial sums are rows of fixed width; ``mode``, whose
+    state is a table for each group that is sorted and spilled as soon as many groups meet in a task, counts the others."""
+    strings = {c for c, kind in facts.dtypes if kind == "string"}
+    out = {}
+    for c in cats:
+        # a scan of one column; at most MODE_LEVELS + 1 values reach the driver
+        found = facts.select(c).where(F.col(c).isNotNull()).distinct().limit(MODE_LEVELS + 1).collect() if c in strings else []
+        levels = sorted(r[0] for r in found)
+        if c not in strings or len(levels) > MODE_LEVELS:
+            out[c] = F.mode(c, True)
+            continue
+        counts = [F.count_if(F.col(c) == v) for v in levels]
+        most = F.greatest(F.lit(1), F.lit(1), *counts)
+        out[c] = F.coalesce(F.lit(None).cast("string"), *[F.when(n == most, F.lit(v)) for n, v in zip(counts, levels)])
+    return out
+
+
 def customer_profile(facts: DataFrame) -> DataFrame:
     """Per customer: most frequent order type, vehicle and city (smallest
-    value on ties), mean distance/time/profit and order count. ``mode`` keeps
-    one counter per distinct category value, so its state is bounded by the
+    value on ties), mean distance/time/profit and order count. One counter per
+    distinct category value, so the state is bounded by the
     category cardinality, not by the customer's order count."""
-    return _cust(facts).groupBy("Customer_ID").agg(
-        F.mode("Type_of_order", True).alias("Type_of_order"),
-        F.mode("Type_of_vehicle", True).alias("Type_of_vehicle"),
-        F.mode("City", True).alias("City"),
+    f = _cust(facts)
+    return f.groupBy("Customer_ID").agg(
+        *[mode.alias(c) for c, mode in _modes(f, ["Type_of_order", "Type_of_vehicle", "City"]).items()],
         F.avg("Distance_km").alias("Distance_km"),
         F.avg("Time_taken_min").alias("Time_taken_min"),
         F.avg("Profit").alias("Profit"),
@@ -55,7 +76,7 @@ def customer_rfm(facts: DataFrame) -> DataFrame:
         F.sum("Time_taken_min").alias("total_delivery_time"),
         F.avg("Delivery_person_Ratings").alias("avg_rating"),
         F.countDistinct("Restaurant_ID").alias("unique_restaurants"),
-        F.mode("Type_of_order", True).alias("most_common_order_type"),
+        _modes(f, ["Type_of_order"])["Type_of_order"].alias("most_common_order_type"),
         F.max("_ts").alias("_last"),
         F.min("_ts").alias("_first"),
     )
