@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dispatchlens.functions.quantiles import with_quantiles
+from dispatchlens.session import written
 
 _T, _D = "Time_taken_min", "Distance_km"
 
@@ -48,7 +49,8 @@ def efficient_clusters(facts: DataFrame, cluster_col: str = "Restaurant_Cluster"
 def efficient_routes(facts: DataFrame) -> DataFrame:
     """Per route type: time mean/median/count, mean km and profit; km/min,
     profit/min, profit/km from the means; best profit per minute first."""
-    f = facts.where(F.col("Route_Type").isNotNull())
+    # written, so that the aggregates' and medians' scans don't join the clusters to the facts again each
+    f = written(facts.where(F.col("Route_Type").isNotNull()).select("Route_Type", _T, _D, "Profit"), "routes")
     base = f.groupBy("Route_Type").agg(
         F.avg(_T).alias("time_mean"), F.count(_T).alias("time_count"),
         F.avg(_D).alias("distance_mean"), F.avg("Profit").alias("profit_mean"),
