@@ -81,11 +81,13 @@ def blocked(kept: DataFrame, block: int) -> DataFrame:
 
 
 def differences(frame: pd.DataFrame) -> pd.DataFrame:
-    """One cell: the sum over its terms of the absolute differences, for each pair of a group of the one block and a group of the other (each pair once)."""
+    """One cell: the sum over its terms of the absolute differences, for each pair of a group of the one block and a group of the other (each pair once).
+
+    Rows come in any order; a pair's groups are always told in the same one, so that the cells of all term blocks add up."""
     size = int(frame["size"].iloc[0])
 
     def block(at: int) -> tuple[list[str], np.ndarray]:
-        rows = frame[frame["group_block"] == at]
+        rows = frame[frame["group_block"] == at].sort_values("source")
         dense = np.repeat(rows["absent"].to_numpy(np.int64)[:, None], size, axis=1)
         for row, places, shares in zip(dense, rows["places"], rows["shares"]):
             row[places] = shares

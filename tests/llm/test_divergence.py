@@ -55,6 +55,21 @@ def test_cube_against_brute_force(spark, monkeypatch, blocks, counted):
     assert {x[0] for x in want} == {"", "de", "en", "xx"} and any(x[0] == "xx" and x[4] == 0 for x in want)
 
 
+def test_term_blocks_add_up_whatever_the_order_of_rows(spark):
+    """Without coalesced partitions and broadcasts a cell's rows come in an order of their own for each term block."""
+    shuffled = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in shuffled}
+    rows = table(random.Random(3), 200)
+    try:
+        for k, v in shuffled.items():
+            spark.conf.set(k, v)
+        got = divergence.audit(spark.createDataFrame(rows, "text string, lang string, source string"), 8, 5, 32, 3).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted(map(tuple, got)) == brute(rows, 8, 5)
+
+
 def test_shares_are_exact_beyond_64_bits(spark):
     n, all_n, terms = 9 * 10**15 + 7, 10**17 + 11, 10**9 + 1
     row = spark.createDataFrame([(n, all_n, terms)], "n long, all_n long, terms long").select(divergence.share(F.col("n"), F.col("all_n"), F.col("terms")).alias("p")).first()
