@@ -4,7 +4,8 @@ from collections import Counter
 
 import numpy as np
 
-from dispatchlens.llm import suffixes
+import corpus_pipeline
+from dispatchlens.llm import common, queries, suffixes
 
 
 def brute(texts, span):
@@ -90,3 +91,25 @@ def test_operator(documents, monkeypatch):
 
 def test_empty(documents):
     assert suffixes.remove_repeats(documents([])).collect() == []
+
+
+def test_text_without_a_second_python_step(spark, documents, monkeypatch):
+    """What is left is decoded where it is cut out: a task of op6_suffix_dedup or of the pipeline's stage runs one Python worker."""
+    rnd = random.Random(9)
+    passage = "".join(rnd.choices("abcdefghij ", k=200))
+    # the first byte of é and è is the same and goes with the passage
+    texts = [*made(rnd, 40), f"one {passage}é", f"two {passage}è"]
+    path = common.scratch_path(spark, "suffixes-test")
+    documents([*enumerate(texts), (None, None), (3, texts[3])]).write.parquet(f"{path}/documents.parquet")
+    docs = common.table(spark, path, "documents")
+    for out in (queries.op6_suffix_dedup(spark, path), corpus_pipeline.repeated_strings(spark, docs, path)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapInArrow") == 1 and "EvalPython" not in plan
+    # in slices of a few texts, with characters cut by the spans
+    monkeypatch.setattr(suffixes, "RUN_BYTES", 900)
+    monkeypatch.setattr(suffixes, "OUT_BYTES", 900)
+    rows = suffixes.remove_repeats(docs, 150, ["doc_id", "lang"], ("text", "kept", "removed", "kept_sha256")).collect()
+    want = {i: w[3] for i, w in enumerate(brute([t.encode() for t in [*texts, "", texts[3]]], 150)) if i < len(texts)}
+    assert len(rows) == len(texts) + 2 and all(r.kept_sha256 == want[r.doc_id] and r.lang == "en" for r in rows if r.doc_id is not None)
+    assert all(r.text == bytes(r.kept).decode("utf-8", "ignore") for r in rows)
+    assert any(len(r.text.encode()) < len(r.kept) for r in rows) and any(r.removed for r in rows)
